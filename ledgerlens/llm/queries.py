@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlens.llm import mixing
+from ledgerlens.llm import mixing, mpegts, simhash
 from ledgerlens.registry import Registry, table
 
 LLM = Registry()
 
 
+@LLM.query("op3_media_columns")
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegts.features(mpegts.packed(table(spark, sf_dir, "documents")))
+
+
 @LLM.query("op7_mixing", mixing.ORACLE)
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+@LLM.query("op9_simhash")
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
