@@ -5,17 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import mixing, mpegts, simhash
+from ledgerlens.llm import chat, html, mixing, mpegts, simhash
 from ledgerlens.registry import Registry, table
 
 LLM = Registry()
 
 
+@LLM.query("op2_html")
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 @LLM.query("op3_media_columns")
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.features(mpegts.packed(table(spark, sf_dir, "documents")))
 
 
+@LLM.query("op5_chat", chat.ORACLE)
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)], rows.schema)
+    record = F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"})
+    pieces = chat.formatted(rows.unionByName(probe), "conv_id", record, ["turn", "role", "text"])
+    return chat.digests(pieces, "conv_id")
+
+
 @LLM.query("op7_mixing", mixing.ORACLE)
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
