@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, html, mixing, mpegts, simhash
+from ledgerlens.llm import chat, decontaminate, html, mixing, mpegts, simhash
 from ledgerlens.registry import Registry, table
 
 LLM = Registry()
 
 
+@LLM.query("op1_decontamination", decontaminate.ORACLE)
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @LLM.query("op2_html")
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages"))
