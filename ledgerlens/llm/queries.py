@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, decontaminate, html, mixing, mpegts, simhash
+from ledgerlens.llm import brown, chat, decontaminate, html, mixing, mpegts, simhash
 from ledgerlens.registry import Registry, table
 
 LLM = Registry()
@@ -40,6 +40,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+@LLM.query("op8_lm_scores")
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.scored(table(spark, sf_dir, "documents"))
+
+
 @LLM.query("op9_simhash")
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
