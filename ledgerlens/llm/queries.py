@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import brown, chat, decontaminate, html, mixing, mpegts, simhash
+from ledgerlens.llm import brown, chat, decontaminate, html, mixing, mpegts, recompress, simhash
 from ledgerlens.registry import Registry, table
 
 LLM = Registry()
@@ -26,6 +26,11 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.features(mpegts.packed(table(spark, sf_dir, "documents")))
 
 
+@LLM.query("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.deduplicated(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 @LLM.query("op5_chat", chat.ORACLE)
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -100,3 +101,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets the driver find finished shuffles, so that executors remove their files before the next large step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
