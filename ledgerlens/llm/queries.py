@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import brown, chat, decontaminate, html, mixing, mpegts, recompress, simhash
+from ledgerlens.llm import brown, chat, decontaminate, html, lines, mixing, mpegts, recompress, simhash
 from ledgerlens.registry import Registry, table
 
 LLM = Registry()
@@ -54,3 +54,8 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@LLM.query("op10_line_dedup")
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
