@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import brown, chat, decontaminate, html, lines, mixing, mpegts, recompress, simhash
+from ledgerlens.llm import brown, chat, decontaminate, html, language, lines, mixing, mpegts, recompress, simhash
 from ledgerlens.registry import Registry, table
 
 LLM = Registry()
@@ -40,6 +40,12 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(pieces, "conv_id")
 
 
+@LLM.query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predicted(docs, language.fit(docs))
+
+
 @LLM.query("op7_mixing", mixing.ORACLE)
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
