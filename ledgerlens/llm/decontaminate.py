@@ -92,10 +92,12 @@ def contained(docs: DataFrame, items: DataFrame, width: int = 5, share: float =
     return counted.where(enough & (F.col("n_shingles") > 0)).withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, broadcast_rows: int = 500_000, **options) -> DataFrame:
     """The documents that hold no item, as they are."""
-    leaked = contained(docs, items, **options).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("leaked_id")), "left_anti")
+    found = contained(docs, items, broadcast_rows=broadcast_rows, **options)
+    leaked = written(found.select(F.col("doc_id").alias("leaked_id")).distinct())
+    few = _bounded(leaked, leaked.count(), broadcast_rows)
+    return docs.join(few, docs["doc_id"].eqNullSafe(few["leaked_id"]), "left_anti")
 
 
 ORACLE = r"""

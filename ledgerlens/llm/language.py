@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -235,6 +236,54 @@ class _Cache(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+def _cache(sent: tuple) -> _Cache:
+    languages, weights, moves = sent
+    return _Cache(Model(languages, weights.astype(np.float64), moves))
+
+
+def _labelled(column: pa.Array, cache: _Cache) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, words and switches of each text."""
+    languages = cache.model.languages
+    texts = [words_of(t.as_py()) for t in column]
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    labels, shares, switches = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    if languages and lengths.sum():
+        ids = cache.rows([w for words in texts for w in words])
+        p = marginals(cache.table[ids], lengths, cache.model.moves)
+        letters = cache.letters[ids]
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        n = np.bincount(owner, letters, len(texts))
+        mean = np.stack([np.bincount(owner, p[:, k] * letters, len(texts)) for k in range(len(languages))], 1)
+        mean /= np.maximum(n, 1)[:, None]
+        best = mean.argmax(1)
+        label = p.argmax(1)
+        changed = (label[1:] != label[:-1]) & (owner[1:] == owner[:-1])
+        switches = np.bincount(owner[1:], changed, len(texts)).astype(np.int64)
+        for i in np.flatnonzero(n):
+            labels[i] = languages[best[i]]
+        shares = np.where(n > 0, np.clip(mean[np.arange(len(texts)), best], 0, 1), 0.0)
+    return labels, shares, lengths, switches
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.35) -> DataFrame:
+    """The documents, as they are, whose language is known with a score of `least` or more; a null lang is filled in."""
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    sent = spark.sparkContext.broadcast((model.languages, model.weights.astype(np.float32), model.moves))
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _cache(sent.value)
+        for batch in batches:
+            labels, shares, _, _ = _labelled(batch.column(text), cache)
+            filled = pc.coalesce(batch.column(lang), pa.array(labels, batch.schema.field(lang).type))
+            columns = [filled if i == lang else c for i, c in enumerate(batch.columns)]
+            keep = pa.array([label != UNKNOWN and share >= least for label, share in zip(labels, shares.tolist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, n_words, n_switches): n_switches counts neighbours labelled differently."""
     spark = docs.sparkSession
@@ -242,27 +291,9 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     sent = spark.sparkContext.broadcast((model.languages, model.weights.astype(np.float32), model.moves))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, weights, moves = sent.value
-        cache = _Cache(Model(languages, weights.astype(np.float64), moves))
+        cache = _cache(sent.value)
         for batch in batches:
-            texts = [words_of(t.as_py()) for t in batch.column(2)]
-            lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-            labels, shares, switches = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-            if languages and lengths.sum():
-                ids = cache.rows([w for words in texts for w in words])
-                p = marginals(cache.table[ids], lengths, moves)
-                letters = cache.letters[ids]
-                owner = np.repeat(np.arange(len(texts)), lengths)
-                n = np.bincount(owner, letters, len(texts))
-                mean = np.stack([np.bincount(owner, p[:, k] * letters, len(texts)) for k in range(len(languages))], 1)
-                mean /= np.maximum(n, 1)[:, None]
-                best = mean.argmax(1)
-                label = p.argmax(1)
-                changed = (label[1:] != label[:-1]) & (owner[1:] == owner[:-1])
-                switches = np.bincount(owner[1:], changed, len(texts)).astype(np.int64)
-                for i in np.flatnonzero(n):
-                    labels[i] = languages[best[i]]
-                shares = np.where(n > 0, np.clip(mean[np.arange(len(texts)), best], 0, 1), 0.0)
+            labels, shares, lengths, switches = _labelled(batch.column(2), cache)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(labels, pa.string()), pa.array(shares), pa.array(lengths), pa.array(switches)],
                 ["doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches"],

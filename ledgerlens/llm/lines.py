@@ -168,19 +168,18 @@ def links(lines: DataFrame, edits: int = EDITS, broadcast_rows: int = 1_000_000)
     return written(verified(full, edits))
 
 
-OUT = "n_lines bigint, n_removed bigint, kept_sha256 string, kept string"
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
 
 
-def deduplicated(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, n_lines, n_removed, kept_sha256, kept, n_links, classes) of every row.
+def decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc, row, gone, told) of every document row with a line that isn't blank.
 
-    kept is the text without its removed lines; n_links counts, over the document's compared lines, the other distinct
-    lines that each is linked to; classes has the class id of each line that is not blank, in line order.
+    gone has the numbers of its lines to be removed, told (number, class, links) of each line; both are bounded by the
+    document's length.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
-    split = keyed.select("doc", "row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "raw"))
+    split = _keyed(docs).select("doc", "row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "raw"))
     occurrences = split.select("doc", "row", "no", F.trim(F.col("raw"), F.lit(_TRIM)).alias("line")).where("line <> ''")
     first = F.min(F.struct("doc", "no", "row")).alias("first")
     uniq = written(occurrences.groupBy("line").agg(first).select(F.xxhash64("line").alias("id"), "line", "first"))
@@ -193,8 +192,10 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     named = named.select("id", "first", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     heads = named.groupBy("root").agg(F.min("first").alias("head"))
     classes = written(named.join(heads, "root").select("id", "root", "head", "n_links"))
+    dropped(uniq)
+    released(spark)
     where = F.struct("doc", "no", "row")
-    told = (
+    return (
         occurrences.select("doc", "row", "no", F.xxhash64("line").alias("id")).join(classes, "id")
         .groupBy("doc", "row")
         .agg(
@@ -202,23 +203,39 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
             F.collect_set(F.struct("no", "root", "n_links")).alias("told"),
         )
     )
+
+
+def _kept(text: str | None, gone: list[int] | None) -> str:
+    away = set(gone or ())
+    return "\n".join(x for i, x in enumerate((text or "").split("\n")) if i not in away)
+
+
+OUT = "n_lines bigint, n_removed bigint, kept_sha256 string, kept string"
+
+
+def deduplicated(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, n_lines, n_removed, kept_sha256, kept, n_links, classes) of every row.
+
+    kept is the text without its removed lines; n_links counts, over the document's compared lines, the other distinct
+    lines that each is linked to; classes has the class id of each line that is not blank, in line order.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    told = decisions(docs, edits, min_chars)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = keyed.alias("k").join(told.alias("t"), F.col("k.doc").eqNullSafe(F.col("t.doc")) & (F.col("k.row") == F.col("t.row")), "left")
-    sorted_told = F.array_sort("told")
-    asked = joined.select(
+    same = F.col("k.doc").eqNullSafe(F.col("t.doc")) & (F.col("k.row") == F.col("t.row"))
+    asked = _keyed(docs).alias("k").join(told.alias("t"), same, "left").select(
         F.col("k.doc").alias("doc_id"), "text", "gone",
         F.coalesce(F.aggregate("told", F.lit(0).cast("long"), lambda s, x: s + x["n_links"]), F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce(F.transform(sorted_told, lambda x: x["root"]), F.array().cast("array<bigint>")).alias("classes"),
+        F.coalesce(F.transform(F.array_sort("told"), lambda x: x["root"]), F.array().cast("array<bigint>")).alias("classes"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for t, gone in zip(batch.column(1), batch.column(2)):
-                lines = (t.as_py() or "").split("\n")
-                away = set(gone.as_py() or ())
-                kept = "\n".join(x for i, x in enumerate(lines) if i not in away)
-                out.append((len(lines), len(away), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), kept))
+                text, away = t.as_py() or "", gone.as_py() or []
+                kept = _kept(text, away)
+                out.append((text.count("\n") + 1, len(away), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), kept))
             cols = list(zip(*out)) if out else [()] * 4
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
@@ -227,3 +244,28 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
             )
 
     return asked.mapInArrow(run, f"doc_id {kind}, {OUT}, n_links bigint, classes array<bigint>")
+
+
+def cleaned(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The documents without their removed lines, n_chars counted anew; all rows and columns stay."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    told = decisions(docs, edits, min_chars).select(F.col("doc").alias("t_doc"), F.col("row").alias("t_row"), "gone").where("size(gone) > 0")
+    told = told.select(*[told[c].alias(f"__{c}") for c in told.columns])
+    row = F.xxhash64(docs["doc_id"], docs["text"])
+    joined = docs.join(told, docs["doc_id"].eqNullSafe(told["__t_doc"]) & (row == told["__t_row"]), "left").select(
+        *[docs[c] for c in docs.columns], told["__gone"]
+    )
+    text = docs.columns.index("text")
+    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, names = batch.columns[:-1], batch.schema.names[:-1]
+            gone = batch.columns[-1]
+            kept = [t.as_py() if not g.is_valid else _kept(t.as_py(), g.as_py()) for t, g in zip(columns[text], gone)]
+            columns[text] = pa.array(kept, pa.string())
+            if chars >= 0:
+                columns[chars] = pa.array([None if k is None else len(k) for k in kept], columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(run, docs.schema)

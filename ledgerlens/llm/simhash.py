@@ -116,3 +116,14 @@ def near_duplicates(docs: DataFrame, limit: int = 3, width: int = 3) -> DataFram
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = named.join(least, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def firsts(docs: DataFrame, limit: int = 3, width: int = 3) -> DataFrame:
+    """The documents, as they are, that are the least of their component; one of rows that share a doc_id.
+
+    Documents without an id can't be named as copies and stay.
+    """
+    found = near_duplicates(docs, limit, width)
+    least = found.where("doc_id = component_id").select(F.col("doc_id").alias("least_id")).distinct()
+    named = docs.join(least, docs["doc_id"] == least["least_id"], "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
