@@ -11,8 +11,8 @@ such borders 3 to 10 words from its start; it picks the one with the least name.
 Consecutive windows that pick the same border are a run and make one row, with the name of all its words.
 
 Revealing. Spark groups the rows by name. The document with the least id that has an anchor can't be removed there:
-any smaller document with one of the windows would have the anchor too. A document whose run equals that of the least
-document is removed there. What is left (the same anchor in other surroundings) is decided window by window: names of
+any smaller document with one of the windows would have the anchor too. A later document's run that equals one of the
+least document's is removed there. What is left (the same anchor in other surroundings) is decided window by window: names of
 13 words of these runs and of the least documents' runs are grouped again.
 
 Names have 64 bits. Two windows in question, or two runs with the same anchor, share one by chance once in 2^64 pairs.
@@ -201,25 +201,33 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     keyed = _keyed(docs)
     found = written(anchors(keyed, window))
     least = written(
-        found.groupBy("key").agg(F.min(F.struct("doc", "whole")).alias("m"), F.max("doc").alias("last"))
-        .where("m.doc < last").select("key", F.col("m.doc").alias("least"), F.col("m.whole").alias("least_whole"))
+        found.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("least < last").drop("last")
     )
     released(spark)
-    state = F.when(F.col("doc") == F.col("least"), 0).when(F.col("whole") == F.col("least_whole"), 1).otherwise(2)
-    met = written(found.join(least, "key").select("key", "doc", "span", state.cast("byte").alias("state")))
+    met = written(found.join(least, "key").select("key", "whole", "doc", "span", "least"))
     dropped(found)
+    dropped(least)
     released(spark)
-    unsure = met.where("state = 2")
-    sources = met.where("state = 0").join(unsure.select("key").distinct(), "key", "left_semi")
+    heads = met.where("doc = least")
+    names = written(heads.groupBy("key").agg(F.min("whole").alias("least_whole")))
+    later = written(
+        met.where("doc > least").join(names, "key").select("key", "doc", "span", (F.col("whole") == F.col("least_whole")).alias("sure"))
+    )
+    released(spark)
+    unsure = later.where("not sure")
+    sources = heads.join(unsure.select("key").distinct(), "key", "left_semi")
     asked = unsure.select("doc", "span", F.lit(True).alias("open")).unionByName(sources.select("doc", "span", F.lit(False).alias("open")))
     pairs = _by_row(asked, F.struct("span", "open")).withColumnRenamed("spans", "s")
     windows = written(
         window_names(keyed.join(pairs, ["doc", "row"]).select("doc", "row", "text", F.col("s.span").alias("spans"), F.col("s.open").alias("opens")), window)
     )
     released(spark)
-    first = windows.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("least < last").drop("last")
+    # A table of its own, so that the join below can split the rows of a frequent name.
+    first = written(
+        windows.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("least < last").drop("last")
+    )
     late = windows.where("`open`").join(first, "name").where("doc > least").select("doc", "span")
-    return _by_row(met.where("state = 1").select("doc", "span").unionByName(late), F.col("span"))
+    return _by_row(later.where("sure").select("doc", "span").unionByName(late), F.col("span"))
 
 
 OUT = "n_words bigint, n_removed bigint, kept_sha256 string, kept string"
