@@ -1,6 +1,6 @@
 """Imports every module that registers queries, so that the registry is complete."""
 
-from ledgerlens.operators import aggregates  # noqa: F401
+from ledgerlens.operators import aggregates, cascades, graph, joins, ledger, ranking, retrieval, sets  # noqa: F401
 from ledgerlens.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
