@@ -219,7 +219,10 @@ def exec_form(payload: Column) -> Column:
 
 def first_marker(texts: Column, markers: list[str]) -> Column:
     """First marker by marker order that stands in any of the texts (P27, marker first)."""
-    return F.coalesce(*[F.when(F.exists(texts, lambda t, m=m: F.contains(t, F.lit(m))), F.lit(m)) for m in markers])
+    def stands(marker: str) -> Column:
+        return F.exists(texts, lambda t: F.contains(t, F.lit(marker)))
+
+    return F.coalesce(*[F.when(stands(m), F.lit(m)) for m in markers])
 
 
 def first_marked_text(texts: Column, markers: list[str]) -> Column:
