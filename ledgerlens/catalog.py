@@ -2,5 +2,6 @@
 
 from ledgerlens.operators import aggregates, cascades, feeds, graph, joins, ledger, ranking, retrieval, sets, text_safety  # noqa: F401
 from ledgerlens.registry import REGISTRY
+from ledgerlens.sources import lines  # noqa: F401
 
 __all__ = ["REGISTRY"]
