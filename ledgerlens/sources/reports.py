@@ -28,7 +28,7 @@ def ripgrep_matches(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = F.col("r.data")
     rows = good.where("r.type = 'match'").select(
         "path", "pos", F.get(d["submatches"], F.lit(0))["match"]["text"].alias("pattern"), d["path"]["text"].alias("file"), d["line_number"].alias("line"),
-        F.rtrim(d["lines"]["text"]).alias("snippet"),
+        F.regexp_replace(d["lines"]["text"], r"\s+\z", "").alias("snippet"),
     )
     return rows, bad
 
