@@ -47,7 +47,8 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
         .withColumn("left", F.col("goal") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         .withColumn("level", F.col("left") / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
         .withColumn("full", F.col("cap") <= F.col("level") * F.col("w"))
-        .withColumn("flat", F.min(F.when(~F.col("full"), F.col("level"))).over(everything))
+        # The first source that isn't full has the highest level of those; behind it the caps taken off are too large.
+        .withColumn("flat", F.max(F.when(~F.col("full"), F.col("level"))).over(everything))
     )
     target = F.when(F.col("full"), F.col("cap")).otherwise(F.col("flat") * F.col("w"))
     return s.select("source", "sid", "source_size", target.alias("target")).withColumn(
@@ -160,16 +161,15 @@ s AS (
          [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w,
          row_number() OVER (ORDER BY source ASC NULLS LAST) AS sid
   FROM d GROUP BY source),
-l AS (
-  SELECT *, 2.0 * source_size AS cap,
-         (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER f, 0))
-           / (sum(w) OVER () - coalesce(sum(w) OVER f, 0)) AS level
-  FROM s WINDOW f AS (ORDER BY 2.0 * source_size / w, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-g AS (
-  SELECT source, source_size,
-         CASE WHEN cap <= level * w THEN cap
-              ELSE min(CASE WHEN cap > level * w THEN level END) OVER () * w END::DOUBLE AS target
-  FROM l),
+c AS (SELECT *, 2.0 * source_size AS cap, 2.0 * source_size / w AS ratio, 1.5 * sum(source_size) OVER () AS goal FROM s),
+t AS (
+  SELECT a.sid, (any_value(a.goal) - coalesce(sum(b.cap) FILTER (b.ratio < a.ratio), 0)) / sum(b.w) FILTER (b.ratio >= a.ratio) AS level
+  FROM c a, c b GROUP BY a.sid),
+z AS (
+  SELECT min(level) AS level FROM (
+    SELECT t.sid, t.level, abs(sum(least(c.cap, t.level * c.w)) - any_value(c.goal)) <= 1e-9 * any_value(c.goal) AS fits
+    FROM t, c GROUP BY t.sid, t.level) WHERE fits),
+g AS (SELECT source, source_size, least(cap, level * w)::DOUBLE AS target FROM c, z),
 p AS (
   SELECT d.doc_id, d.size, g.source_size, g.target, least(round(g.target), 2 * g.source_size)::BIGINT AS quota,
          (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS a
