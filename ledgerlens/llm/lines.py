@@ -18,7 +18,7 @@ A line's id is its 64-bit XXH64; two lines share one by chance once in 2^64 pair
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,36 +105,59 @@ def within(a: str, b: str, edits: int) -> int:
     return min(score, edits + 1)
 
 
-def meeting_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """(key, id, side) of every line: side 0 indexes, 1 probes lines of its own length, 2 probes shorter ones."""
+def _hashed(docs: DataFrame, min_chars: int, plan: Callable[[int], list[tuple[int, int, int]]]) -> DataFrame:
+    """(key, id, own) of the substrings that `plan` names for a line's length as (from, to, seed).
+
+    The seed tells the indexed length and the segment's number; own says that the length is the line's. A line that a
+    task meets often gives its rows once or, in a task of very many lines, a few times.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict[int, tuple] = {}
+        seen: set[int] = set()
         h = xxhash.xxh64_intdigest
         for batch in batches:
             keys: list[int] = []
-            sides: list[int] = []
+            own: list[bool] = []
+            ids: list[int] = []
             sizes: list[int] = []
-            for v in batch.column(1):
-                line = v.as_py()
-                plan = plans.get(len(line))
-                if plan is None:
-                    own = [(a, a + n, len(line) << 3 | i) for i, (a, n) in enumerate(segments(len(line), edits))]
-                    far = [(a, a + n, other << 3 | i) for other, i, a, n in probes(len(line), edits)]
-                    side = [0] * len(own) + [1 if seed >> 3 == len(line) else 2 for _, _, seed in far]
-                    if len(plans) > 50_000:
-                        plans.clear()
-                    plan = plans[len(line)] = (own + far, side)
-                keys += [h(line[a:b], seed) for a, b, seed in plan[0]]
-                sides += plan[1]
-                sizes.append(len(plan[1]))
-            ids = batch.column(0).to_numpy()
+            for t in batch.column(0):
+                for raw in (t.as_py() or "").split("\n"):
+                    line = raw.strip(_TRIM)
+                    if len(line) < min_chars or (ident := h(line, 42)) in seen:
+                        continue
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(ident)
+                    found = plans.get(len(line))
+                    if found is None:
+                        if len(plans) > 20_000:
+                            plans.clear()
+                        steps = plan(len(line))
+                        found = plans[len(line)] = (steps, [seed >> 3 == len(line) for _, _, seed in steps])
+                    keys += [h(line[a:b], seed) for a, b, seed in found[0]]
+                    own += found[1]
+                    ids.append(ident)
+                    sizes.append(len(found[1]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(ids, sizes)), pa.array(np.array(sides, np.int8))],
-                ["key", "id", "side"],
-            )
+                [
+                    pa.array(np.array(keys, np.uint64).view(np.int64)),
+                    pa.array(np.repeat(np.array(ids, np.uint64).view(np.int64), sizes)), pa.array(own, pa.bool_()),
+                ],
+                ["key", "id", "own"],
+            )
+
+    return docs.select("text").mapInArrow(run, "key bigint, id bigint, own boolean")
 
-    return lines.select("id", "line").mapInArrow(run, "key bigint, id bigint, side tinyint")
+
+def index_keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(key, id) of every segment of every line."""
+    return _hashed(docs, min_chars, lambda n: [(a, a + size, n << 3 | i) for i, (a, size) in enumerate(segments(n, edits))]).drop("own")
+
+
+def probe_keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(key, id, own) of every substring that a line looks up."""
+    return _hashed(docs, min_chars, lambda n: [(a, a + size, other << 3 | i) for other, i, a, size in probes(n, edits)])
 
 
 def verified(pairs: DataFrame, edits: int) -> DataFrame:
@@ -148,59 +171,101 @@ def verified(pairs: DataFrame, edits: int) -> DataFrame:
     return pairs.select("a", "b", "line_a", "line_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def links(lines: DataFrame, edits: int = EDITS, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(a, b), each pair once: ids of different lines within `edits` edits. `lines` has id and line, each line once."""
-    keys = written(meeting_keys(lines, edits))
-    index = keys.where("side = 0").select("key", F.col("id").alias("a"))
-    probe = keys.where("side > 0").select("key", F.col("id").alias("b"), "side")
-    met = index.join(probe, "key").where("a < b or (side = 2 and a <> b)")
-    pairs = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    dropped(keys)
-    released(lines.sparkSession)
-    n = pairs.count()
-    texts = lines.select("id", "line")
-    if n <= broadcast_rows:  # only the lines in question leave the scan
-        asked = F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        texts = written(texts.join(asked, "id", "left_semi"))
-    full = pairs.join(texts.withColumnsRenamed({"id": "a", "line": "line_a"}), "a").join(
-        texts.withColumnsRenamed({"id": "b", "line": "line_b"}), "b"
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(doc, row, no, line) of every line that isn't blank, trimmed."""
+    split = _keyed(docs).select("doc", "row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "raw"))
+    return split.select("doc", "row", "no", F.trim(F.col("raw"), F.lit(_TRIM)).alias("line")).where("line <> ''")
+
+
+def sketch(line: str) -> int:
+    """64 bits: the parity of the number of character pairs that hash to each. An edit turns at most four of them."""
+    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    slots = (c[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(58)
+    return int.from_bytes(np.packbits(np.bincount(slots.astype(np.int64), minlength=64) & 1 == 1).tobytes(), "big", signed=True)
+
+
+def _sketched(texts: DataFrame) -> DataFrame:
+    """Adds `sketch` to (id, line)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([sketch(x.as_py()) for x in batch.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], ["id", "line", "sketch"])
+
+    return texts.select("id", "line").mapInArrow(run, "id bigint, line string, sketch bigint")
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """The pairs (a, b) that are within `edits`, as a table."""
+    lines = texts.select("id", "line")
+    full = pairs.distinct().join(lines.withColumnsRenamed({"id": "a", "line": "line_a"}), "a").join(
+        lines.withColumnsRenamed({"id": "b", "line": "line_b"}), "b"
     )
     return written(verified(full, edits))
 
 
+def classes_of(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(node, root) of every line that is linked to another: connected components of the pairs within `edits` edits.
+
+    A group of n lines that are all within `edits` of each other has n^2 / 2 links, which need not be made to know that it
+    is one class. First, every line is checked with one line of each segment it meets, the one with the least id. Then all
+    other pairs that meet are checked, but for those that the first links have put in one class already; so no link
+    between different classes is lost. Of these, pairs whose sketches differ in more than 4 bits an edit can't be links
+    and are never made: lines that share most of their text but differ in a word.
+    """
+    spark = docs.sparkSession
+    index = written(index_keys(docs, edits, min_chars))
+    heads = index.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last"))
+    met = written(probe_keys(docs, edits, min_chars).join(heads, "key").where("head <> id or last <> id").distinct())
+    released(spark)
+    shared = written(index.join(met.select("key").distinct(), "key", "left_semi").distinct())
+    dropped(index)
+    asked = written(met.select("id").unionByName(shared.select("id")).distinct())
+    few = F.broadcast(asked) if asked.count() <= broadcast_rows else asked
+    lines = occurrences(docs).select(F.xxhash64("line").alias("id"), "line")
+    texts = written(_sketched(lines.join(few, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))))
+    first = _checked(met.where("head <> id").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")), texts, edits)
+    roots = components(first)
+    of = texts.select("id", "sketch").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "sketch", F.coalesce("root", "id").alias("root"))
+    left = shared.join(of, "id").select("key", F.col("id").alias("x"), F.col("root").alias("x_root"), F.col("sketch").alias("x_sketch"))
+    right = met.where("head <> last").join(of, "id").select("key", F.col("id").alias("y"), F.col("root").alias("y_root"), F.col("sketch").alias("y_sketch"), "own", "head")
+    near = F.bit_count(F.col("x_sketch").bitwiseXOR(F.col("y_sketch"))) <= 4 * edits
+    rest = left.join(right, (left["key"] == right["key"]) & (F.col("x_root") != F.col("y_root")) & (F.col("x") != F.col("head")) & near & ((F.col("x") < F.col("y")) | ~F.col("own")))
+    second = _checked(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), texts, edits)
+    for t in (met, shared, asked, texts):
+        dropped(t)
+    released(spark)
+    return components(first.unionByName(second)) if second.limit(1).count() else roots
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
 
 
 def decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, row, gone, told) of every document row with a line that isn't blank.
+    """(doc, row, gone, told) of every document row with a line that stands more than once, or nearly so.
 
-    gone has the numbers of its lines to be removed, told (number, class, links) of each line; both are bounded by the
+    gone has the numbers of its lines to be removed, told (number, class) of those that repeat; both are bounded by the
     document's length.
     """
     spark = docs.sparkSession
-    split = _keyed(docs).select("doc", "row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "raw"))
-    occurrences = split.select("doc", "row", "no", F.trim(F.col("raw"), F.lit(_TRIM)).alias("line")).where("line <> ''")
-    first = F.min(F.struct("doc", "no", "row")).alias("first")
-    uniq = written(occurrences.groupBy("line").agg(first).select(F.xxhash64("line").alias("id"), "line", "first"))
-    released(spark)
-    found = links(uniq.where(F.length("line") >= min_chars), edits)
-    released(spark)
-    roots = components(found)
-    degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    named = uniq.select("id", "first").join(roots.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
-    named = named.select("id", "first", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    heads = named.groupBy("root").agg(F.min("first").alias("head"))
-    classes = written(named.join(heads, "root").select("id", "root", "head", "n_links"))
-    dropped(uniq)
-    released(spark)
+    narrow = written(occurrences(docs).select("doc", "row", "no", F.xxhash64("line").alias("id")))
     where = F.struct("doc", "no", "row")
+    roots = classes_of(docs, edits, min_chars)
+    named = (
+        narrow.groupBy("id").agg(F.min(where).alias("first"), F.count("*").alias("n"))
+        .join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "first", "n", F.coalesce("root", "id").alias("root"))
+    )
+    named = written(named)
+    heads = named.groupBy("root").agg(F.min("first").alias("head"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    classes = written(named.select("id", "root").join(heads, "root"))
+    dropped(named)
+    released(spark)
     return (
-        occurrences.select("doc", "row", "no", F.xxhash64("line").alias("id")).join(classes, "id")
-        .groupBy("doc", "row")
+        narrow.join(classes, "id").groupBy("doc", "row")
         .agg(
             F.collect_set(F.when(~where.eqNullSafe(F.col("head")), F.col("no"))).alias("gone"),
-            F.collect_set(F.struct("no", "root", "n_links")).alias("told"),
+            F.collect_set(F.struct("no", "root")).alias("told"),
         )
     )
 
@@ -214,10 +279,10 @@ OUT = "n_lines bigint, n_removed bigint, kept_sha256 string, kept string"
 
 
 def deduplicated(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, n_lines, n_removed, kept_sha256, kept, n_links, classes) of every row.
+    """(doc_id, n_lines, n_removed, kept_sha256, kept, classes) of every row.
 
-    kept is the text without its removed lines; n_links counts, over the document's compared lines, the other distinct
-    lines that each is linked to; classes has the class id of each line that is not blank, in line order.
+    kept is the text without its removed lines; classes has the class ids of its lines that stand more than once among
+    all lines, or nearly so, in line order.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     told = decisions(docs, edits, min_chars)
@@ -225,7 +290,6 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     same = F.col("k.doc").eqNullSafe(F.col("t.doc")) & (F.col("k.row") == F.col("t.row"))
     asked = _keyed(docs).alias("k").join(told.alias("t"), same, "left").select(
         F.col("k.doc").alias("doc_id"), "text", "gone",
-        F.coalesce(F.aggregate("told", F.lit(0).cast("long"), lambda s, x: s + x["n_links"]), F.lit(0)).cast("long").alias("n_links"),
         F.coalesce(F.transform(F.array_sort("told"), lambda x: x["root"]), F.array().cast("array<bigint>")).alias("classes"),
     )
 
@@ -239,11 +303,11 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
             cols = list(zip(*out)) if out else [()] * 4
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)], batch.column(3), batch.column(4)],
-                ["doc_id", *[x.split()[0] for x in OUT.split(", ")], "n_links", "classes"],
+                [batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)], batch.column(3)],
+                ["doc_id", *[x.split()[0] for x in OUT.split(", ")], "classes"],
             )
 
-    return asked.mapInArrow(run, f"doc_id {kind}, {OUT}, n_links bigint, classes array<bigint>")
+    return asked.mapInArrow(run, f"doc_id {kind}, {OUT}, classes array<bigint>")
 
 
 def cleaned(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
