@@ -1,6 +1,6 @@
 """Imports every module that registers queries, so that the registry is complete."""
 
-from ledgerlens.operators import aggregates, cascades, feeds, graph, joins, ledger, ranking, retrieval, sets, text_safety  # noqa: F401
+from ledgerlens.operators import aggregates, cascades, feeds, graph, joins, ledger, ranking, repository, retrieval, sets, text_safety  # noqa: F401
 from ledgerlens.plans import flows  # noqa: F401
 from ledgerlens.registry import REGISTRY
 from ledgerlens.sources import lines  # noqa: F401

@@ -179,8 +179,10 @@ def bare_version(text: Column) -> Column:
 
 
 def values_env(name: Column) -> Column:
-    """Environment of a values file, null if it has none."""
-    return F.nullif(F.regexp_extract(name, r"^values-(.+?)(\.ya?ml)?$", 1), F.lit(""))
+    """(env, recognised) of a values file; its stem where the name is another."""
+    stem = F.regexp_replace(name, r"\.ya?ml\z", "")
+    env = F.regexp_extract(stem, r"(?s)\Avalues-(.+)\z", 1)
+    return F.struct(F.when(env != "", env).otherwise(stem).alias("env"), (env != "").alias("recognised"))
 
 
 def package_of_lock_key(key: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.fixed import OS_PACKAGE_TYPES
 from ledgerlens.registry import REGISTRY, table
 
 #: Order priorities from most to least urgent.
@@ -51,21 +52,18 @@ def argmax_label(df: DataFrame, group: list[str], label: str) -> DataFrame:
 
 
 def native_package_count(df: DataFrame) -> Column:
-    """npm packages flagged native or with a location that ends in .node (A3)."""
+    """npm packages whose metadata type is native or with a location that ends in .node (A3)."""
     return F.count_if(
         (F.col("type") == "npm") & (F.coalesce(F.col("native"), F.lit(False)) | F.exists("locations", lambda p: p.endswith(".node")))
     )
 
 
-#: Package type groups (fixed values).
-OS_PACKAGE_TYPES = {"deb": ("deb",), "apk": ("apk",), "rpm": ("rpm",)}
-
-
 def os_package_rollup(df: DataFrame) -> DataFrame:
-    """One row with a count per OS package type and `other` (A4)."""
-    known = [t for group in OS_PACKAGE_TYPES.values() for t in group]
-    counts = [F.count_if(F.col("type").isin(*types)).alias(name) for name, types in OS_PACKAGE_TYPES.items()]
-    return df.agg(*counts, F.count_if(~F.coalesce(F.col("type").isin(*known), F.lit(False))).alias("other"))
+    """Four fixed counts (A4): every operating system package counts as needed at run time."""
+    zero = F.lit(0).cast("bigint")
+    return df.agg(F.count_if(F.col("type").isin(*OS_PACKAGE_TYPES)).alias("runtime_required")).select(
+        "runtime_required", zero.alias("build_only"), zero.alias("convenience"), zero.alias("unknown")
+    )
 
 
 #: Confidence labels from low to high (fixed values).

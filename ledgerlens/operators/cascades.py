@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.fixed import ECOSYSTEMS, IDENTIFIERS
+from ledgerlens.functions.fixed import (
+    DISK_FULL,
+    ECOSYSTEMS,
+    GENERATED_DIRS,
+    GENERATOR_MARKERS,
+    IDENTIFIERS,
+    NETWORK_DENIED,
+    REGENERATE_SCRIPTS,
+)
 from ledgerlens.functions.scalars import full_match, safe_relative_path
 from ledgerlens.registry import REGISTRY, table
 
@@ -76,13 +84,13 @@ def scanner_outcome(tool: Column, exit_code: Column, parsed: Column, rules: Colu
 
 def sandbox_outcome(c: dict[str, Column]) -> Column:
     """Outcome of a jailed command (P29): raised errors, kill by deadline or memory, denied host, full disk, completed."""
-    killed = c["exit_code"].isin(-9, 137)
-    denied = c["stderr"].rlike(r"(?i)network is unreachable|could not resolve host|ENOTFOUND|EAI_AGAIN|ECONNREFUSED")
-    full = c["stderr"].rlike(r"(?i)no space left on device|disk quota exceeded|ENOSPC|EDQUOT")
+    killed = c["exit_code"] == -9
+    denied = c["stderr"].rlike("|".join(NETWORK_DENIED))
+    full = c["stderr"].rlike("|".join(DISK_FULL))
     return cascade(
         (c["raised"] == "timeout", "timed_out"),
         (c["raised"].isNotNull() | c["exit_code"].isNull(), "jail_setup_failed"),
-        (killed & (c["elapsed_s"] >= c["budget_s"] - 0.5), "timed_out"),
+        (killed & (c["elapsed_s"] >= c["budget_s"] - 0.1), "timed_out"),
         (killed & ((c["oom_kills"] > 0) | (c["peak_mib"] >= c["memory_mib"])), "oom_killed"),
         (killed, "completed"),
         ((c["exit_code"] != 0) & denied & c["denied_host"].isNotNull(), "network_denied"),
@@ -94,27 +102,59 @@ def sandbox_outcome(c: dict[str, Column]) -> Column:
 def certificate_source(paths: Column) -> Column:
     """Where certificates come from, by ordered path prefixes."""
     return cascade(
-        (F.exists(paths, lambda p: p.startswith("/etc/ssl/")), "system_bundle"), (F.exists(paths, lambda p: p.startswith("/usr/share/ca-certificates/")), "distro_package"),
-        (F.exists(paths, lambda p: p.startswith("/app/")), "application"), otherwise="none",
+        (F.size(paths) == 0, "absent"), (F.exists(paths, lambda p: p.startswith("/etc/ssl/certs/")), "ca-certificates"),
+        (F.exists(paths, lambda p: p.startswith("/app/vendor/certs/") | p.startswith("/vendor/certs/")), "vendored"), otherwise="unknown",
     )
 
 
 def app_layer(kind: Column) -> Column:
     """Whether provenance allows a change in the application's layer."""
-    return kind.isin("app", "both", "direct_dependency", "transitive_dependency")
+    return kind.isin("app_direct", "app_transitive", "app_vendored", "both")
 
 
-def harvest_verdict(trusted: Column, validated: Column, already: Column) -> Column:
-    """Why an outcome isn't kept, eligible otherwise; failed trust comes first (P20)."""
-    return cascade((~trusted, "trust_failed"), (~validated, "not_validated"), (already, "already_known"), otherwise="eligible")
+def harvest_verdict(plan: Column, passed: Column, confidence: Column) -> Column:
+    """Whether a plan's outcome is kept, or why not: failed trust comes before low confidence (P20)."""
+    return cascade((plan != "applied_from_llm", "not_eligible"), (~passed, "trust_failed"), (confidence != "high", "low_confidence"), otherwise="harvested")
 
 
 def generated_marker(head: Column, path: Column) -> Column:
-    """Kind of generated code by a marker in the first 4096 characters or the directory."""
-    first = F.left(head, F.lit(4096))
+    """Generator by a marker in the first 4096 bytes, in order, else `directory` under a known one, else null."""
+    first = F.left(F.encode(head, "UTF-8"), F.lit(4096))
+    marked = [(F.contains(first, F.encode(F.lit(text), "UTF-8")), name) for name, text in GENERATOR_MARKERS]
+    under = F.lit(False)
+    for d in GENERATED_DIRS:
+        under = under | (path == d) | path.startswith(f"{d}/")
+    return cascade(*marked, (under, "directory"))
+
+
+def regenerate_command(generator: Column, scripts: Column) -> Column:
+    """`pnpm run` with the first of a generator's script names that is there."""
+    names = F.coalesce(*[F.when(generator == g, F.array(*map(F.lit, keys))) for g, keys in REGENERATE_SCRIPTS.items()])
+    return F.concat(F.lit("pnpm run "), F.get(F.filter(names, lambda k: F.array_contains(scripts, k)), F.lit(0)))
+
+
+def runtime_freshness(s: dict[str, Column]) -> Column:
+    """Struct (kind, reason, detail) of a runtime trace against the built image.
+
+    `kinds` say what the fields were in the report: a field of another type than text or null is malformed.
+    """
+    def stale(reason: str, detail: str) -> Column:
+        return F.struct(F.lit("stale").alias("kind"), F.lit(reason).alias("reason"), F.lit(detail).alias("detail"))
+
+    digest = F.struct(F.lit("stale").alias("kind"), F.lit("digest_mismatch").alias("reason"), F.concat_ws("<>", s["built"], s["traced"]).alias("detail"))
+    return cascade(
+        (~s["present"] | (s["coverage"] == "unavailable"), stale("indexer_error", "upstream_unavailable")), (~s["well_formed"] | s["at"].isNull(), stale("indexer_error", "slice_malformed")),
+        (s["built"].isNull(), stale("indexer_error", "no_built_image")), (s["traced"].isNull(), stale("indexer_error", "no_trace_recorded")), (s["built"] != s["traced"], digest),
+        (F.try_to_timestamp(s["at"]).isNull(), stale("indexer_error", "slice_malformed")),
+        otherwise=F.struct(F.lit("fresh").alias("kind"), F.lit(None).cast("string").alias("reason"), s["at"].alias("detail")),
+    )
+
+
+def recipe_outcome(plan: Column, refusal: Column) -> Column:
+    """Recipe outcome of a plan outcome, a closed mapping."""
     return cascade(
-        (F.contains(first, F.lit("@generated")), "at_generated"), (F.contains(first, F.lit("DO NOT EDIT")), "do_not_edit"),
-        (F.contains(first, F.lit("Code generated by")), "code_generated_by"), (path.startswith("generated/") | F.contains(path, F.lit("/generated/")), "directory"),
+        (plan == "applied_from_llm", "applied:phase4.plan.applied_from_llm"), (plan == "applied_from_recipe", "applied:phase4.plan.applied_from_recipe"),
+        (plan == "rag_only_applicable", "skipped:registry_skipped"), (plan == "refused", F.concat(F.lit("failed:fallback.refused."), F.lower(refusal))),
     )
 
 
@@ -161,8 +201,8 @@ def identifier_checks(text: Column) -> list[Column]:
 def rule_outcomes(rules: DataFrame, files: DataFrame) -> DataFrame:
     """(repo, rule, outcome, evidence) of file-pattern rules (P13): all matching files must match, the first failing one
     is the evidence; no matching file: not applicable, or a failure where a file is asked for."""
-    hit = rules.join(files, F.col("path").rlike(F.col("glob_regex")), "left")
-    good = F.col("content").rlike(F.col("content_regex")) != F.col("inverted")
+    hit = rules.join(files, F.rlike("path", F.col("glob_regex")), "left")
+    good = F.rlike("content", F.col("content_regex")) != F.col("inverted")
     agg = hit.groupBy("rule", "needs_file").agg(
         F.count("path").alias("n"), F.bool_and(F.when(F.col("path").isNotNull(), good)).alias("ok"), F.min(F.when(~good, F.col("path"))).alias("evidence")
     )

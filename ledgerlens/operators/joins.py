@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.fixed import RECORD_STATES
 from ledgerlens.registry import REGISTRY, table
 
 
@@ -91,16 +92,23 @@ def version_freshness(expected: DataFrame, observed: DataFrame, key: str) -> Dat
 
 
 def supersession_issues(records: DataFrame) -> DataFrame:
-    """(number, issue) for records (number, status, supersedes, superseded_by): missing targets and back links."""
-    back = records.select(F.col("number").alias("t"), F.col("supersedes").alias("t_back"), F.lit(True).alias("there"))
-    fore = records.where("superseded_by is not null").join(back, F.col("superseded_by") == F.col("t"), "left")
-    forward = fore.select(
-        "number", F.when(F.col("there").isNull(), "missing_target").when(~F.col("t_back").eqNullSafe(F.col("number")), "missing_back_link").alias("issue")
+    """(number, issue) for records (number, status, review_trigger, supersedes, superseded_by) (J14): two self-joins."""
+    other = records.select(F.col("number").alias("t"), F.col("supersedes").alias("t_prior"), F.col("superseded_by").alias("t_next"), F.lit(True).alias("there"))
+    own = records.select(
+        "number",
+        F.explode(F.array(
+            F.when(~F.coalesce(F.col("status").isin(*RECORD_STATES), F.lit(False)), F.lit("invalid_status")),
+            F.when((F.col("status") == "Provisional Accepted") & F.coalesce(F.col("review_trigger") == "", F.lit(True)), F.lit("missing_review_trigger")),
+            F.when((F.col("status") == "Superseded") & F.col("superseded_by").isNull(), F.lit("missing_successor")),
+        )).alias("issue"),
+    )
+    after = records.where("status = 'Superseded' and superseded_by is not null").join(other, F.col("superseded_by") == F.col("t"), "left").select(
+        "number", F.when(F.col("there").isNull(), "successor_not_found").when(~F.col("t_prior").eqNullSafe(F.col("number")), "successor_without_back_link").alias("issue")
     )
-    status = records.select(
-        "number", F.when(~F.col("status").isin("accepted", "proposed", "provisional", "superseded", "rejected"), "invalid_status").alias("issue")
+    before = records.where("supersedes is not null").join(other, F.col("supersedes") == F.col("t"), "left").select(
+        "number", F.when(F.col("there").isNull(), "prior_not_found").when(~F.col("t_next").eqNullSafe(F.col("number")), "prior_without_back_link").alias("issue")
     )
-    return forward.unionByName(status).where("issue is not null")
+    return own.unionByName(after).unionByName(before).where("issue is not null")
 
 
 @REGISTRY.query(
@@ -211,19 +219,24 @@ def version_freshness_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return version_freshness(expected, observed, "s_suppkey").select("s_suppkey", "state")
 
 
-_RECORDS = "(1, 'accepted', NULL, 2), (2, 'accepted', 1, NULL), (3, 'superseded', NULL, 9), (4, 'odd', NULL, 2), (5, 'proposed', NULL, NULL)"
+_RECORDS = """(1, 'Superseded', NULL, NULL, 2), (2, 'Accepted', NULL, 1, NULL), (3, 'Superseded', NULL, NULL, 9), (4, 'odd', NULL, 8, NULL),
+  (5, 'Provisional Accepted', NULL, NULL, NULL), (6, 'Superseded', NULL, NULL, NULL), (7, 'Superseded', NULL, NULL, 2), (10, 'Accepted', 't', 2, NULL)"""
 
 
 @REGISTRY.query(
     "supersession_issues",
     f"""
-    WITH r(number, status, supersedes, superseded_by) AS (VALUES {_RECORDS})
+    WITH r(number, status, review_trigger, supersedes, superseded_by) AS (VALUES {_RECORDS})
     SELECT * FROM (
-      SELECT a.number, CASE WHEN b.number IS NULL THEN 'missing_target' WHEN b.supersedes IS DISTINCT FROM a.number THEN 'missing_back_link' END AS issue
-      FROM r a LEFT JOIN r b ON a.superseded_by = b.number WHERE a.superseded_by IS NOT NULL
-      UNION ALL SELECT number, 'invalid_status' FROM r WHERE status NOT IN ('accepted', 'proposed', 'provisional', 'superseded', 'rejected'))
+      SELECT a.number, CASE WHEN b.number IS NULL THEN 'successor_not_found' WHEN b.supersedes IS DISTINCT FROM a.number THEN 'successor_without_back_link' END AS issue
+      FROM r a LEFT JOIN r b ON a.superseded_by = b.number WHERE a.status = 'Superseded' AND a.superseded_by IS NOT NULL
+      UNION ALL SELECT a.number, CASE WHEN b.number IS NULL THEN 'prior_not_found' WHEN b.superseded_by IS DISTINCT FROM a.number THEN 'prior_without_back_link' END
+      FROM r a LEFT JOIN r b ON a.supersedes = b.number WHERE a.supersedes IS NOT NULL
+      UNION ALL SELECT number, 'missing_successor' FROM r WHERE status = 'Superseded' AND superseded_by IS NULL
+      UNION ALL SELECT number, 'missing_review_trigger' FROM r WHERE status = 'Provisional Accepted' AND coalesce(review_trigger, '') = ''
+      UNION ALL SELECT number, 'invalid_status' FROM r WHERE status NOT IN ('Proposed', 'Accepted', 'Provisional Accepted', 'Deferred', 'Superseded'))
     WHERE issue IS NOT NULL
     """,
 )
 def supersession_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return supersession_issues(spark.sql(f"SELECT * FROM VALUES {_RECORDS} AS r(number, status, supersedes, superseded_by)"))
+    return supersession_issues(spark.sql(f"SELECT * FROM VALUES {_RECORDS} AS r(number, status, review_trigger, supersedes, superseded_by)"))

@@ -14,7 +14,12 @@ from ledgerlens.functions.fixed import (
     DROPPED_HEADERS,
     ENTROPY_BITS,
     ENTROPY_MIN_BYTES,
+    FENCE_END,
+    FENCE_REDACTED,
+    FENCE_START,
     INJECTION_PATTERNS,
+    SECRET_KEY,
+    SECRET_KEY_ALLOWED,
     SECRET_PATTERNS,
     SEGMENT_CAPS,
 )
@@ -92,15 +97,15 @@ def canary(text: Column, nonce: Column | None = None) -> Column:
 
 def fenced(df: DataFrame, text: str, kind: str, nonce: Column) -> DataFrame:
     """Scan the whole text, redact on a collision or an embedded delimiter, truncate to the kind's cap, wrap."""
-    start, end = F.concat(F.lit("<untrusted_input nonce="), nonce, F.lit(">")), F.concat(F.lit("</untrusted_input nonce="), nonce, F.lit(">"))
+    start, end = F.concat(F.lit(FENCE_START), nonce, F.lit(">")), F.concat(F.lit(FENCE_END), nonce, F.lit(">"))
     embedded = F.contains(F.col(text), start) | F.contains(F.col(text), end)
-    df = df.withColumn("canary", F.coalesce(canary(F.col(text), nonce), F.when(embedded, F.lit("delimiter_collision"))))
+    df = df.withColumn("canary", F.coalesce(canary(F.col(text), nonce), F.when(embedded, F.lit("fence.delimiter_in_body"))))
     body, over = F.lit(None).cast("string"), F.lit(False)
     for k, cap in SEGMENT_CAPS.items():
         body = F.when(F.col(kind) == k, utf8_truncated(F.col(text), cap)).otherwise(body)
         over = F.when(F.col(kind) == k, utf8_over(F.col(text), cap)).otherwise(over)
     clean = F.col("canary").isNull()
-    return df.withColumn("content", F.concat(start, F.when(clean, body).otherwise(F.lit("[REDACTED]")), end)).withColumn("truncated", clean & over)
+    return df.withColumn("content", F.concat(start, F.when(clean, body).otherwise(F.lit(FENCE_REDACTED)), end)).withColumn("truncated", clean & over)
 
 
 def assembled(segments: DataFrame, case: str, caps: dict[str, int]) -> DataFrame:
@@ -132,7 +137,7 @@ def secret_shaped_keys(df: DataFrame, ident: str, json: str) -> DataFrame:
     """(id, key) of every nested key that looks like a secret's name (P24); needs no known schema."""
     pattern = r'"((?:[^"\\]|\\.)*)"\s*:'
     keys = df.select(ident, F.explode(F.regexp_extract_all(json, F.lit(pattern), F.lit(1))).alias("key"))
-    return keys.where(F.col("key").rlike(r"(?i)(secret|token|password|passwd|api[_-]?key|private[_-]?key|credential)")).distinct()
+    return keys.where(F.col("key").rlike(SECRET_KEY) & ~F.col("key").isin(*SECRET_KEY_ALLOWED)).distinct()
 
 
 def tokens_scrubbed(text: Column) -> Column:
@@ -194,7 +199,7 @@ def canary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query(
     "fenced_segments",
     """
-    SELECT c_custkey, '<untrusted_input nonce=n' || c_custkey || '>' || c_name || '</untrusted_input nonce=n' || c_custkey || '>' AS content, false AS truncated
+    SELECT c_custkey, '<UNTRUSTED_INPUT id=n' || c_custkey || '>' || c_name || '</UNTRUSTED_INPUT id=n' || c_custkey || '>' AS content, false AS truncated
     FROM customer
     """,
 )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.fixed import ADR_STATES
 from ledgerlens.functions.scalars import exec_form, kv_pairs
 from ledgerlens.registry import REGISTRY, table
 
@@ -150,13 +151,17 @@ def code_owners(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def decision_records(files: DataFrame) -> DataFrame:
-    """(path, id, title, status): first top heading, last status in the first 50 lines, id from the file's name."""
-    lines = numbered(files)
-    status = F.regexp_extract("line", r"(?i)\A\s*(?:[-*]\s*)?(?:\*\*)?status(?:\*\*)?\s*:\s*(?:\*\*)?\s*([A-Za-z][\w -]*)", 1)
-    title = F.regexp_extract("line", r"\A#\s+(.+)\z", 1)
+    """(path, id, title, status) of a record's first 50 lines: first top heading without its number, last known status,
+    id from the file's name (S20)."""
+    lines = numbered(files).where("pos < 50")
+    said = F.lower(F.regexp_extract("line", r"\A[Ss]tatus:\s*(\w+)", 1))
+    status = F.when(said.isin(*ADR_STATES), said).otherwise("")
+    title = F.regexp_replace(F.trim(F.regexp_extract("line", r"\A# (.+)\z", 1)), r"\A(?:ADR-|adr-)?\d+[.:]\s*", "")
+    stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?\z", 1)
+    number = F.regexp_extract(stem, r"\A(?:ADR-|adr-)?(\d+)", 1)
     return lines.groupBy("path").agg(
-        F.min_by(title, F.when(title != "", F.col("pos"))).alias("title"), F.lower(F.trim(F.max_by(status, F.when((status != "") & (F.col("pos") < 50), F.col("pos"))))).alias("status")
-    ).select("path", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?\z", 1).alias("id"), "title", "status")
+        F.min_by(title, F.when(title != "", F.col("pos"))).alias("title"), F.max_by(status, F.when(status != "", F.col("pos"))).alias("status")
+    ).select("path", F.when(number != "", number).otherwise(stem).alias("id"), "title", F.coalesce("status", F.lit("unknown")).alias("status"))
 
 
 def front_matter(files: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def gitleaks_findings(files: DataFrame) -> DataFrame:
 def packages(files: DataFrame) -> DataFrame:
     """(path, name, version, type, native, locations) of a bill of materials (S10); unknown fields are ignored."""
     rows = files.select("path", F.inline(F.from_json("text", SYFT)["artifacts"]))
-    native = F.coalesce(F.try_element_at("metadata", F.lit("native")) == "true", F.lit(False))
+    native = F.coalesce(F.try_element_at("metadata", F.lit("type")) == "native", F.lit(False))
     return rows.select("path", "name", "version", "type", native.alias("native"), F.transform("locations", lambda x: x["path"]).alias("locations"))
 
 
@@ -77,13 +77,13 @@ def upstream_digest(text: Column) -> Column:
 
 
 def image_reference(values: Column) -> Column:
-    """Image of chart values in its four shapes (F17): text, repository with tag, with digest, or the repository alone."""
+    """Image of chart values in its four shapes (F17): text, repository with tag, repository alone; a tag alone is none."""
     def at(path: str) -> Column:
         return F.try_variant_get(values, path, "string")
 
-    repo, tag, digest = at("$.image.repository"), at("$.image.tag"), at("$.image.digest")
+    repo, tag = at("$.image.repository"), at("$.image.tag")
     flat = F.when(F.schema_of_variant(F.try_variant_get(values, "$.image", "variant")) == "STRING", at("$.image"))
-    return F.coalesce(flat, F.concat(repo, F.lit(":"), tag), F.concat(repo, F.lit("@"), digest), repo)
+    return F.coalesce(flat, F.concat(repo, F.lit(":"), tag), repo)
 
 
 def containers(manifests: DataFrame) -> DataFrame:

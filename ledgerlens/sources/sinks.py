@@ -11,8 +11,8 @@ def put_cache(entries: DataFrame, path: str, key: str = "key") -> None:
     entries.withColumn("shard", F.left(F.sha2(F.col(key).cast("string"), 256), F.lit(2))).write.mode("append").partitionBy("shard").parquet(path)
 
 
-def append_new(rows: DataFrame, path: str, key: list[str]) -> DataFrame:
-    """Appends the first row of each key that the table doesn't have (K3, K6) and returns what was appended."""
+def append_new(rows: DataFrame, path: str, key: list[str]) -> int:
+    """Appends the first row of each key that the table doesn't have (K3, K6) and returns how many it appended."""
     spark = rows.sparkSession
     fresh = rows.dropDuplicates(key)
     try:
@@ -26,9 +26,9 @@ def append_new(rows: DataFrame, path: str, key: list[str]) -> DataFrame:
     fresh = fresh.persist()
     try:
         fresh.write.mode("append").parquet(path)
+        return fresh.count()
     finally:
         fresh.unpersist()
-    return fresh
 
 
 def write_by_day(rows: DataFrame, path: str, ts: str) -> None:

@@ -102,8 +102,8 @@ def test_small_text_functions(spark):
     assert one(spark, S.tsc_errors, "Found 12 errors in 3 files.") == 12
     assert one(spark, lambda c: S.engine_at_least(c, 18), ">=18.1") is True
     assert one(spark, lambda c: S.engine_at_least(c, 18), "18.x") is False
-    assert one(spark, S.values_env, "values-prod.yaml") == "prod"
-    assert one(spark, S.values_env, "values.yaml") is None
+    assert one(spark, S.values_env, "values-prod.yaml").env == "prod"
+    assert not one(spark, S.values_env, "values.yaml").recognised
     assert one(spark, S.aware_timestamp, "2024-01-01T00:00:00") is None
     assert one(spark, S.aware_timestamp, "2024-01-01T00:00:00Z") is not None
     assert one(spark, S.forbidden_characters, "a‮b") is True
@@ -156,7 +156,7 @@ def test_sandbox_outcomes(spark):
     names = "raised exit_code stderr elapsed_s budget_s oom_kills peak_mib memory_mib denied_host quota_bytes written_bytes".split()
     rows = [
         ("timeout", None, "", 1.0, 9.0, 0, 1, 9, None, None, None), (None, -9, "", 9.0, 9.0, 1, 99, 9, None, None, None), (None, -9, "", 1.0, 9.0, 1, 1, 9, None, None, None),
-        (None, 1, "could not resolve host", 1.0, 9.0, 0, 1, 9, "h", None, None), (None, 1, "could not resolve host", 1.0, 9.0, 0, 1, 9, None, None, None),
+        (None, 1, "connect:  Network is unreachable", 1.0, 9.0, 0, 1, 9, "h", None, None), (None, 1, "connect: Network is unreachable", 1.0, 9.0, 0, 1, 9, None, None, None),
         (None, 1, "No space left on device", 1.0, 9.0, 0, 1, 9, None, 5, 6), (None, 0, "", 1.0, 9.0, 0, 1, 9, None, None, None),
     ]
     df = spark.createDataFrame(rows, "raised string, exit_code int, stderr string, elapsed_s double, budget_s double, oom_kills int, peak_mib int, memory_mib int, denied_host string, quota_bytes int, written_bytes int")
