@@ -25,10 +25,11 @@ def append_new(rows: DataFrame, path: str, key: list[str]) -> int:
         fresh = fresh.join(there, same, "left_anti")
     fresh = fresh.persist()
     try:
+        n = fresh.count()  # a write to the path empties what is kept of it
         fresh.write.mode("append").parquet(path)
-        return fresh.count()
     finally:
         fresh.unpersist()
+    return n
 
 
 def write_by_day(rows: DataFrame, path: str, ts: str) -> None:
