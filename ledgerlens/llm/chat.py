@@ -181,11 +181,13 @@ def digests(pieces: DataFrame, conv: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: list | None = None
+        kind = pa.int64()
 
         def closed() -> tuple:
             return (state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5])
 
         for batch in batches:
+            kind = batch.schema.field(0).type
             rows, out = zip(*[c.to_pylist() for c in batch.columns]) if batch.num_rows else (), []
             for conv_id, _, _, text, a, b in rows:
                 if state is None or state[0] != conv_id:
@@ -201,9 +203,9 @@ def digests(pieces: DataFrame, conv: str) -> DataFrame:
                 state[3] += len(learned)
                 state[4].update(learned.encode("utf-8", "surrogatepass"))
                 state[5] += len(text)
-            yield _digest_batch(out, conv, batch.schema.field(0).type)
+            yield _digest_batch(out, conv, kind)
         if state is not None:
-            yield _digest_batch([closed()], conv, pa.infer_type([state[0]]) if state[0] is not None else pa.int64())
+            yield _digest_batch([closed()], conv, kind)
 
     return pieces.select(conv, "seq", "layout", "piece", "loss_from", "loss_to").mapInArrow(
         run, f"{conv} {pieces.schema[conv].dataType.simpleString()}, {DIGEST}"
