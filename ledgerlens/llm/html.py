@@ -45,6 +45,8 @@ DROPPED_WORDS = frozenset(
     " widgets copyright disclaimer alert toast outbrain taboola skip hidden search".split()
 )
 _COMMENT_WORDS = frozenset("comment comments disqus respond reply replies".split())
+_LAYOUT_WORDS = frozenset("has no with without".split())
+_TITLE_WORDS = frozenset("entry post article content story title".split())
 MAIN = frozenset(("article", "main"))
 CONTAINERS = frozenset("html body div section article main table tbody tr td ul ol dl blockquote center figure details fieldset".split())
 #: These end an open paragraph.
@@ -90,9 +92,11 @@ class _Lines(HTMLParser):
         for name, value in attrs:
             if name in ("class", "id"):
                 words = {w.lower() for w in _SPLIT.split(value or "") if w}
+                if words & _LAYOUT_WORDS:  # `has-sidebar` says what stands beside the part
+                    continue
                 if words & (_COMMENT_WORDS if tag in MAIN or tag in ("body", "html") else DROPPED_WORDS) and tag not in ("body", "html"):
                     return True
-                if "header" in words and not inside and tag in ("div", "section"):
+                if "header" in words and not words & _TITLE_WORDS and not inside and tag in ("div", "section"):
                     return True
             elif name == "role" and (value or "").lower() in DROPPED_ROLES:
                 return True

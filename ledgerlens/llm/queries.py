@@ -26,7 +26,7 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.features(mpegts.packed(table(spark, sf_dir, "documents")))
 
 
-@LLM.query("op4_substring_dedup")
+@LLM.query("op4_substring_dedup", recompress.ORACLE)
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.deduplicated(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 

@@ -261,3 +261,17 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, with_text: bool = True)
     rows = _keyed(docs).withColumnsRenamed({"doc": "k_doc", "row": "k_row"})
     joined = rows.join(spans, (F.col("k_doc") == F.col("doc")) & (F.col("k_row") == F.col("row")), "left")
     return joined.select(F.col("k_doc").alias("doc_id"), "text", "spans").mapInArrow(run, f"doc_id {kind}, {OUT}")
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, doc_id, k, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE doc_id IS NOT NULL)),
+m AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g),
+c AS (SELECT DISTINCT r, unnest(range(k, k + 13)) AS p FROM g JOIN m USING (g) WHERE least < doc_id),
+x AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS kept FROM x ANTI JOIN c USING (r, p) GROUP BY r),
+n AS (SELECT r, count(*) AS n_removed FROM c GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r) LEFT JOIN n USING (r)
+"""

@@ -281,6 +281,7 @@ PAGES = [
     ("<body><header><h1>Site</h1></header><main><div class='ad-box'>buy</div><p>text of the page</p><section id=comments><p>nice</p></section></main></body>", "text of the page"),
     ("<article><script>var a='<p>no</p>'</script><style>p{}</style><!-- no --><p>yes</p><div role=navigation>no</div><p hidden>no</p></article>", "yes"),
     ("<div><div class=cookie-notice>we use cookies</div><p>Just a page with some words in it.</p><p>And a second block.</p></div>", "Just a page with some words in it.\nAnd a second block."),
+    ("<div class='page has-sidebar'><div class='entry-header'><h1>Title here</h1></div><p>Some text that is long enough to be content.</p></div>", "Title here\nSome text that is long enough to be content."),
     ("plain text", "plain text"), ("", ""), (None, ""), ("<<<>&lt;", "<<<><"), ("<article><p>unclosed <b>bold", "unclosed bold"),
 ]
 
