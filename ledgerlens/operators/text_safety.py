@@ -208,7 +208,13 @@ def fenced_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fenced(rows, "text", "kind", F.concat(F.lit("n"), F.col("c_custkey").cast("string"))).select("c_custkey", "content", "truncated")
 
 
-@REGISTRY.query("utf8_truncate")
+@REGISTRY.query(
+    "utf8_truncate",
+    """
+    SELECT doc_id, left(text, list_filter(range(0, least(length(text), 101) + 1), lambda k: strlen(left(text, k)) <= 101)[-1]) AS body,
+           strlen(text) > 101 AS truncated FROM documents
+    """,
+)
 def utf8_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", utf8_truncated(F.col("text"), 101).alias("body"), utf8_over(F.col("text"), 101).alias("truncated"))
