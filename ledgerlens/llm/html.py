@@ -7,7 +7,7 @@ class words and leave no lines. The ratio of plain characters to tags is smoothe
 lines and split in two clusters; the lines of the upper one weigh the page's containers by their characters. The region
 is the article or main element with most of that weight, else the deepest container that holds nearly all of it. In an
 article or main element every line is kept, elsewhere the lines of the containers that hold lines of the upper cluster
-and what lies between them.
+or a first-level heading and what lies between them.
 
 Nulls: a null html is an empty page with empty text. Repeated rows are extracted each for itself. An empty table gives
 no rows. Broken markup never raises: elements end with their parents. Other columns are not read.
@@ -68,7 +68,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple] = [("", False, 0, False, False)]
         self.parents, self.main = [-1], [False]
-        self.lines: list[tuple[str, int, int, int]] = []  # text, linked characters, tags, container
+        self.lines: list[tuple[str, int, int, int, bool]] = []  # text, linked characters, tags, container, title
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
@@ -76,7 +76,7 @@ class _Lines(HTMLParser):
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append((text, self.linked, self.tags, self.open[-1][2]))
+                self.lines.append((text, self.linked, self.tags, self.open[-1][2], any(e[0] == "h1" for e in self.open)))
             self.parts.clear()
             if text:
                 self.tags = self.linked = 0
@@ -191,12 +191,12 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratio = [max(0, len(text) - linked) / max(1, tags) for text, linked, tags, _ in lines]
+    ratio = [max(0, len(text) - linked) / max(1, tags) for text, linked, tags, *_ in lines]
     soft = smoothed(ratio, sigma)
     border = threshold(soft)
     upper = [v >= border for v in soft]
     mass = [0] * len(parser.parents)
-    for (text, linked, _, at), up in zip(lines, upper):
+    for (text, linked, _, at, _), up in zip(lines, upper):
         if up:
             while at >= 0:
                 mass[at] += max(1, len(text) - linked)
@@ -205,12 +205,12 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     inner = [i for i in mains if not any(_inside(parser.parents, j, i) and mass[j] > 0.8 * mass[i] for j in mains if j != i)]
     best = max(inner, key=lambda i: mass[i], default=0)
     if best and mass[best] >= 0.2 * mass[0]:
-        return "\n".join(text for text, _, _, at in lines if _inside(parser.parents, at, best))
+        return "\n".join(text for text, _, _, at, _ in lines if _inside(parser.parents, at, best))
     region = 0
     while deeper := [i for i, p in enumerate(parser.parents) if p == region and mass[i] >= 0.9 * mass[0]]:
         region = deeper[0]
     own = [i for i, line in enumerate(lines) if _inside(parser.parents, line[3], region)]
-    hosts = {lines[i][3] for i in own if upper[i]}
+    hosts = {lines[i][3] for i in own if upper[i] or lines[i][4]}
     chosen = [i for i in own if lines[i][3] in hosts]
     return "\n".join(lines[i][0] for i in own if chosen[0] <= i <= chosen[-1]) if chosen else ""
 
