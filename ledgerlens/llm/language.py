@@ -249,22 +249,35 @@ def _labelled(column: pa.Array, cache: _Cache) -> tuple[list[str], np.ndarray, n
     labels, shares, switches = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     if languages and lengths.sum():
         ids = cache.rows([w for words in texts for w in words])
-        p = marginals(cache.table[ids], lengths, cache.model.moves)
-        letters = cache.letters[ids]
-        owner = np.repeat(np.arange(len(texts)), lengths)
-        n = np.bincount(owner, letters, len(texts))
-        mean = np.stack([np.bincount(owner, p[:, k] * letters, len(texts)) for k in range(len(languages))], 1)
-        mean /= np.maximum(n, 1)[:, None]
-        best = mean.argmax(1)
-        label = p.argmax(1)
-        changed = (label[1:] != label[:-1]) & (owner[1:] == owner[:-1])
-        switches = np.bincount(owner[1:], changed, len(texts)).astype(np.int64)
-        for i in np.flatnonzero(n):
-            labels[i] = languages[best[i]]
-        shares = np.where(n > 0, np.clip(mean[np.arange(len(texts)), best], 0, 1), 0.0)
+        starts = np.cumsum(lengths) - lengths
+        for part in _parts(lengths):
+            sizes = lengths[part]
+            owner = np.repeat(np.arange(len(part)), sizes)
+            own = ids[np.repeat(starts[part] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+            p = marginals(cache.table[own], sizes, cache.model.moves)
+            letters = cache.letters[own]
+            n = np.bincount(owner, letters, len(part))
+            mean = np.stack([np.bincount(owner, p[:, k] * letters, len(part)) for k in range(len(languages))], 1)
+            mean /= np.maximum(n, 1)[:, None]
+            best = mean.argmax(1)
+            label = p.argmax(1)
+            changed = (label[1:] != label[:-1]) & (owner[1:] == owner[:-1])
+            switches[part] = np.bincount(owner[1:], changed, len(part)).astype(np.int64)
+            shares[part] = np.where(n > 0, np.clip(mean[np.arange(len(part)), best], 0, 1), 0.0)
+            for i in np.flatnonzero(n):
+                labels[part[i]] = languages[best[i]]
     return labels, shares, lengths, switches
 
 
+def _parts(lengths: np.ndarray, words: int = 200_000) -> Iterator[np.ndarray]:
+    """Texts by falling length in parts of about so many words: steps are shared by texts alike in length, and what is
+    held at once doesn't depend on the batch."""
+    order = np.argsort(-lengths, kind="stable")
+    order = order[lengths[order] > 0]
+    cut = np.cumsum(lengths[order]) // words
+    yield from np.split(order, np.flatnonzero(np.diff(cut)) + 1)
+
+
 def accepted(docs: DataFrame, model: Model, least: float = 0.35) -> DataFrame:
     """The documents, as they are, whose language is known with a score of `least` or more; a null lang is filled in."""
     spark = docs.sparkSession
