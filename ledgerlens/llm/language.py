@@ -30,7 +30,7 @@ PER_LANGUAGE, SEQUENCES, LENGTH = 200, 3000, 48
 SIZE = 1 << 16
 UNKNOWN = "und"
 _P = np.uint64(0x9E3779B97F4A7C15)
-_MAX_CACHE = 400_000
+_MAX_CACHE = 150_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -72,10 +72,15 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(slots), np.concatenate(owners)
 
 
-def emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
-    """Summed feature weights of each word, one column a language."""
-    slot, owner = features(words)
-    return np.stack([np.bincount(owner, weights[slot, k], len(words)) for k in range(weights.shape[1])], 1)
+def emissions(words: list[str], weights: np.ndarray, at_once: int = 4096) -> np.ndarray:
+    """Summed feature weights of each word, one column a language; the features of few words are held at once."""
+    out = np.zeros((len(words), weights.shape[1]))
+    for i in range(0, len(words), at_once):
+        part = words[i : i + at_once]
+        slot, owner = features(part)
+        for k in range(weights.shape[1]):
+            out[i : i + at_once, k] = np.bincount(owner, weights[slot, k], len(part))
+    return out
 
 
 def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -269,7 +274,7 @@ def _labelled(column: pa.Array, cache: _Cache) -> tuple[list[str], np.ndarray, n
     return labels, shares, lengths, switches
 
 
-def _parts(lengths: np.ndarray, words: int = 200_000) -> Iterator[np.ndarray]:
+def _parts(lengths: np.ndarray, words: int = 50_000) -> Iterator[np.ndarray]:
     """Texts by falling length in parts of about so many words: steps are shared by texts alike in length, and what is
     held at once doesn't depend on the batch."""
     order = np.argsort(-lengths, kind="stable")
@@ -281,7 +286,7 @@ def _parts(lengths: np.ndarray, words: int = 200_000) -> Iterator[np.ndarray]:
 def accepted(docs: DataFrame, model: Model, least: float = 0.35) -> DataFrame:
     """The documents, as they are, whose language is known with a score of `least` or more; a null lang is filled in."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     sent = spark.sparkContext.broadcast((model.languages, model.weights.astype(np.float32), model.moves))
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
@@ -300,7 +305,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.35) -> DataFrame:
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, n_words, n_switches): n_switches counts neighbours labelled differently."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     sent = spark.sparkContext.broadcast((model.languages, model.weights.astype(np.float32), model.moves))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
