@@ -5,7 +5,8 @@ segments of even length; if another line is within `edits` edits, at least one s
 place that the lengths and the segment's number narrow down to a few. So each line indexes its segments under
 (length, number, text), and probes the substrings that a line of its own or a smaller length could have left it. Lines
 that meet are verified by banded bit-parallel edit distance. Linked lines form classes (connected components). The first
-line of a class, by doc_id and line number, stays everywhere else the line is removed.
+line of a class, by doc_id and line number, stays everywhere else the line is removed. The links of a line, the other
+distinct lines within `edits` edits of it, are counted exactly: lines that share a segment are compared block by block.
 
 Nulls: a null text is an empty one; blank lines are neither compared nor removed. Lines shorter than `min_chars` are
 compared for equality only. A null doc_id comes before all others. Repeated rows count as documents of their own: rows
@@ -18,6 +19,7 @@ A line's id is its 64-bit XXH64; two lines share one by chance once in 2^64 pair
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.shared import components, dropped, released, written
 
 EDITS, MIN_CHARS = 2, 20
+#: Characters of the lines of a segment that are compared with others at once; more are split.
+BLOCK = 65_536
 _TRIM = " \t\r\x0b\x0c"
 
 
@@ -204,8 +208,87 @@ def _checked(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return written(verified(full, edits))
 
 
+def first_shared(x: str, y: str, edits: int) -> int:
+    """Number of the first segment of x that stands in y, which isn't shorter, where `probes` looks it up; -1 if none does."""
+    d = len(y) - len(x)
+    for i, (start, size) in enumerate(segments(len(x), edits)):
+        lo, hi = max(start - i, start + d - (edits - i), 0), min(start + i, start + d + (edits - i), len(y) - size)
+        if lo <= hi and y.find(x[start : start + size], lo, hi + size) >= 0:
+            return i
+    return -1
+
+
+def _blocks(rows: DataFrame, side: str) -> DataFrame:
+    """(key, side_block, side): the lines of each key in lists of about `BLOCK` characters."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.sum(F.length("line")) / BLOCK).alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)).cast("long")).alias(f"{side}_block")
+    dealt = rows.join(sizes, "key", "left").select("key", part, F.struct("id", "line", "sketch", "own").alias("row"))
+    return dealt.groupBy("key", f"{side}_block").agg(F.collect_list("row").alias(side))
+
+
+def link_counts(shared: DataFrame, met: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """(id, n_links) of every line with a link, as a table; n_links counts the other distinct lines within `edits`.
+
+    Every indexed line of a key is compared with every line that looks the key up, block by block, and only counts leave a
+    task. A pair may meet under several keys; it counts under that of the first segment they share.
+    """
+    own = F.lit(False).alias("own")
+    left = _blocks(shared.join(texts, "id").select("key", "id", "line", "sketch", own), "x")
+    right = _blocks(met.select("key", "id", "own").join(texts, "id").select("key", "id", "line", "sketch", "own"), "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        h = xxhash.xxh64_intdigest
+        for batch in batches:
+            for row in range(batch.num_rows):
+                key = batch.column(0)[row].as_py() % 2**64
+                (xs, x_lines, x_ids, x_sketch, _), (ys, y_lines, y_ids, y_sketch, y_own) = map(_columns, (batch.column(1)[row], batch.column(2)[row]))
+                near = np.bitwise_count(x_sketch[:, None] ^ y_sketch[None, :]) <= 4 * edits
+                near &= (x_ids[:, None] < y_ids[None, :]) | ~y_own[None, :] & (x_ids[:, None] != y_ids[None, :])
+                for i, j in zip(*(a.tolist() for a in np.nonzero(near))):
+                    x, y = x_lines[i], y_lines[j]
+                    k = first_shared(x, y, edits)
+                    if k < 0:
+                        continue
+                    start, size = segments(len(x), edits)[k]
+                    if h(x[start : start + size], len(x) << 3 | k) == key and within(x, y, edits) <= edits:
+                        counts[xs[i]] += 1
+                        counts[ys[j]] += 1
+            if len(counts) > 200_000:
+                yield _counts(counts)
+                counts.clear()
+        yield _counts(counts)
+
+    spark = shared.sparkSession
+    pairs = left.join(right, "key").repartition("key", "x_block", "y_block").select("key", "x", "y")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    found = written(pairs.mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n_links")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    return found
+
+
+def _columns(rows: pa.ListScalar) -> tuple:
+    """Ids and lines as lists, ids, sketches and own as arrays."""
+    v = rows.values
+    ids, line, sketches, own = (v.field(k) for k in ("id", "line", "sketch", "own"))
+    return ids.to_pylist(), line.to_pylist(), ids.to_numpy(), sketches.to_numpy().view(np.uint64), own.to_numpy(zero_copy_only=False)
+
+
+def _counts(counts: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["id", "n"])
+
+
 def classes_of(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(node, root) of every line that is linked to another."""
+    return linked(docs, edits, min_chars, broadcast_rows)[0]
+
+
+def linked(
+    docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_rows: int = 1_000_000, counted: bool = False
+) -> tuple[DataFrame, DataFrame | None]:
     """(node, root) of every line that is linked to another: connected components of the pairs within `edits` edits.
+    Beside it, if `counted`, (id, n_links) of these lines.
 
     A group of n lines that are all within `edits` of each other has n^2 / 2 links, which need not be made to know that it
     is one class. First, every line is checked with one line of each segment it meets, the one with the least id. Then all
@@ -232,40 +315,39 @@ def classes_of(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     near = F.bit_count(F.col("x_sketch").bitwiseXOR(F.col("y_sketch"))) <= 4 * edits
     rest = left.join(right, (left["key"] == right["key"]) & (F.col("x_root") != F.col("y_root")) & (F.col("x") != F.col("head")) & near & ((F.col("x") < F.col("y")) | ~F.col("own")))
     second = _checked(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), texts, edits)
+    counts = link_counts(shared, met, texts, edits) if counted else None
     for t in (met, shared, asked, texts):
         dropped(t)
     released(spark)
-    return components(first.unionByName(second)) if second.limit(1).count() else roots
+    return components(first.unionByName(second)) if second.limit(1).count() else roots, counts
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
 
 
-def decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, counted: bool = False) -> DataFrame:
     """(doc, row, gone, told) of every document row with a line that stands more than once, or nearly so.
 
-    gone has the numbers of its lines to be removed, told (number, class) of those that repeat; both are bounded by the
-    document's length.
+    gone has the numbers of its lines to be removed, told (number, class, links) of those that repeat; both are
+    bounded by the document's length. Links are null unless `counted`.
     """
     spark = docs.sparkSession
     narrow = written(occurrences(docs).select("doc", "row", "no", F.xxhash64("line").alias("id")))
     where = F.struct("doc", "no", "row")
-    roots = classes_of(docs, edits, min_chars)
-    named = (
-        narrow.groupBy("id").agg(F.min(where).alias("first"), F.count("*").alias("n"))
-        .join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "first", "n", F.coalesce("root", "id").alias("root"))
-    )
-    named = written(named)
+    roots, counts = linked(docs, edits, min_chars, counted=counted)
+    named = narrow.groupBy("id").agg(F.min(where).alias("first"), F.count("*").alias("n")).join(roots.withColumnRenamed("node", "id"), "id", "left")
+    named = named.join(counts, "id", "left") if counted else named.withColumn("n_links", F.lit(None).cast("long"))
+    named = written(named.select("id", "first", "n", F.coalesce("root", "id").alias("root"), "n_links"))
     heads = named.groupBy("root").agg(F.min("first").alias("head"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    classes = written(named.select("id", "root").join(heads, "root"))
+    classes = written(named.select("id", "root", "n_links").join(heads, "root"))
     dropped(named)
     released(spark)
     return (
         narrow.join(classes, "id").groupBy("doc", "row")
         .agg(
             F.collect_set(F.when(~where.eqNullSafe(F.col("head")), F.col("no"))).alias("gone"),
-            F.collect_set(F.struct("no", "root")).alias("told"),
+            F.collect_set(F.struct("no", "root", "n_links")).alias("told"),
         )
     )
 
@@ -275,39 +357,50 @@ def _kept(text: str | None, gone: list[int] | None) -> str:
     return "\n".join(x for i, x in enumerate((text or "").split("\n")) if i not in away)
 
 
-OUT = "n_lines bigint, n_removed bigint, kept_sha256 string, kept string"
+OUT = "n_lines bigint, n_removed bigint, kept_sha256 string, kept string, n_links bigint, links array<bigint>, classes array<bigint>"
 
 
 def deduplicated(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, n_lines, n_removed, kept_sha256, kept, classes) of every row.
+    """(doc_id, n_lines, n_removed, kept_sha256, kept, n_links, links, classes) of every row.
 
-    kept is the text without its removed lines; classes has the class ids of its lines that stand more than once among
-    all lines, or nearly so, in line order.
+    kept is the text without its removed lines. For each line that isn't blank, in line order, classes has its class id and
+    links the number of other distinct lines within `edits` edits of it (0 if it is shorter than `min_chars`); n_links is
+    their sum.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    told = decisions(docs, edits, min_chars)
+    told = decisions(docs, edits, min_chars, counted=True)
     kind = docs.schema["doc_id"].dataType.simpleString()
     same = F.col("k.doc").eqNullSafe(F.col("t.doc")) & (F.col("k.row") == F.col("t.row"))
     asked = _keyed(docs).alias("k").join(told.alias("t"), same, "left").select(
         F.col("k.doc").alias("doc_id"), "text", "gone",
-        F.coalesce(F.transform(F.array_sort("told"), lambda x: x["root"]), F.array().cast("array<bigint>")).alias("classes"),
+        "told.no", "told.root", "told.n_links",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = xxhash.xxh64_intdigest
         for batch in batches:
             out: list[tuple] = []
-            for t, gone in zip(batch.column(1), batch.column(2)):
-                text, away = t.as_py() or "", gone.as_py() or []
+            for t, *rest in zip(*batch.columns[1:]):
+                text = t.as_py() or ""
+                away, nos, roots, n_links = (x.as_py() or [] for x in rest)
+                at = dict(zip(nos, zip(roots, n_links)))
                 kept = _kept(text, away)
-                out.append((text.count("\n") + 1, len(away), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), kept))
-            cols = list(zip(*out)) if out else [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+                links, classes = [], []
+                for no, raw in enumerate(text.split("\n")):
+                    if line := raw.strip(_TRIM):
+                        # A line that nothing repeats or nears is a class of its own, named by its id.
+                        root, n = at.get(no) or ((h(line, 42) + 2**63) % 2**64 - 2**63, 0)
+                        classes.append(root)
+                        links.append(n or 0)
+                out.append((text.count("\n") + 1, len(away), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), kept, sum(links), links, classes))
+            cols = list(zip(*out)) if out else [()] * 7
+            many = pa.list_(pa.int64())
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), many, many]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)], batch.column(3)],
-                ["doc_id", *[x.split()[0] for x in OUT.split(", ")], "classes"],
+                [batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", *[x.split()[0] for x in OUT.split(", ")]]
             )
 
-    return asked.mapInArrow(run, f"doc_id {kind}, {OUT}, classes array<bigint>")
+    return asked.mapInArrow(run, f"doc_id {kind}, {OUT}")
 
 
 def cleaned(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -450,6 +450,24 @@ def test_lines_odd_rows(spark):
     assert clean.columns == frame(spark, ODD, clash=True).columns and clean.count() == len(ODD)
 
 
+@pytest.mark.parametrize("block", [65_536, 150])
+def test_line_links_are_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(lines, "BLOCK", block)
+    rng = random.Random(9)
+    pool = ["the quick brown fox jumps", "ab" * 12]
+    for _ in range(80):  # large groups of near-equal lines, nearly all of whose links lie inside a class
+        pool.append(near(rng, rng.choice(pool[:2]), rng.randrange(1, 3)))
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(4)), "en", "s") for i in range(60)] + [(70, "short\n\na line of its own", "en", "s")]
+    long = {x for _, t, *_ in rows for x in t.split("\n") if len(x) >= 10}
+    want = {x: sum(a != x and distance(a, x) <= 2 for a in long) for x in long}
+    got = {r.doc_id: r for r in lines.deduplicated(frame(spark, rows), 2, 10).collect()}
+    for i, t, *_ in rows:
+        told = [x for x in t.split("\n") if x]
+        assert got[i].links == [want.get(x, 0) for x in told] and got[i].n_links == sum(got[i].links)
+        assert len(got[i].classes) == len(told)
+    assert len(set(got[70].classes)) == 2
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------------
 
 
