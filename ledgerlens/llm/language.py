@@ -12,7 +12,9 @@ The training sample is bounded: at most `per_language` documents of a language,
 id, and `sequences` sequences of them. Everything else covers all texts.
 
 Nulls: a null text, or one without a letter, is `und` with score 0; a null lang isn't learned from; a null doc_id is
-never held out. Without any label everything is `und`. Repeated rows are predicted each. An empty table gives no rows.
+never held out. Documents without a letter aren't learned from, so a label that has no others is left out. With one
+label left, every text with a letter gets it with score 1; with none, everything is `und`, and `accepted` keeps every
+document with a letter, as there is nothing to judge it by. Repeated rows are predicted each. An empty table gives no rows.
 Ties go to the first language by name. Of the table only doc_id, text and, to train, lang are read.
 """
 
@@ -123,12 +125,15 @@ class Model:
 
     @classmethod
     def fitted(cls, texts: list[list[str]], labels: list[str], sequences: int = SEQUENCES, length: int = LENGTH, epochs: int = 4, seed: int = 7) -> Model:
-        """Fits by stochastic gradient steps (AdaGrad) on spliced sequences."""
-        languages = sorted(set(labels))
+        """Fits by stochastic gradient steps (AdaGrad) on spliced sequences.
+
+        Labels without a usable word are left out. One language alone needs no weights: its score is 1.
+        """
+        languages = sorted({l for w, l in zip(texts, labels) if w})
         n = len(languages)
         by = [[w for w, l in zip(texts, labels) if l == lang and w] for lang in languages]
         weights, moves = np.zeros((SIZE, n)), np.zeros((n, n))
-        if n < 2 or not all(by):
+        if n < 2:
             return cls(languages, weights, moves)
         rng = np.random.default_rng(seed)
         words: list[str] = []
@@ -198,7 +203,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sequences: int = SEQUENCES) -> Model:
     """Learns from documents that aren't held out and have a lang; see the bounds above."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     digest = F.xxhash64(F.col("doc_id"), F.lit("language"))
     ids = usable.select("lang", "doc_id", digest.alias("h"))
     counts = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -296,7 +301,10 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.35) -> DataFrame:
             labels, shares, _, _ = _labelled(batch.column(text), cache)
             filled = pc.coalesce(batch.column(lang), pa.array(labels, batch.schema.field(lang).type))
             columns = [filled if i == lang else c for i, c in enumerate(batch.columns)]
-            keep = pa.array([label != UNKNOWN and share >= least for label, share in zip(labels, shares.tolist())], pa.bool_())
+            if cache.model.languages:
+                keep = pa.array([label != UNKNOWN and share >= least for label, share in zip(labels, shares.tolist())], pa.bool_())
+            else:
+                keep = pa.array([any(map(str.isalpha, t.as_py() or "")) for t in batch.column(text)], pa.bool_())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(keep)
 
     return docs.mapInArrow(run, docs.schema)

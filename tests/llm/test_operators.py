@@ -514,3 +514,19 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in language.predicted(df, none).collect()} == {"und"}
     assert language.predicted(df.limit(0), model).count() == 0
     assert language.accepted(df, model).columns == df.columns
+
+
+def test_a_label_without_words_does_not_stop_training(spark):
+    rng = random.Random(5)
+    pools = {"en": ["alpha", "beta", "gamma", "delta"], "es": ["uno", "dos", "tres", "cuatro"], "fr": ["rouge", "vert", "bleu", "gris"]}
+    rows = [(i, " ".join(rng.choice(pools[lang]) for _ in range(30)), lang, "s") for i, lang in enumerate(list(pools) * 12)]
+    rows += [(i, "12 34 56", "aa", "s") for i in range(100, 104)]
+    df = frame(spark, rows)
+    model = language.fit(df, sequences=300)
+    got = {r.doc_id: r.lang_pred for r in language.predicted(df, model).collect()}
+    assert model.languages == ["en", "es", "fr"]
+    assert all(got[i] == (lang if i < 100 else "und") for i, _, lang, _ in rows)
+    assert language.accepted(df, model).count() == 36
+    for label in ("en", None):  # one language alone, and none
+        some = frame(spark, [(i, t, label if i < 100 else "aa", s) for i, t, _, s in rows])
+        assert language.accepted(some, language.fit(some)).count() == 36
