@@ -1,11 +1,19 @@
 """Secret redaction, entropy, injection phrases, fenced segments, recorded HTTP.
 
 Replacement by a fingerprint of the match needs no Python: the matches of a pattern are extracted once, and a fold over
-the distinct ones, longest first, replaces each by its marker.
+the distinct ones, longest first, replaces each by its marker. Only the walk over nested JSON values is in Arrow batches.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +76,62 @@ def high_entropy(text: Column) -> Column:
     return (F.octet_length(text) >= ENTROPY_MIN_BYTES) & (shannon_entropy(text) >= ENTROPY_BITS)
 
 
+_JSON_STRING = re.compile(r'("(?:[^"\\]|\\.)*+")(\s*:)?')
+_NAMED = [re.compile(p) for _, p in SECRET_PATTERNS]
+
+
+def _mark(m: str) -> str:
+    return f"<REDACTED:fingerprint={hashlib.sha256(m.encode('utf-8', 'surrogatepass')).hexdigest()[:8]}>"
+
+
+def _value_redacted(value: str) -> str:
+    """`redacted` of one string."""
+    out = value
+    for p in _NAMED:
+        out = p.sub(lambda m: _mark(m[0]), out)
+    if out == value and len(value.encode("utf-8", "surrogatepass")) >= ENTROPY_MIN_BYTES:
+        n = len(value)
+        if -sum(c / n * math.log2(c / n) for c in Counter(value).values()) >= ENTROPY_BITS:
+            return _mark(value)
+    return out
+
+
+def _json_redacted(text: str) -> str:
+    def one(m: re.Match) -> str:
+        if m[2] is not None:
+            return m[0]
+        value = json.loads(m[1])
+        clean = _value_redacted(value)
+        return m[1] if clean == value else json.dumps(clean)
+
+    def refused(constant: str) -> None:
+        raise ValueError(constant)
+
+    try:
+        json.loads(text, parse_constant=refused, parse_int=str, parse_float=str)
+    except RecursionError:
+        pass  # deeper than the parser goes; the walk over its strings isn't recursive
+    except ValueError:
+        return json.dumps(_value_redacted(text))
+    return _JSON_STRING.sub(one, text)
+
+
+def nested_redacted(df: DataFrame, data: str) -> DataFrame:
+    """Each string value of a JSON column redacted by itself, however deep; keys and all else stay as they are.
+
+    A text that isn't JSON becomes one JSON string of its redacted text, so what holds it stays valid. Null stays null.
+    """
+    at = df.columns.index(data)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.columns
+            columns[at] = pa.array([None if t is None else _json_redacted(t) for t in columns[at].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def envelope_redacted(text: Column) -> Column:
     """Entropy for strings that hold no marker yet."""
     return F.when(~text.rlike(MARKER) & high_entropy(text), marker(text)).otherwise(text)

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import feeds, joins, ledger, ranking
 from ledgerlens.operators.cascades import freshness_confidence, index_freshness
-from ledgerlens.operators.text_safety import redacted
+from ledgerlens.operators.text_safety import nested_redacted
 from ledgerlens.registry import REGISTRY, table
 from ledgerlens.sources.sinks import envelope
 
 
 def gather(slices: DataFrame) -> DataFrame:
-    """Envelope of each repository from its probes' slices, secrets redacted before anything is joined (3.1)."""
-    return envelope(redacted(slices, "slice"))
+    """Envelope of each repository from its probes' slices, secrets in their values redacted before anything is joined (3.1)."""
+    return envelope(nested_redacted(slices, "slice"))
 
 
 def refresh(raw: DataFrame, target: DataFrame | None, order: str = "seq") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -207,3 +207,22 @@ def test_streams_equal_batches(spark, tmp_path):
     q = T.idempotent_ingest(stream, str(tmp_path / "out"), ["user_id"], str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_gather_redacts_values_only(spark):
+    from ledgerlens.plans.flows import gather
+
+    key, other = "ghp_" + "a" * 36, "".join(chr(48 + i) for i in range(40))
+    plain = {"files": [f"src/module_{i}.py" for i in range(12)], "n": 1, "deep": {"a\"b": [None, True, 1.50, "é \\"]}}
+    secret = {key: [{"x": f"t {key}"}, other], "y": {other: "short"}}
+    pem = "-----BEGIN PRIVATE KEY-----\nabc\n-----END PRIVATE KEY-----"
+    rows = [("r", "plain", 1, json.dumps(plain)), ("r", "secret", 1, json.dumps(secret)), ("r", "pem", 1, json.dumps({"k": pem})), ("r", "broken", 1, f"{{oops {key}"), ("r", "nan", 1, "NaN"), ("r", "none", 1, None)]
+    slices = spark.createDataFrame(rows, "repo string, probe string, pos int, slice string")
+    got = gather(slices).first().json
+    probes = json.loads(got)["probes"]
+    mark = "<REDACTED:fingerprint="
+    assert probes["plain"] == plain
+    assert list(probes["secret"]) == [key, "y"] and probes["secret"]["y"] == {other: "short"}
+    named, entropy = probes["secret"][key]
+    assert named["x"].startswith("t " + mark) and entropy.startswith(mark)
+    assert probes["pem"]["k"].startswith(mark) and probes["broken"].startswith("{oops " + mark) and probes["nan"] == "NaN"
