@@ -247,6 +247,23 @@ def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(spark.sql(f"SELECT * FROM VALUES {_SECRETS} AS t(id, text)"), "id", "text")
 
 
+def _with_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text) of all documents and of the literal rows, whose ids are negative."""
+    literal = spark.sql(f"SELECT CAST(-id AS BIGINT) AS id, text FROM VALUES {_SECRETS} AS t(id, text)")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), "text").unionByName(literal)
+
+
+@REGISTRY.query("redact_secrets_documents")
+def redact_secrets_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All patterns and the entropy rule over whole documents; SQL says neither."""
+    return redacted(_with_literals(spark, sf_dir), "text")
+
+
+@REGISTRY.query("secret_findings_documents")
+def secret_findings_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(_with_literals(spark, sf_dir), "id", "text")
+
+
 _CANARY = "CASE " + " ".join(
     "WHEN contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '" + p.lower().replace("'", "''") + f"') THEN '{n}'" for n, p in INJECTION_PATTERNS
 ) + " END"

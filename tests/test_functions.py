@@ -174,3 +174,29 @@ def test_config_issues():
     assert config_issues(good) == []
     assert len(config_issues(good | {"high": 0.5, "per_call": 3, "path": "/a"})) == 3
     assert config_issues(good | {"high": float("nan")}) == ["high isn't in 0 to 1"]
+
+
+def test_secrets_of_whole_documents(spark):
+    import math
+    import re
+    from collections import Counter
+
+    from ledgerlens.catalog import REGISTRY
+    from ledgerlens.functions.fixed import SECRET_PATTERNS
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.id: r.text for r in REGISTRY.queries()["redact_secrets_documents"](spark, sf).collect()}
+    assert set(got) == set(docs) | {-1, -2, -3, -4} and "AKIA" not in got[-1]
+    want_found = Counter()
+    for i, text in docs.items():
+        left = text
+        for name, p in SECRET_PATTERNS if text is not None else ():
+            want_found.update((i, name) for _ in re.findall(p, left))
+            left = re.sub(p, lambda m: f"<REDACTED:fingerprint={hashlib.sha256(m[0].encode()).hexdigest()[:8]}>", left)
+        if text is not None and left == text and len(text.encode()) >= 32:
+            if -sum(c / len(text) * math.log2(c / len(text)) for c in Counter(text).values()) >= 4.5:
+                left = f"<REDACTED:fingerprint={hashlib.sha256(text.encode()).hexdigest()[:8]}>"
+        assert got[i] == left
+    found = REGISTRY.queries()["secret_findings_documents"](spark, sf).where("id >= 0").collect()
+    assert Counter((r.id, r.pattern_class) for r in found) == want_found
