@@ -200,3 +200,21 @@ def test_secrets_of_whole_documents(spark):
         assert got[i] == left
     found = REGISTRY.queries()["secret_findings_documents"](spark, sf).where("id >= 0").collect()
     assert Counter((r.id, r.pattern_class) for r in found) == want_found
+
+
+def test_tokens_scrubbed_in_whole_documents(spark):
+    import re
+
+    from ledgerlens.catalog import REGISTRY
+    from ledgerlens.functions.fixed import BODY_PATTERNS
+
+    def plain(text):
+        for p in BODY_PATTERNS:
+            text = re.sub(p, "[REDACTED]", text, flags=re.ASCII)
+        return text
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: (r.scrubbed, r.digest) for r in REGISTRY.queries()["scrub_long_tokens_documents"](spark, sf).collect()}
+    assert any(t and not t.isascii() for t in docs.values())
+    assert got == {i: (None, None) if t is None else (plain(t) != t, hashlib.md5(plain(t).encode()).hexdigest()) for i, t in docs.items()}
