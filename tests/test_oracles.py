@@ -1,9 +1,8 @@
 """Every registered query of the core against its SQL, and against itself on other partitions."""
 
 import pytest
-from oracle import connection, oracle_rows, rows_of
+from oracle import SF, connection, oracle_rows, rows_of
 
-from conftest import SF
 from ledgerlens.catalog import REGISTRY
 
 QUERIES, ORACLES = REGISTRY.queries(), REGISTRY.oracle_sql()
