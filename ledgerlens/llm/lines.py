@@ -1,19 +1,26 @@
 """Line dedup by a segment-partition edit join.
 
-Distinct lines (trimmed) of at least `min_chars` characters are compared. A line of length l is split into edits + 1
-segments of even length; if another line is within `edits` edits, at least one segment stands in it unchanged, at a
-place that the lengths and the segment's number narrow down to a few. So each line indexes its segments under
-(length, number, text), and probes the substrings that a line of its own or a smaller length could have left it. Lines
-that meet are verified by banded bit-parallel edit distance. Linked lines form classes (connected components). The first
-line of a class, by doc_id and line number, stays everywhere else the line is removed. The links of a line, the other
-distinct lines within `edits` edits of it, are counted exactly: lines that share a segment are compared block by block.
-
-Nulls: a null text is an empty one; blank lines are neither compared nor removed. Lines shorter than `min_chars` are
-compared for equality only. A null doc_id comes before all others. Repeated rows count as documents of their own: rows
-that agree in doc_id and text get the same result, the first occurrence included. An empty table gives no rows. Only
-doc_id and text are read.
-
-A line's id is its 64-bit XXH64; two lines share one by chance once in 2^64 pairs.
+Distinct lines (trimmed) are compared. Two lines are near-equal within `edits` edits, or fewer for short lines: at most
+1 - `similarity` of the shorter one's characters, so lines of under five characters are compared for equality only. A
+line of length l is split into t + 1 segments of even length, t being what it allows; if another line, not shorter, is
+within t edits, at least one segment stands in it unchanged, at a place that the lengths and the segment's number narrow
+down to a few. So each line indexes its segments under (length, number, text), and probes the substrings that a line of
+its own or a smaller length could have left it. Lines that meet are verified by banded bit-parallel edit distance.
+
+A segment that more than `frequent` lines index would be compared pair by pair. Its lines are split again: without the
+segment, what is left of two near-equal lines is within t edits too, so it is cut in t + 1 segments of its own and probed
+in the same way. The frequent key is replaced by keys of the segment with one of these; no pair is lost.
+
+Linked lines form classes (connected components). The first line of a class, by doc_id and line number, stays everywhere
+else the line is removed. The links of a line, the other distinct lines near-equal to it, are counted exactly: lines that
+share a segment are compared block by block.
+
+Nulls: a null text is an empty one; blank lines are neither compared nor removed. A null doc_id comes before all others.
+Repeated rows count as documents of their own: rows that agree in doc_id and text get the same result, the first
+occurrence included. An empty table gives no rows. Only doc_id and text are read.
+
+A line is named by two XXH64 of different seeds, 128 bits, where equality decides. Keys and links name it by the first of
+them: of two lines that share it by chance (once in 2^64 pairs) one is compared for equality only.
 """
 
 from __future__ import annotations
@@ -25,15 +32,23 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.shared import components, dropped, released, written
+from ledgerlens.llm.shared import batched, components, dropped, released, written
 
-EDITS, MIN_CHARS = 2, 20
-#: Characters of the lines of a segment that are compared with others at once; more are split.
-BLOCK = 65_536
+EDITS, SIMILARITY = 2, 0.8
+#: Lines of a segment beyond which it is split again.
+FREQUENT = 2000
+#: Characters, and lines, of a segment's lines that are compared with others at once; more are split.
+BLOCK, BLOCK_LINES = 65_536, 2048
 _TRIM = " \t\r\x0b\x0c"
+_MASK = 2**64 - 1
+
+
+def allowed(length: int, edits: int = EDITS, similarity: float = SIMILARITY) -> int:
+    """Edits within which a line of `length` is near-equal to lines that aren't shorter."""
+    return min(edits, int(length * (1 - similarity) + 1e-9))
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -48,19 +63,27 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return found
 
 
-def probes(length: int, edits: int) -> list[tuple[int, int, int, int]]:
-    """(indexed length, segment number, start, size) of the substrings that a line of `length` must look up.
+def places(other: int, length: int, edits: int) -> list[tuple[int, int, int, int]]:
+    """(segment number, from, to, size): where the segments of a line of length `other` may stand in one of `length`.
 
-    With d = length - indexed length, segment i (from 0) of a line within `edits` stands unchanged at most i places from
-    its own start, and at most edits - i places from it counted from the right end, for some i.
+    With d = length - other, segment i (from 0) of a line within `edits` stands unchanged at most i places from its own
+    start, and at most edits - i places from it counted from the right end, for some i.
     """
+    d, found = length - other, []
+    for i, (start, size) in enumerate(segments(other, edits)):
+        lo, hi = max(start - i, start + d - (edits - i), 0), min(start + i, start + d + (edits - i), length - size)
+        if lo <= hi:
+            found.append((i, lo, hi, size))
+    return found
+
+
+def probes(length: int, edits: int = EDITS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int]]:
+    """(indexed length, segment number, start, size) of the substrings that a line of `length` must look up."""
     found = []
-    for other in range(max(edits + 1, length - edits), length + 1):
-        d = length - other
-        for i, (start, size) in enumerate(segments(other, edits)):
-            lo = max(start - i, start + d - (edits - i), 0)
-            hi = min(start + i, start + d + (edits - i), length - size)
-            found += [(other, i, at, size) for at in range(lo, hi + 1)]
+    for other in range(max(1, length - edits), length + 1):
+        t = allowed(other, edits, similarity)
+        if t and length - other <= t:
+            found += [(other, i, at, size) for i, lo, hi, size in places(other, length, t) for at in range(lo, hi + 1)]
     return found
 
 
@@ -109,7 +132,7 @@ def within(a: str, b: str, edits: int) -> int:
     return min(score, edits + 1)
 
 
-def _hashed(docs: DataFrame, min_chars: int, plan: Callable[[int], list[tuple[int, int, int]]]) -> DataFrame:
+def _hashed(docs: DataFrame, plan: Callable[[int], list[tuple[int, int, int]]]) -> DataFrame:
     """(key, id, own) of the substrings that `plan` names for a line's length as (from, to, seed).
 
     The seed tells the indexed length and the segment's number; own says that the length is the line's. A line that a
@@ -128,7 +151,7 @@ def _hashed(docs: DataFrame, min_chars: int, plan: Callable[[int], list[tuple[in
             for t in batch.column(0):
                 for raw in (t.as_py() or "").split("\n"):
                     line = raw.strip(_TRIM)
-                    if len(line) < min_chars or (ident := h(line, 42)) in seen:
+                    if not line or (ident := h(line, 42)) in seen:
                         continue
                     if len(seen) > 500_000:
                         seen.clear()
@@ -143,42 +166,99 @@ def _hashed(docs: DataFrame, min_chars: int, plan: Callable[[int], list[tuple[in
                     own += found[1]
                     ids.append(ident)
                     sizes.append(len(found[1]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.array(keys, np.uint64).view(np.int64)),
-                    pa.array(np.repeat(np.array(ids, np.uint64).view(np.int64), sizes)), pa.array(own, pa.bool_()),
-                ],
-                ["key", "id", "own"],
-            )
+            yield _keys(keys, np.repeat(np.array(ids, np.uint64).view(np.int64), sizes), own)
+
+    return batched(docs).select("text").mapInArrow(run, "key bigint, id bigint, own boolean")
+
+
+def _keys(keys: list[int], ids: np.ndarray | list[int], own: list[bool]) -> pa.RecordBatch:
+    signed = pa.array(np.array(keys, np.uint64).view(np.int64))
+    return pa.RecordBatch.from_arrays([signed, pa.array(ids, pa.int64()), pa.array(own, pa.bool_())], ["key", "id", "own"])
+
 
-    return docs.select("text").mapInArrow(run, "key bigint, id bigint, own boolean")
+def _indexed(length: int, edits: int, similarity: float) -> list[tuple[int, int, int]]:
+    """(from, to, seed) of the segments that a line of `length` indexes; none if it allows no edit."""
+    t = allowed(length, edits, similarity)
+    return [(a, a + size, length << 3 | i) for i, (a, size) in enumerate(segments(length, t))] if t else []
 
 
-def index_keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def index_keys(docs: DataFrame, edits: int = EDITS, similarity: float = SIMILARITY) -> DataFrame:
     """(key, id) of every segment of every line."""
-    return _hashed(docs, min_chars, lambda n: [(a, a + size, n << 3 | i) for i, (a, size) in enumerate(segments(n, edits))]).drop("own")
+    return _hashed(docs, lambda n: _indexed(n, edits, similarity)).drop("own")
 
 
-def probe_keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def probe_keys(docs: DataFrame, edits: int = EDITS, similarity: float = SIMILARITY) -> DataFrame:
     """(key, id, own) of every substring that a line looks up."""
-    return _hashed(docs, min_chars, lambda n: [(a, a + size, other << 3 | i) for other, i, a, size in probes(n, edits)])
+    return _hashed(docs, lambda n: [(a, a + size, other << 3 | i) for other, i, a, size in probes(n, edits, similarity)])
 
 
-def verified(pairs: DataFrame, edits: int) -> DataFrame:
-    """(a, b) of the pairs whose lines line_a and line_b are within `edits`."""
+def _second(key: int, rest: str, a: int, b: int, length: int, i: int) -> int:
+    """The key of a segment with a segment of what is left without it."""
+    return (key * 0x9E3779B97F4A7C15 + xxhash.xxh64_intdigest(rest[a:b], length << 3 | i)) & _MASK
+
+
+def split_index(line: str, key: int, edits: int, similarity: float) -> list[int]:
+    """The keys that replace a frequent key of a line that indexes it."""
+    found = []
+    for a, b, seed in _indexed(len(line), edits, similarity):
+        if xxhash.xxh64_intdigest(line[a:b], seed) == key:
+            rest = line[:a] + line[b:]
+            t = allowed(len(line), edits, similarity)
+            found += [_second(key, rest, c, c + size, len(rest), i) for i, (c, size) in enumerate(segments(len(rest), t))]
+    return found
+
+
+def split_probe(line: str, key: int, edits: int, similarity: float) -> set[int]:
+    """The keys that replace a frequent key of a line that looks it up."""
+    found = set()
+    for other, i, at, size in probes(len(line), edits, similarity):
+        if xxhash.xxh64_intdigest(line[at : at + size], other << 3 | i) == key:
+            rest = line[:at] + line[at + size :]
+            for j, lo, hi, n in places(other - size, len(rest), allowed(other, edits, similarity)):
+                found |= {_second(key, rest, c, c + n, other - size, j) for c in range(lo, hi + 1)}
+    return found
+
+
+def _split(rows: DataFrame, how: Callable[[str, int], list[int] | set[int]]) -> DataFrame:
+    """Rows (key, id, line, ...) of frequent keys with the keys that replace each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [within(x.as_py(), y.as_py(), edits) <= edits for x, y in zip(batch.column(2), batch.column(3))]
+            found = [how(line, key & _MASK) for key, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            keys = pa.array(np.array([k for f in found for k in f], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([keys, *[c.take(at) for c in batch.columns[2:]]], ["key", *batch.schema.names[2:]])
+
+    rows = rows.select("key", "line", *[c for c in rows.columns if c not in ("key", "line")])
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns if c != "line")
+    return rows.mapInArrow(run, kinds).distinct()
+
+
+def near_equal(x: str, y: str, edits: int, similarity: float) -> bool:
+    t = allowed(min(len(x), len(y)), edits, similarity)
+    return t > 0 and within(x, y, t) <= t
+
+
+def verified(pairs: DataFrame, edits: int, similarity: float) -> DataFrame:
+    """(a, b) of the pairs whose lines line_a and line_b are near-equal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [near_equal(x.as_py(), y.as_py(), edits, similarity) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b", "line_a", "line_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc, row, no, line) of every line that isn't blank, trimmed."""
+    """(doc, row, no, line, id, check) of every line that isn't blank, trimmed; id and check name it."""
     split = _keyed(docs).select("doc", "row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "raw"))
-    return split.select("doc", "row", "no", F.trim(F.col("raw"), F.lit(_TRIM)).alias("line")).where("line <> ''")
+    lines = split.select("doc", "row", "no", F.trim(F.col("raw"), F.lit(_TRIM)).alias("line")).where("line <> ''")
+    return lines.select("*", F.xxhash64("line").alias("id"), _check(F.col("line")).alias("check"))
+
+
+def _check(line: Column) -> Column:
+    return F.xxhash64(F.lit(1), line)
 
 
 def sketch(line: str) -> int:
@@ -199,59 +279,71 @@ def _sketched(texts: DataFrame) -> DataFrame:
     return texts.select("id", "line").mapInArrow(run, "id bigint, line string, sketch bigint")
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """The pairs (a, b) that are within `edits`, as a table."""
+def _checked(pairs: DataFrame, texts: DataFrame, edits: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are near-equal, as a table."""
     lines = texts.select("id", "line")
     full = pairs.distinct().join(lines.withColumnsRenamed({"id": "a", "line": "line_a"}), "a").join(
         lines.withColumnsRenamed({"id": "b", "line": "line_b"}), "b"
     )
-    return written(verified(full, edits))
-
-
-def first_shared(x: str, y: str, edits: int) -> int:
-    """Number of the first segment of x that stands in y, which isn't shorter, where `probes` looks it up; -1 if none does."""
-    d = len(y) - len(x)
-    for i, (start, size) in enumerate(segments(len(x), edits)):
-        lo, hi = max(start - i, start + d - (edits - i), 0), min(start + i, start + d + (edits - i), len(y) - size)
-        if lo <= hi and y.find(x[start : start + size], lo, hi + size) >= 0:
-            return i
+    return written(verified(full, edits, similarity))
+
+
+def first_shared(x: str, y: str, edits: int, similarity: float, hot: set[int] | frozenset[int] = frozenset()) -> int:
+    """The first key that x indexes and y, which isn't shorter, looks up; -1 if there is none. Keys in `hot` are split."""
+    t = allowed(len(x), edits, similarity)
+    if not t or len(y) - len(x) > t:
+        return -1
+    cut = segments(len(x), t)
+    for i, lo, hi, size in places(len(x), len(y), t):
+        start = cut[i][0]
+        at = y.find(x[start : start + size], lo, hi + size)
+        if at < 0:
+            continue
+        key = xxhash.xxh64_intdigest(x[start : start + size], len(x) << 3 | i)
+        if key not in hot:
+            return key
+        left = x[:start] + x[start + size :]
+        inner = segments(len(left), t)
+        while at >= 0:
+            right = y[:at] + y[at + size :]
+            for j, low, high, n in places(len(left), len(right), t):
+                a = inner[j][0]
+                if right.find(left[a : a + n], low, high + n) >= 0:
+                    return _second(key, left, a, a + n, len(left), j)
+            at = y.find(x[start : start + size], at + 1, hi + size)
     return -1
 
 
 def _blocks(rows: DataFrame, side: str) -> DataFrame:
-    """(key, side_block, side): the lines of each key in lists of about `BLOCK` characters."""
-    sizes = rows.groupBy("key").agg(F.ceil(F.sum(F.length("line")) / BLOCK).alias("parts")).where("parts > 1")
+    """(key, side_block, side): the lines of each key in lists of about `BLOCK` characters, `BLOCK_LINES` lines at most."""
+    size = F.greatest(F.sum(F.length("line")) / BLOCK, F.count("*") / BLOCK_LINES)
+    sizes = rows.groupBy("key").agg(F.ceil(size).alias("parts")).where("parts > 1")
     part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)).cast("long")).alias(f"{side}_block")
-    dealt = rows.join(sizes, "key", "left").select("key", part, F.struct("id", "line", "sketch", "own").alias("row"))
+    dealt = rows.join(sizes, "key", "left").select("key", part, F.struct("id", "line", "sketch", "own", "hot").alias("row"))
     return dealt.groupBy("key", f"{side}_block").agg(F.collect_list("row").alias(side))
 
 
-def link_counts(shared: DataFrame, met: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """(id, n_links) of every line with a link, as a table; n_links counts the other distinct lines within `edits`.
+def link_counts(shared: DataFrame, met: DataFrame, texts: DataFrame, edits: int, similarity: float) -> DataFrame:
+    """(id, n_links) of every line with a link, as a table; n_links counts the other distinct lines near-equal to it.
 
     Every indexed line of a key is compared with every line that looks the key up, block by block, and only counts leave a
-    task. A pair may meet under several keys; it counts under that of the first segment they share.
+    task. A pair may meet under several keys; it counts under the first that they share. `hot` of a text has its split keys.
     """
-    own = F.lit(False).alias("own")
-    left = _blocks(shared.join(texts, "id").select("key", "id", "line", "sketch", own), "x")
-    right = _blocks(met.select("key", "id", "own").join(texts, "id").select("key", "id", "line", "sketch", "own"), "y")
+    left = _blocks(shared.join(texts, "id").select("key", "id", "line", "sketch", F.lit(False).alias("own"), "hot"), "x")
+    none = F.lit(None).cast("array<bigint>").alias("hot")
+    right = _blocks(met.select("key", "id", "own").join(texts, "id").select("key", "id", "line", "sketch", "own", none), "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        h = xxhash.xxh64_intdigest
         for batch in batches:
             for row in range(batch.num_rows):
-                key = batch.column(0)[row].as_py() % 2**64
-                (xs, x_lines, x_ids, x_sketch, _), (ys, y_lines, y_ids, y_sketch, y_own) = map(_columns, (batch.column(1)[row], batch.column(2)[row]))
+                key = batch.column(0)[row].as_py() & _MASK
+                (xs, x_lines, x_ids, x_sketch, _, x_hot), (ys, y_lines, y_ids, y_sketch, y_own, _) = map(_columns, (batch.column(1)[row], batch.column(2)[row]))
                 near = np.bitwise_count(x_sketch[:, None] ^ y_sketch[None, :]) <= 4 * edits
                 near &= (x_ids[:, None] < y_ids[None, :]) | ~y_own[None, :] & (x_ids[:, None] != y_ids[None, :])
                 for i, j in zip(*(a.tolist() for a in np.nonzero(near))):
                     x, y = x_lines[i], y_lines[j]
-                    k = first_shared(x, y, edits)
-                    if k < 0:
-                        continue
-                    start, size = segments(len(x), edits)[k]
-                    if h(x[start : start + size], len(x) << 3 | k) == key and within(x, y, edits) <= edits:
+                    if first_shared(x, y, edits, similarity, x_hot[i]) == key and near_equal(x, y, edits, similarity):
                         counts[xs[i]] += 1
                         counts[ys[j]] += 1
             if len(counts) > 200_000:
@@ -259,92 +351,107 @@ def link_counts(shared: DataFrame, met: DataFrame, texts: DataFrame, edits: int)
                 counts.clear()
         yield _counts(counts)
 
-    spark = shared.sparkSession
     pairs = left.join(right, "key").repartition("key", "x_block", "y_block").select("key", "x", "y")
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
-    found = written(pairs.mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n_links")))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    return found
+    return written(pairs.mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n_links")))
 
 
 def _columns(rows: pa.ListScalar) -> tuple:
-    """Ids and lines as lists, ids, sketches and own as arrays."""
+    """Ids and lines as lists, ids, sketches and own as arrays, split keys as sets."""
     v = rows.values
-    ids, line, sketches, own = (v.field(k) for k in ("id", "line", "sketch", "own"))
-    return ids.to_pylist(), line.to_pylist(), ids.to_numpy(), sketches.to_numpy().view(np.uint64), own.to_numpy(zero_copy_only=False)
+    ids, line, sketches, own, hot = (v.field(k) for k in ("id", "line", "sketch", "own", "hot"))
+    split = [frozenset(k & _MASK for k in found or ()) for found in hot.to_pylist()]
+    return ids.to_pylist(), line.to_pylist(), ids.to_numpy(), sketches.to_numpy().view(np.uint64), own.to_numpy(zero_copy_only=False), split
 
 
 def _counts(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["id", "n"])
 
 
-def classes_of(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(node, root) of every line that is linked to another."""
-    return linked(docs, edits, min_chars, broadcast_rows)[0]
-
-
 def linked(
-    docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_rows: int = 1_000_000, counted: bool = False
-) -> tuple[DataFrame, DataFrame | None]:
-    """(node, root) of every line that is linked to another: connected components of the pairs within `edits` edits.
-    Beside it, if `counted`, (id, n_links) of these lines.
+    docs: DataFrame, edits: int = EDITS, similarity: float = SIMILARITY, broadcast_rows: int = 1_000_000, counted: bool = False, frequent: int = FREQUENT
+) -> DataFrame:
+    """(id, check, root, n_links) of every line that is linked to another, as a table: its component of the near-equal
+    pairs and, if `counted`, the number of its links.
 
-    A group of n lines that are all within `edits` of each other has n^2 / 2 links, which need not be made to know that it
+    A group of n lines that are all near-equal to each other has n^2 / 2 links, which need not be made to know that it
     is one class. First, every line is checked with one line of each segment it meets, the one with the least id. Then all
     other pairs that meet are checked, but for those that the first links have put in one class already; so no link
     between different classes is lost. Of these, pairs whose sketches differ in more than 4 bits an edit can't be links
     and are never made: lines that share most of their text but differ in a word.
     """
     spark = docs.sparkSession
-    index = written(index_keys(docs, edits, min_chars))
+    index = written(index_keys(docs, edits, similarity))
     heads = index.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last"))
-    met = written(probe_keys(docs, edits, min_chars).join(heads, "key").where("head <> id or last <> id").distinct())
+    met = written(probe_keys(docs, edits, similarity).join(heads, "key").where("head <> id or last <> id").distinct())
     released(spark)
     shared = written(index.join(met.select("key").distinct(), "key", "left_semi").distinct())
     dropped(index)
     asked = written(met.select("id").unionByName(shared.select("id")).distinct())
     few = F.broadcast(asked) if asked.count() <= broadcast_rows else asked
-    lines = occurrences(docs).select(F.xxhash64("line").alias("id"), "line")
-    texts = written(_sketched(lines.join(few, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))))
-    first = _checked(met.where("head <> id").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")), texts, edits)
+    texts = written(_sketched(occurrences(docs).join(few, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))))
+    first = _checked(met.where("head <> id").select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")), texts, edits, similarity)
     roots = components(first)
+
+    hot = written(shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > frequent).select("key"))
+    tables, split_texts = [met, shared, asked, texts, hot, first], texts.withColumn("hot", F.lit(None).cast("array<bigint>"))
+    if hot.limit(1).count():
+        line = texts.select("id", "line")
+        frequent_index = written(shared.join(hot, "key", "left_semi"))
+        by_index = _split(frequent_index.join(line, "id"), lambda x, key: split_index(x, key, edits, similarity))
+        by_probe = _split(met.join(hot, "key", "left_semi").join(line, "id"), lambda x, key: split_probe(x, key, edits, similarity))
+        of_line = frequent_index.groupBy("id").agg(F.collect_set("key").alias("hot"))
+        split_texts = texts.join(of_line, "id", "left")
+        shared = written(shared.join(hot, "key", "left_anti").unionByName(by_index.select("key", "id")))
+        met = written(met.join(hot, "key", "left_anti").unionByName(by_probe.select(*met.columns)).distinct())
+        tables += [frequent_index, shared, met]
+
     of = texts.select("id", "sketch").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "sketch", F.coalesce("root", "id").alias("root"))
     left = shared.join(of, "id").select("key", F.col("id").alias("x"), F.col("root").alias("x_root"), F.col("sketch").alias("x_sketch"))
     right = met.where("head <> last").join(of, "id").select("key", F.col("id").alias("y"), F.col("root").alias("y_root"), F.col("sketch").alias("y_sketch"), "own", "head")
     near = F.bit_count(F.col("x_sketch").bitwiseXOR(F.col("y_sketch"))) <= 4 * edits
     rest = left.join(right, (left["key"] == right["key"]) & (F.col("x_root") != F.col("y_root")) & (F.col("x") != F.col("head")) & near & ((F.col("x") < F.col("y")) | ~F.col("own")))
-    second = _checked(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), texts, edits)
-    counts = link_counts(shared, met, texts, edits) if counted else None
-    for t in (met, shared, asked, texts):
+    second = _checked(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), texts, edits, similarity)
+    tables.append(second)
+    if second.limit(1).count():
+        roots = components(first.unionByName(second))
+    found = roots.withColumnRenamed("node", "id").join(texts.select("id", _check(F.col("line")).alias("check")), "id")
+    if counted:
+        counts = link_counts(shared, met, split_texts, edits, similarity)
+        tables.append(counts)
+        found = written(found.join(counts, "id", "left"))
+    else:
+        found = written(found.withColumn("n_links", F.lit(None).cast("long")))
+    for t in tables:
         dropped(t)
     released(spark)
-    return components(first.unionByName(second)) if second.limit(1).count() else roots, counts
+    return found
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
 
 
-def decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, counted: bool = False) -> DataFrame:
+def decisions(docs: DataFrame, edits: int = EDITS, similarity: float = SIMILARITY, counted: bool = False) -> DataFrame:
     """(doc, row, gone, told) of every document row with a line that stands more than once, or nearly so.
 
     gone has the numbers of its lines to be removed, told (number, class, links) of those that repeat; both are
     bounded by the document's length. Links are null unless `counted`.
     """
     spark = docs.sparkSession
-    narrow = written(occurrences(docs).select("doc", "row", "no", F.xxhash64("line").alias("id")))
+    narrow = written(occurrences(docs).drop("line"))
     where = F.struct("doc", "no", "row")
-    roots, counts = linked(docs, edits, min_chars, counted=counted)
-    named = narrow.groupBy("id").agg(F.min(where).alias("first"), F.count("*").alias("n")).join(roots.withColumnRenamed("node", "id"), "id", "left")
-    named = named.join(counts, "id", "left") if counted else named.withColumn("n_links", F.lit(None).cast("long"))
-    named = written(named.select("id", "first", "n", F.coalesce("root", "id").alias("root"), "n_links"))
-    heads = named.groupBy("root").agg(F.min("first").alias("head"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    classes = written(named.select("id", "root", "n_links").join(heads, "root"))
+    roots = linked(docs, edits, similarity, counted=counted)
+    named = narrow.groupBy("id", "check").agg(F.min(where).alias("first"), F.count("*").alias("n")).join(roots, ["id", "check"], "left")
+    # A line that only equals others is a class of its own: named by its id, told apart by its check.
+    named = written(named.select("id", "check", "first", "n", F.coalesce("root", "id").alias("root"), F.when(F.col("root").isNull(), F.col("check")).alias("own"), "n_links"))
+    heads = named.groupBy("root", "own").agg(F.min("first").alias("head"), F.sum("n").alias("n")).where("n > 1").withColumnsRenamed({"root": "h_root", "own": "h_own"})
+    same = (F.col("root") == F.col("h_root")) & F.col("own").eqNullSafe(F.col("h_own"))
+    classes = written(named.select("id", "check", "root", "own", "n_links").join(heads, same).select("id", "check", "root", "n_links", "head"))
     dropped(named)
+    dropped(roots)
     released(spark)
     return (
-        narrow.join(classes, "id").groupBy("doc", "row")
+        narrow.join(classes, ["id", "check"]).groupBy("doc", "row")
         .agg(
             F.collect_set(F.when(~where.eqNullSafe(F.col("head")), F.col("no"))).alias("gone"),
             F.collect_set(F.struct("no", "root", "n_links")).alias("told"),
@@ -360,15 +467,13 @@ def _kept(text: str | None, gone: list[int] | None) -> str:
 OUT = "n_lines bigint, n_removed bigint, kept_sha256 string, kept string, n_links bigint, links array<bigint>, classes array<bigint>"
 
 
-def deduplicated(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicated(docs: DataFrame, edits: int = EDITS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256, kept, n_links, links, classes) of every row.
 
     kept is the text without its removed lines. For each line that isn't blank, in line order, classes has its class id and
-    links the number of other distinct lines within `edits` edits of it (0 if it is shorter than `min_chars`); n_links is
-    their sum.
+    links the number of other distinct lines near-equal to it; n_links is their sum.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    told = decisions(docs, edits, min_chars, counted=True)
+    told = decisions(batched(docs), edits, similarity, counted=True)
     kind = docs.schema["doc_id"].dataType.simpleString()
     same = F.col("k.doc").eqNullSafe(F.col("t.doc")) & (F.col("k.row") == F.col("t.row"))
     asked = _keyed(docs).alias("k").join(told.alias("t"), same, "left").select(
@@ -403,10 +508,9 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     return asked.mapInArrow(run, f"doc_id {kind}, {OUT}")
 
 
-def cleaned(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def cleaned(docs: DataFrame, edits: int = EDITS, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without their removed lines, n_chars counted anew; all rows and columns stay."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    told = decisions(docs, edits, min_chars).select(F.col("doc").alias("t_doc"), F.col("row").alias("t_row"), "gone").where("size(gone) > 0")
+    told = decisions(batched(docs), edits, similarity).select(F.col("doc").alias("t_doc"), F.col("row").alias("t_row"), "gone").where("size(gone) > 0")
     told = told.select(*[told[c].alias(f"__{c}") for c in told.columns])
     row = F.xxhash64(docs["doc_id"], docs["text"])
     joined = docs.join(told, docs["doc_id"].eqNullSafe(told["__t_doc"]) & (row == told["__t_row"]), "left").select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -14,16 +15,35 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
+#: What one Arrow batch may hold, so that long texts don't make batches of gigabytes.
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 2000
+
 _written: list[tuple[SparkSession, str]] = []
+_own: list[str] = []
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """`df`, in a session whose Arrow batches are bounded in bytes and rows, always to what all operators here use."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a temporary folder that goes when the driver ends; elsewhere that is an error,
+    as executors don't share their local folders.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="ledgerlens-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="ledgerlens-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
 
 
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
@@ -34,8 +54,6 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerlens-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    if not _written:
-        atexit.register(_remove_all)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,6 +62,7 @@ def dropped(df: DataFrame) -> None:
     """Removes a table that `written` made and that no later plan reads."""
     for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         _remove(df.sparkSession, root)
+        _written[:] = [w for w in _written if w[1].rsplit("/", 1)[-1] != root.rsplit("/", 1)[-1]]
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -58,6 +77,7 @@ def _remove_all() -> None:
             _remove(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone, and with it the folder
             return
+    _written.clear()
 
 
 def n_words(text: Column) -> Column:
@@ -107,3 +127,6 @@ def released(spark: SparkSession) -> None:
     """Lets the driver find finished shuffles, so that executors remove their files before the next large step."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+atexit.register(_remove_all)

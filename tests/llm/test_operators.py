@@ -347,14 +347,15 @@ def test_containment(spark):
     item = " ".join(f"w{i}" for i in range(24))
     broken = " ".join("zz" if i == 0 else f"w{i}" for i in range(24))
     half = " ".join(f"w{i}" for i in range(14))
-    docs = [(1, f"before {item.upper()} after", "en", "s"), (2, broken, "en", "s"), (3, half, "en", "s"), (4, "x " * 5000 + item, "en", "s"), (4, "x " * 5000 + item, "en", "s"), (None, item, "en", "s")] + ODD
-    items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "too short"), (None, item), (5, "x x x x x x x x")], "item_id bigint, text string")
+    docs = [(1, f"before {item.upper()} after", "en", "s"), (2, broken, "en", "s"), (3, half, "en", "s"), (4, "x " * 5000 + item, "en", "s"), (4, "x " * 5000 + item, "en", "s"), (None, item, "en", "s"), (9, "it is too short. Or too short here", "en", "s")] + ODD
+    items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "too Short"), (None, item), (5, "x x x x x x x x"), (6, "W3 w4 w5 w6"), (7, "w4 w3")], "item_id bigint, text string")
     df = frame(spark, docs, clash=True)
     for rows in (500_000, 0):
         got = sorted((str(r.doc_id), str(r.item_id), r.n_shared) for r in decontaminate.contained(df, items, broadcast_rows=rows).collect())
         want = [(d, i, n) for d, n in (("1", 20), ("2", 19), ("4", 20), ("4", 20), ("None", 20)) for i in ("1", "None")] + [("4", "5", 1)] * 2
+        want += [(d, "6", 1) for d in ("1", "2", "3", "4", "4", "None")] + [("9", "4", 1)]  # of fewer words than a shingle, whole
         assert got == sorted(want)
-    assert {r.doc_id for r in decontaminate.clean(df, items).collect()} == {3, 5, 6, 7, 8}
+    assert {r.doc_id for r in decontaminate.clean(df, items.where("item_id is null or item_id not in (4, 6)")).collect()} == {3, 5, 6, 7, 8, 9}
     assert decontaminate.contained(df, items.limit(0)).count() == 0 and decontaminate.contained(df.limit(0), items).count() == 0
 
 
@@ -395,10 +396,35 @@ def test_banded_distance_and_segments():
         if t and min(len(a), len(b)) > t and d <= t:
             x, y = sorted((a, b), key=len)
             index = {(len(x), i, x[s : s + n]) for i, (s, n) in enumerate(lines.segments(len(x), t))}
-            assert index & {(o, i, y[s : s + n]) for o, i, s, n in lines.probes(len(y), t)}
+            assert index & {(o, i, y[s : s + n]) for o, i, s, n in lines.probes(len(y), t, 0.0)}
 
 
-def plain_line_dedup(rows, edits, min_chars):
+def test_short_lines_allow_fewer_edits():
+    assert [lines.allowed(n) for n in (0, 4, 5, 9, 10, 500)] == [0, 0, 1, 1, 2, 2]
+
+
+def test_split_keys_lose_nothing():
+    rng = random.Random(8)
+    for _ in range(3000):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 24)))
+        x, y = sorted((a, near(rng, a, rng.randrange(4))), key=len)
+        if not lines.near_equal(x, y, 2, 0.8):
+            continue
+        every = {h for a, b, seed in lines._indexed(len(x), 2, 0.8) for h in [xxhash.xxh64_intdigest(x[a:b], seed)]}
+        asked = {xxhash.xxh64_intdigest(y[s : s + n], o << 3 | i) for o, i, s, n in lines.probes(len(y))}
+        for hot in (set(), every, {min(every)}):
+            met = (every & asked) - hot
+            for key in every & asked & hot:
+                met |= set(lines.split_index(x, key, 2, 0.8)) & lines.split_probe(y, key, 2, 0.8)
+            assert lines.first_shared(x, y, 2, 0.8, hot) in met
+
+
+def linked_lines(a, b):
+    t = min(2, int(min(len(a), len(b)) * 0.2 + 1e-9))
+    return a != b and t > 0 and abs(len(a) - len(b)) <= t and distance(a, b) <= t
+
+
+def plain_line_dedup(rows):
     first = {}
     for i, t, *_ in rows:
         for no, raw in enumerate((t or "").split("\n")):
@@ -412,10 +438,10 @@ def plain_line_dedup(rows, edits, min_chars):
             x = parent[x]
         return x
 
-    long = sorted(x for x in first if len(x) >= min_chars)
-    for k, a in enumerate(long):
-        for b in long[k + 1 :]:
-            if abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
+    every = sorted(first)
+    for k, a in enumerate(every):
+        for b in every[k + 1 :]:
+            if linked_lines(a, b):
                 parent[find(a)] = find(b)
     head = {}
     for x, at in first.items():
@@ -427,20 +453,14 @@ def plain_line_dedup(rows, edits, min_chars):
     return out
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_line_classes(spark, broadcast):
+def test_line_classes(spark):
     rng = random.Random(4)
-    pool = ["the quick brown fox jumps", "over the lazy dog and on", "ab" * 12]
+    pool = ["the quick brown fox jumps", "over the lazy dog and on", "ab" * 12, "Page 1", "Page 2", "no", "yes", "on", "ten chars!"]
     for _ in range(120):
         pool.append(near(rng, rng.choice(pool), rng.randrange(1, 4)))
     rows = [(i, "\n".join(rng.choice(pool) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 6))), "en", "s") for i in range(60)] + [(None, pool[5], "en", "s"), (70, "short\n\nshort", "en", "s"), (71, None, "en", "s")]
-    got = [(r.doc_id, r.n_lines, r.kept_sha256) for r in lines.deduplicated(frame(spark, rows, clash=True), 2, 10).collect()]
-    assert sorted(map(str, got)) == sorted(map(str, plain_line_dedup(rows, 2, 10)))
-    if not broadcast:
-        some, other = (
-            {(r.node, r.root) for r in lines.classes_of(frame(spark, rows), 2, 10, broadcast_rows=n).collect()} for n in (0, 1_000_000)
-        )
-        assert some == other
+    got = [(r.doc_id, r.n_lines, r.kept_sha256) for r in lines.deduplicated(frame(spark, rows, clash=True)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, plain_line_dedup(rows)))
 
 
 def test_lines_odd_rows(spark):
@@ -450,22 +470,31 @@ def test_lines_odd_rows(spark):
     assert clean.columns == frame(spark, ODD, clash=True).columns and clean.count() == len(ODD)
 
 
-@pytest.mark.parametrize("block", [65_536, 150])
-def test_line_links_are_counted(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "frequent"), [(65_536, 2000), (150, 3)])
+def test_line_links_are_counted(spark, monkeypatch, block, frequent):
     monkeypatch.setattr(lines, "BLOCK", block)
     rng = random.Random(9)
-    pool = ["the quick brown fox jumps", "ab" * 12]
+    pool = ["the quick brown fox jumps", "ab" * 12, "Page 1"]
     for _ in range(80):  # large groups of near-equal lines, nearly all of whose links lie inside a class
-        pool.append(near(rng, rng.choice(pool[:2]), rng.randrange(1, 3)))
+        pool.append(near(rng, rng.choice(pool[:3]), rng.randrange(1, 3)))
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(4)), "en", "s") for i in range(60)] + [(70, "short\n\na line of its own", "en", "s")]
-    long = {x for _, t, *_ in rows for x in t.split("\n") if len(x) >= 10}
-    want = {x: sum(a != x and distance(a, x) <= 2 for a in long) for x in long}
-    got = {r.doc_id: r for r in lines.deduplicated(frame(spark, rows), 2, 10).collect()}
-    for i, t, *_ in rows:
-        told = [x for x in t.split("\n") if x]
-        assert got[i].links == [want.get(x, 0) for x in told] and got[i].n_links == sum(got[i].links)
-        assert len(got[i].classes) == len(told)
-    assert len(set(got[70].classes)) == 2
+    every = {x for _, t, *_ in rows for x in t.split("\n") if x}
+    want = {x: n for x in every if (n := sum(linked_lines(a, x) for a in every))}
+    found = {r.id: (r.root, r.n_links) for r in lines.linked(frame(spark, rows), counted=True, frequent=frequent, broadcast_rows=0 if frequent == 3 else 10**6).collect()}
+    named = {xxhash.xxh64_intdigest(x, 42): x for x in every}
+    assert {named[i % 2**64]: n for i, (_, n) in found.items()} == want
+    for a in want:
+        for b in want:
+            if linked_lines(a, b):
+                ra, rb = (found[int(np.uint64(xxhash.xxh64_intdigest(x, 42)).astype(np.int64))][0] for x in (a, b))
+                assert ra == rb
+    if frequent != 3:
+        got = {r.doc_id: r for r in lines.deduplicated(frame(spark, rows)).collect()}
+        for i, t, *_ in rows:
+            told = [x for x in t.split("\n") if x]
+            assert got[i].links == [want.get(x, 0) for x in told] and got[i].n_links == sum(got[i].links)
+            assert len(got[i].classes) == len(told)
+        assert len(set(got[70].classes)) == 2
 
 
 # 6 ---------------------------------------------------------------------------------------------------------------------
