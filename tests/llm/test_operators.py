@@ -322,6 +322,46 @@ def test_scores(spark, sample):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_scores_are_class_probabilities(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    m = brown.fit(docs, top_words=20, endings=10, classes=6, block_words=500)
+    words = {r.word: (r.n, r.cls) for r in m.words.collect()}
+    move, full = 10**m.log_move, 10**m.log_full
+    assert move.sum(1) == pytest.approx(np.ones(len(move)))
+    for c in range(1, len(move)):  # the words of a class and one for those not seen
+        assert (sum(n + 0.1 for n, k in words.values() if k == c) + 0.1) / full[c] == pytest.approx(1)
+    low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    rows = docs.collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 10 == 0 for r in rows}
+    texts = {r.doc_id: [w.decode() for w in (r.text or "").encode().translate(low).split()] for r in rows}
+    counts = Counter(w for d, ws in texts.items() if not held[d] for w in ws)
+    assert {w: n for w, (n, _) in words.items()} == counts
+    got = {r.doc_id: r for r in brown.scored(docs, top_words=20, endings=10, classes=6, block_words=500).collect()}
+    classes = {r.doc_id: list(r.classes) for r in m.texts.collect()}
+    ends = sum(not h for h in held.values())
+    grid = np.zeros(move.shape)
+    for d, ws in texts.items():
+        assert all(classes[d][i] == words[w][1] for i, w in enumerate(ws) if w in words)
+        seq = [0, *classes[d], 0]
+        if not held[d]:
+            np.add.at(grid, (seq[:-1], seq[1:]), 1)
+        want = sum(math.log10(move[a, b]) for a, b in zip(seq, seq[1:]))
+        want += sum(math.log10((counts.get(w, 0) + 0.1) / full[words[w][1] if w in words else classes[d][i]]) for i, w in enumerate(ws)) + math.log10((ends + 0.1) / full[0])
+        assert got[d].score == pytest.approx(want)
+    size = grid.sum(0)
+    want = (grid + 5 * ((size + 0.1) / (size.sum() + 0.1 * len(size)))) / (grid.sum(1, keepdims=True) + 5)
+    assert move == pytest.approx(want)
+
+
+def test_words_join_the_class_of_their_contexts(spark):
+    rng = random.Random(6)
+    subjects, verbs = [f"sub{i}x" for i in range(12)], [f"ver{i}x" for i in range(12)]
+    texts = [" ".join(f"{rng.choice(subjects)} {rng.choice(verbs)}" for _ in range(40)) for _ in range(60)]
+    m = brown.fit(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), top_words=8, endings=2, classes=3)
+    cls = {r.word: r.cls for r in m.words.collect()}
+    assert len({cls[w] for w in subjects}) == 1 and len({cls[w] for w in verbs}) == 1 and cls["sub0x"] != cls["ver0x"]
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(0)
     table = np.zeros((21, 21))
