@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.shared import batched
+
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
 
@@ -170,7 +172,7 @@ def formatted(records: DataFrame, conv: str, record: Column, order: list[str], m
             kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [conv, "seq", "layout", "piece", "loss_from", "loss_to"])
 
-    return dealt.mapInArrow(run, f"{conv} {records.schema[conv].dataType.simpleString()}, {FORMATTED}")
+    return batched(dealt).mapInArrow(run, f"{conv} {records.schema[conv].dataType.simpleString()}, {FORMATTED}")
 
 
 DIGEST = "n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"

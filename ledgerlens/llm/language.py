@@ -8,11 +8,12 @@ labelled documents, which is what code-switched text looks like. A word's label
 over the whole text; the language of a document is the one with the largest mean marginal over its words that have a
 letter, and that mean is the score.
 
-The training sample is bounded: at most `per_language` documents of a language, those with the least digest of their
-id, and `sequences` sequences of them. Everything else covers all texts.
+The training sample is bounded: at most `per_language` rows of a language, those with the least digest of their id, of
+each the first `chars` characters, and `sequences` sequences of them. Everything else covers all texts, whole. The labels
+themselves, a count each, are collected: there are as many as languages.
 
 Nulls: a null text, or one without a letter, is `und` with score 0; a null lang isn't learned from; a null doc_id is
-never held out. Documents without a letter aren't learned from, so a label that has no others is left out. With one
+never held out, and learned from like any other. Documents without a letter aren't learned from, so a label that has no others is left out. With one
 label left, every text with a letter gets it with score 1; with none, everything is `und`, and `accepted` keeps every
 document with a letter, as there is nothing to judge it by. Repeated rows are predicted each. An empty table gives no rows.
 Ties go to the first language by name. Of the table only doc_id, text and, to train, lang are read.
@@ -28,7 +29,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_LANGUAGE, SEQUENCES, LENGTH = 200, 3000, 48
+from ledgerlens.llm.shared import batched
+
+PER_LANGUAGE, CHARS, SEQUENCES, LENGTH = 200, 100_000, 3000, 48
 SIZE = 1 << 16
 UNKNOWN = "und"
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -201,7 +204,7 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").split()
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sequences: int = SEQUENCES) -> Model:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sequences: int = SEQUENCES, chars: int = CHARS) -> Model:
     """Learns from documents that aren't held out and have a lang; see the bounds above."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
     digest = F.xxhash64(F.col("doc_id"), F.lit("language"))
@@ -214,9 +217,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sequences: int = SEQU
     for lang, n in counts.items():
         share = min(1.0, 2.0 * per_language / n)
         limit = limit | ((F.col("lang") == lang) & (F.col("h") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = ids.where(limit).withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id").collect()
-    sample = usable.where(F.col("doc_id").isin([r["doc_id"] for r in chosen])).select("doc_id", "lang", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
+    near = usable.select("lang", "doc_id", digest.alias("h"), F.substring("text", 1, chars).alias("text")).where(limit)
+    sample = near.withColumn("rank", rank).where(F.col("rank") <= per_language).toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")])
     texts = [[w.decode("utf-8") for w in words_of(t)] for t in sample["text"].to_pylist()]
     texts = [[w for w in words if any(map(str.isalpha, w))] for words in texts]
     return Model.fitted(texts, sample["lang"].to_pylist(), sequences)
@@ -290,8 +293,7 @@ def _parts(lengths: np.ndarray, words: int = 50_000) -> Iterator[np.ndarray]:
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.35) -> DataFrame:
     """The documents, as they are, whose language is known with a score of `least` or more; a null lang is filled in."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark = batched(docs).sparkSession
     sent = spark.sparkContext.broadcast((model.languages, model.weights.astype(np.float32), model.moves))
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
@@ -312,8 +314,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.35) -> DataFrame:
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, n_words, n_switches): n_switches counts neighbours labelled differently."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark = batched(docs).sparkSession
     sent = spark.sparkContext.broadcast((model.languages, model.weights.astype(np.float32), model.moves))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

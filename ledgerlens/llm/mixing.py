@@ -1,13 +1,14 @@
 """Mixing sources to target weights by a low-discrepancy source schedule. DataFrame functions only.
 
 Each source's documents are shuffled by a digest of their id and laid end to end on a line of words, which is cut into
-blocks of equal length. Slot k of the schedule gets the k-th van der Corput point; the cumulative target shares map the
-point to a source, and the slot's rank among its source's slots says which block of the source it takes. A source
-whose points fall short of its target by a few slots gets the rest at the end; slots beyond the target stay void.
-
-Nulls: a null text has size 0, a null source is a source of its own (last in order), a null doc_id is an id like any
-other. Empty texts take nothing. Equal rows each get a place of their own on the line. An empty table gives no rows.
-Columns other than doc_id, source and text are not read, so their names can't clash.
+blocks of equal length. Slot k of the schedule gets the k-th van der Corput point. The points are mapped through the
+cumulative numbers of blocks that the sources need, by their place among all the points, so that each source gets just
+its number of slots, spread over the whole schedule; a slot's rank among its source's slots says which block of the
+source it takes.
+
+Nulls: a null text has size 0, a null source is a source of its own (last in order), a row without doc_id is shuffled by a
+digest of its text. Empty texts take nothing. Equal rows each get a place of their own on the line. An empty table gives
+no rows. Columns other than doc_id, source and text are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -22,11 +23,29 @@ WEIGHTS = (5, 2, 1)
 _HEX = 3
 _CELLS = 1024
 _CHUNK = 4096
+#: Bits of a point: schedules of up to 2^40 slots.
+_BITS = 40
+
 
+def van_der_corput(k: Column, bits: int = _BITS) -> Column:
+    """The base-2 radical inverse of k, as an integer of `bits` bits."""
+    return F.conv(F.reverse(F.lpad(F.bin(k), bits, "0")), 2, 10).cast("long")
 
-def van_der_corput(k: Column, bits: int = 40) -> Column:
-    """The base-2 radical inverse of k, exact in a double."""
-    return F.conv(F.reverse(F.lpad(F.bin(k), bits, "0")), 2, 10).cast("double") / F.lit(float(2**bits))
+
+def place_among(point: Column, slots: int, bits: int = _BITS) -> Column:
+    """How many of the first `slots` points are less than a point.
+
+    The first `slots` numbers are runs of 2^b for each bit b of `slots`, from the highest; the points of a run are evenly
+    spaced, and its first lies less than one space from 0. So each run's share is one division.
+    """
+    total, start = F.lit(0).cast("long"), 0
+    for b in range(slots.bit_length() - 1, -1, -1):
+        if slots >> b & 1:
+            first, space = int(f"{start:0{bits}b}"[::-1], 2), 1 << (bits - b)
+            below = F.floor((point - F.lit(first) + F.lit(space - 1)) / F.lit(space)) if space > 1 else point - F.lit(first)
+            total = total + F.greatest(F.lit(0), below).cast("long")
+            start += 1 << b
+    return total
 
 
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -58,44 +77,26 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
 
 def schedule(spark: SparkSession, goal: DataFrame, block: int) -> DataFrame:
     """(slot, sid, rank): each source's ranks 0 to ceil(quota / block) - 1 once, in low-discrepancy order."""
-    need = goal.select("sid", "target", "quota", F.ceil(F.col("quota") / F.lit(float(block))).cast("long").alias("need"))
-    total = need.agg(F.sum("need"), F.sum("target")).first()
-    slots, words = int(total[0] or 0), float(total[1] or 0.0)
+    need = goal.select("sid", F.ceil(F.col("quota") / F.lit(float(block))).cast("long").alias("need")).where("need > 0")
+    slots = int(need.agg(F.sum("need")).first()[0] or 0)
     upto = Window.orderBy("sid")
-    edges = (
-        need.where("need > 0")
-        .withColumn("hi", F.sum("target").over(upto) / F.lit(words or 1.0))
-        .withColumn("lo", F.coalesce(F.lag("hi").over(upto), F.lit(0.0)))
-        .withColumn("hi", F.when(F.lead("sid").over(upto).isNull(), F.lit(1.0)).otherwise(F.col("hi")))
-        .withColumn(
-            "cell",
-            F.explode(F.sequence(F.floor(F.col("lo") * _CELLS), F.least(F.floor(F.col("hi") * _CELLS), F.lit(_CELLS - 1)))),
-        )
-        .select("sid", "lo", "hi", "cell")
+    cell = F.lit(float(max(1, slots))) / _CELLS
+    edges = need.withColumn("hi", F.sum("need").over(upto)).withColumn("lo", F.col("hi") - F.col("need")).withColumn(
+        "cell", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell)))
     )
-    points = spark.range(slots).select(F.col("id").alias("slot"), van_der_corput(F.col("id")).alias("x"))
-    points = points.withColumn("cell", F.floor(F.col("x") * _CELLS))
+    points = spark.range(slots).select(F.col("id").alias("slot"), place_among(van_der_corput(F.col("id")), slots).alias("place"))
     drawn = (
-        points.join(edges, "cell").where("x >= lo and x < hi")
+        points.withColumn("cell", F.floor(F.col("place") / cell)).join(edges.drop("need"), "cell").where("place >= lo and place < hi")
         .select("slot", "sid", F.floor(F.col("slot") / _CHUNK).alias("chunk"))
     )
     counts = drawn.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
     past = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("first", F.coalesce(F.sum("n").over(past), F.lit(0)))
     within = Window.partitionBy("sid", "chunk").orderBy("slot")
-    ranked = (
+    return (
         drawn.join(starts.select("sid", "chunk", "first"), ["sid", "chunk"])
-        .withColumn("rank", F.col("first") + F.row_number().over(within) - 1)
-        .join(need.select("sid", "need"), "sid")
-        .where("rank < need").select("slot", "sid", "rank")
-    )
-    got = counts.groupBy("sid").agg(F.sum("n").alias("got"))
-    short = (
-        need.join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0).cast("long"))).where("got < need")
-        .withColumn("rank", F.explode(F.expr("sequence(got, need - 1)")))
-        .select((F.lit(slots) + F.col("rank")).alias("slot"), "sid", "rank")
+        .select("slot", "sid", (F.col("first") + F.row_number().over(within) - 1).alias("rank"))
     )
-    return ranked.unionByName(short)
 
 
 def mix(docs: DataFrame, block: int = 8192, seed: str = "mix", share: float = 1.5, most: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -105,7 +106,8 @@ def mix(docs: DataFrame, block: int = 8192, seed: str = "mix", share: float = 1.
     A document that straddles blocks has one row a block.
     """
     spark = docs.sparkSession
-    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")))
+    named = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    digest = F.md5(F.concat(named, F.lit(f":{seed}")))
     sizes = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), digest.alias("h")))
     goal = written(targets(sizes, share, most))
     cut = sizes.withColumn("bucket", F.substring("h", 1, _HEX))
@@ -143,18 +145,22 @@ def mix(docs: DataFrame, block: int = 8192, seed: str = "mix", share: float = 1.
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken (words that the mix takes, repeats counted)."""
+    """One row a document: doc_id, size, source_size, target, taken (words that the mix takes, repeats counted), first_slot
+    and n_slots, the first and the number of the schedule's slots that take from it (null and 0 if none does)."""
     mixed, line = mix(docs, **options)
-    per_row = mixed.groupBy("sid", "bucket", "number").agg(F.sum("n_words").alias("taken"))
+    per_row = mixed.groupBy("sid", "bucket", "number").agg(
+        F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"), F.size(F.collect_set("slot")).cast("long").alias("n_slots")
+    )
     return line.join(per_row, ["sid", "bucket", "number"], "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        "first_slot", F.coalesce("n_slots", F.lit(0).cast("long")).alias("n_slots"),
     )
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, 'null') || ':mix') AS h
+         md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || ':mix') AS h
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -171,10 +177,25 @@ z AS (
     FROM t, c GROUP BY t.sid, t.level) WHERE fits),
 g AS (SELECT source, source_size, least(cap, level * w)::DOUBLE AS target FROM c, z),
 p AS (
-  SELECT d.doc_id, d.size, g.source_size, g.target, least(round(g.target), 2 * g.source_size)::BIGINT AS quota,
+  SELECT row_number() OVER () AS r, d.doc_id, d.size, d.source, g.source_size, g.target, least(round(g.target), 2 * g.source_size)::BIGINT AS quota,
          (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS a
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+e AS (
+  SELECT source, need, sum(need) OVER (ORDER BY source ASC NULLS LAST) - need AS lo
+  FROM (SELECT source, ceil(least(round(target), 2 * source_size) / 8192)::BIGINT AS need FROM g)),
+v AS (
+  SELECT k, row_number() OVER (ORDER BY reverse(lpad(bin(k), 40, '0'))) - 1 AS place
+  FROM (SELECT unnest(range((SELECT sum(need) FROM e)::BIGINT)) AS k)),
+x AS (
+  SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS rank FROM v JOIN e ON place >= lo AND place < lo + need),
+b AS (
+  SELECT r, source, unnest(range(lo // 8192, (hi - 1) // 8192 + 1)) AS rank
+  FROM (SELECT r, source, c * source_size + a AS lo, least(c * source_size + a + size, quota) AS hi FROM p, (SELECT unnest([0, 1]) AS c) WHERE size > 0)
+  WHERE lo < hi),
+n AS (
+  SELECT r, min(k) AS first_slot, count(DISTINCT k) AS n_slots FROM b JOIN x ON b.source IS NOT DISTINCT FROM x.source AND b.rank = x.rank GROUP BY r)
 SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, quota - a)) + greatest(0, least(size, quota - source_size - a)))::BIGINT AS taken
-FROM p
+       (greatest(0, least(size, quota - a)) + greatest(0, least(size, quota - source_size - a)))::BIGINT AS taken,
+       first_slot, coalesce(n_slots, 0)::BIGINT AS n_slots
+FROM p LEFT JOIN n USING (r)
 """

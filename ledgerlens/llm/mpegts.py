@@ -3,11 +3,14 @@
 `pack` stores a payload as a program of one private-data stream: a program association table, a program map table and
 one PES packet per access unit, in 188-byte packets. The first packet of each PES packet carries the random-access
 flag and a clock reference in its adaptation field; the last is filled by an adaptation field. `unpack` reads any
-stream of this kind: it parses the tables, follows the program's elementary stream, checks continuity counters,
-reassembles the PES packets and returns time stamps with the byte offsets of the random-access points.
+stream of this kind: it parses the tables, whose sections may span packets, follows the first program's first elementary
+stream, checks continuity counters, reassembles the PES packets and returns the time stamps and the byte offsets of the
+random-access points. Continuity: packets without payload don't count, a packet may be sent twice (the second is left
+out), and a packet with the discontinuity flag starts anew; every other step but one is a gap.
 
 Nulls: a null text is an empty one; the payload is then 576 bytes 255. A null doc_id stays null. Repeated rows are
-packed each for itself, equal texts give equal bytes. An empty table gives no rows. Only doc_id and text are read.
+packed each for itself, equal texts give equal bytes. Stored bytes that are no such stream (or null) give a row whose
+feature says `error=` and why, and null payload columns. An empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from ledgerlens.llm.shared import batched
 
 UNIT = 576
 #: Bytes of an access unit, and its duration in ticks of the 90 kHz clock (a 25 Hz raster).
@@ -117,20 +121,45 @@ class Stream:
     random_access: list[int] = field(default_factory=list)
 
 
-def _tables(packets: np.ndarray, pids: np.ndarray, pid: int, table_id: int, found: Stream) -> Iterator[bytes]:
-    for row in packets[(pids == pid) & (packets[:, 1] & 0x40 > 0)]:
-        at = 4 + (1 + int(row[4]) if row[3] & 0x20 else 0)
-        body = row.tobytes()[at + 1 + int(row[at]) :]
-        size = struct.unpack(">H", body[1:3])[0] & 0x0FFF
-        if body[0] == table_id:
-            if crc32_mpeg(body[: 3 + size]):
-                found.crc_errors += 1
-            else:
-                yield body[8 : 3 + size - 4]
+def _heads(rows: np.ndarray) -> np.ndarray:
+    """Offset of each packet's payload; 188 where it has none."""
+    adapted = rows[:, 3] & 0x20 > 0
+    heads = np.where(adapted, 5 + rows[:, 4].astype(np.int64), 4)
+    if (heads > PACKET).any():
+        raise ValueError("an adaptation field is longer than its packet")
+    return np.where(rows[:, 3] & 0x10 > 0, heads, PACKET)
+
+
+def _sections(rows: np.ndarray, table_id: int, found: Stream) -> Iterator[bytes]:
+    """Bodies of a table's sections from the packets of its PID; a section may span packets, a packet hold several."""
+    waiting = None
+    for row, head in zip(rows, _heads(rows).tolist()):
+        data = row[head:].tobytes()
+        if not data:
+            continue
+        parts = [data]
+        if row[1] & 0x40:
+            parts = [data[1 : 1 + data[0]], data[1 + data[0] :]]
+        for k, part in enumerate(parts):
+            if len(parts) == 2 and k == 1:
+                waiting = b""
+            if waiting is None:
+                continue
+            waiting += part
+            while len(waiting) >= 3 and waiting[0] != 0xFF:
+                size = 3 + (struct.unpack(">H", waiting[1:3])[0] & 0x0FFF)
+                if len(waiting) < size:
+                    break
+                section, waiting = waiting[:size], waiting[size:]
+                if section[0] == table_id and size >= 12:
+                    if crc32_mpeg(section):
+                        found.crc_errors += 1
+                    else:
+                        yield section[8:-4]
 
 
 def unpack(media: bytes) -> Stream:
-    """Reads a stream: the first program's first elementary stream, whole."""
+    """Reads a stream: the first program's first elementary stream, whole. Raises ValueError if it isn't one."""
     found = Stream()
     if not media or len(media) % PACKET:
         raise ValueError(f"{len(media)} bytes are not whole packets")
@@ -139,33 +168,43 @@ def unpack(media: bytes) -> Stream:
         raise ValueError("a packet doesn't start with the sync byte")
     found.packets = len(grid)
     pids = (grid[:, 1].astype(np.int32) & 0x1F) << 8 | grid[:, 2]
-    maps = [struct.unpack(">HH", body[i : i + 4]) for body in _tables(grid, pids, 0, 0, found) for i in range(0, len(body), 4)]
-    maps = [(n, pid & 0x1FFF) for n, pid in maps if n]
+    maps: dict[int, int] = {}
+    for body in _sections(grid[pids == 0], 0, found):
+        for i in range(0, len(body) - 3, 4):
+            number, pid = struct.unpack(">HH", body[i : i + 4])
+            if number:
+                maps.setdefault(number, pid & 0x1FFF)
     found.programs = len(maps)
     data_pid = -1
-    for body in _tables(grid, pids, maps[0][1], 2, found) if maps else ():
+    for body in _sections(grid[pids == maps[min(maps)]], 2, found) if maps else ():
         skip = 4 + (struct.unpack(">H", body[2:4])[0] & 0x0FFF)
-        found.stream_type, pid = struct.unpack(">BH", body[skip : skip + 3])
-        data_pid = pid & 0x1FFF
+        if data_pid < 0 and len(body) >= skip + 5:
+            found.stream_type, pid = struct.unpack(">BH", body[skip : skip + 3])
+            data_pid = pid & 0x1FFF
+    if data_pid < 0:
+        raise ValueError("no program has an elementary stream")
     rows = np.flatnonzero(pids == data_pid)
-    own = grid[rows]
-    counters = own[:, 3] & 15
-    found.gaps = int(((counters[1:] - counters[:-1]) & 15 != 1).sum())
-    adapted = own[:, 3] & 0x20 > 0
-    heads = np.where(adapted, 5 + own[:, 4].astype(np.int64), 4)
+    own, heads = grid[rows], _heads(grid[rows])
+    flags = np.where((own[:, 3] & 0x20 > 0) & (own[:, 4] > 0), own[:, 5], 0)
+    told = np.flatnonzero(heads < PACKET)  # packets with a payload, which alone count
+    step = np.diff(own[told, 3].astype(np.int64) & 15) & 15
+    again = np.zeros(len(told), bool)
+    for i in (np.flatnonzero(step == 0) + 1).tolist():
+        again[i] = not again[i - 1] and bool((own[told[i]] == own[told[i - 1]]).all())
+    found.gaps = int(((step != 1) & ~again[1:] & (flags[told[1:]] & 0x80 == 0)).sum())
+    told = told[~again]
+    found.random_access = (rows[told[flags[told] & 0x40 > 0]] * PACKET).tolist()
+    own, heads = own[told], heads[told]
     starts = np.flatnonzero(own[:, 1] & 0x40)
-    flagged = adapted & (own[:, 4] > 0) & (own[:, 5] & 0x40 > 0)
-    found.random_access = (rows[flagged] * PACKET).tolist()
-    keep = np.arange(PACKET)[None, :] >= heads[:, None]
-    data = own[keep].tobytes()
+    data = own[np.arange(PACKET)[None, :] >= heads[:, None]].tobytes()
     offsets = np.concatenate(([0], np.cumsum(PACKET - heads)))
     parts = []
     for a, b in zip(starts, [*starts[1:], len(own)]):
         pes = data[offsets[a] : offsets[b]]
-        if pes[:3] != b"\0\0\1":
+        if len(pes) < 9 or pes[:3] != b"\0\0\1":
             raise ValueError("an elementary packet doesn't start with its prefix")
-        size, flags, head = struct.unpack(">H", pes[4:6])[0], pes[7], pes[8]
-        if flags & 0x80:
+        size, marks, head = struct.unpack(">H", pes[4:6])[0], pes[7], pes[8]
+        if marks & 0x80 and len(pes) >= 14:
             p = pes[9:14]
             found.stamps.append((p[0] >> 1 & 7) << 30 | p[1] << 22 | (p[2] >> 1) << 15 | p[3] << 7 | p[4] >> 1)
         parts.append(pes[9 + head : 6 + size if size else len(pes)])
@@ -179,11 +218,6 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw + b"\xff" * (max(1, -(-len(raw) // UNIT)) * UNIT - len(raw)), len(raw)
 
 
-def _small_batches(df: DataFrame) -> None:
-    """Bounds a batch by rows: long texts would else make batches of gigabytes."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
-
 def packed(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text's payload as a transport stream."""
 
@@ -195,45 +229,51 @@ def packed(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_bytes", "media"],
             )
 
-    _small_batches(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
+    return batched(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
 
 
 FEATURES = (
     "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, "
-    "n_packets bigint, n_gaps bigint, n_access_points bigint, first_pts bigint, last_pts bigint"
+    "n_packets bigint, n_gaps bigint, pts array<bigint>, access_points array<bigint>"
 )
 
 
+def described(stored: bytes | None) -> tuple:
+    """What `features` says of a stream, in the order of its columns."""
+    digest = (len(stored), hashlib.sha256(stored).hexdigest()) if stored is not None else (None, None)
+    try:
+        s = unpack(stored or b"")
+    except (ValueError, IndexError, struct.error) as e:
+        return (None, None, None, *digest, f"error={e}", None, None, None, None)
+    steps = np.diff(s.stamps)
+    sizes = np.bincount(np.frombuffer(s.payload, np.uint8), minlength=256)
+    share = sizes[sizes > 0] / max(1, len(s.payload))
+    feature = (
+        f"programs={s.programs};type={s.stream_type};packets={s.packets};gaps={s.gaps};crc_errors={s.crc_errors};"
+        f"units={len(s.stamps)};pts_step={int(steps.max()) if len(steps) else 0};access_points={len(s.random_access)};"
+        f"last_access={s.random_access[-1] if s.random_access else -1};byte_entropy={-(share * np.log2(share)).sum():.4f}"
+    )
+    return (
+        len(s.payload), hashlib.sha256(s.payload).hexdigest(), binascii.crc32(s.payload[-32:]), *digest, feature,
+        s.packets, s.gaps, s.stamps, s.random_access,
+    )
+
+
 def features(media: DataFrame) -> DataFrame:
-    """Reads the stored bytes back: one row a stream, with what was found in it."""
+    """Reads the stored bytes back: one row a stream, with what was found in it.
+
+    pts has the time stamps of the elementary packets in order, access_points the byte offsets of the packets from which
+    reading can start.
+    """
+    names = ["doc_id", "n_bytes", *[x.split()[0] for x in FEATURES.split(", ")]]
+    long, many = pa.int64(), pa.list_(pa.int64())
+    kinds = [long, pa.string(), long, long, pa.string(), pa.string(), long, long, many, many]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(11)]
-            for value in batch.column(2):
-                stored = value.as_py()
-                s = unpack(stored)
-                steps = np.diff(s.stamps)
-                sizes = np.bincount(np.frombuffer(s.payload, np.uint8), minlength=256)
-                share = sizes[sizes > 0] / len(s.payload)
-                feature = (
-                    f"programs={s.programs};type={s.stream_type};packets={s.packets};gaps={s.gaps};crc_errors={s.crc_errors};"
-                    f"units={len(s.stamps)};pts_step={int(steps.max()) if len(steps) else 0};access_points={len(s.random_access)};"
-                    f"last_access={s.random_access[-1]};byte_entropy={-(share * np.log2(share)).sum():.4f}"
-                )
-                row = (
-                    len(s.payload), hashlib.sha256(s.payload).hexdigest(), binascii.crc32(s.payload[-32:]), len(stored),
-                    hashlib.sha256(stored).hexdigest(), feature, s.packets, s.gaps, len(s.random_access), s.stamps[0], s.stamps[-1],
-                )
-                for col, v in zip(cols, row):
-                    col.append(v)
-            kinds = [pa.string() if i in (1, 4, 5) else pa.int64() for i in range(11)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds)]],
-                ["doc_id", "n_bytes", *[x.split()[0] for x in FEATURES.split(", ")]],
-            )
+            cols = list(zip(*[described(value.as_py()) for value in batch.column(2)])) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds)]], names)
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, {FEATURES}")
+    return batched(media).select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, {FEATURES}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import brown, chat, decontaminate, html, language, lines, mixing, mpegts, recompress, simhash
@@ -35,11 +35,22 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)], rows.schema)
-    record = F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"})
-    pieces = chat.formatted(rows.unionByName(probe), "conv_id", record, ["turn", "role", "text"])
+    pieces = chat.formatted(rows.unionByName(probe), "conv_id", _record(), ["turn", "role", "text"])
     return chat.digests(pieces, "conv_id")
 
 
+def _record() -> Column:
+    """A turn as JSON, in a layout that depends on the row: plain, a list of messages, or one with other names for the roles.
+    The operator is told nothing but the JSON."""
+    whole = {"ignoreNullFields": "false"}
+    plain = F.to_json(F.struct("role", "text"), whole)
+    messages = F.to_json(F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")), whole)
+    spoken = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt")
+    said = F.to_json(F.struct(F.array(F.struct(spoken.alias("from"), F.col("text").alias("value"))).alias("conversations")), whole)
+    kind = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    return F.when((kind == 0) & spoken.isNotNull(), said).when(kind == 1, messages).otherwise(plain)
+
+
 @LLM.query("op6_language_id")
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

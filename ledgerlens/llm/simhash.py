@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.shared import components, written
+from ledgerlens.llm.shared import batched, components, written
 
 SEED = 42
 #: The chain budgets floor(3 l / 8), l from 1 to 8.
@@ -52,16 +52,20 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", width: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """(doc_id, row, fp): row is a hash of the text, fp the fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            fps = [fingerprint(t.as_py(), width) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "row", "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return batched(docs).select("doc_id", _row(docs).alias("row"), "text").mapInArrow(run, f"doc_id {kind}, row bigint, fp bigint")
+
+
+def _row(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"])
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -105,9 +109,18 @@ def links(distinct: DataFrame, limit: int = 3) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
+def classes(docs: DataFrame, limit: int = 3, width: int = 3) -> DataFrame:
+    """(doc_id, row, fp, root): root names the component of the row's fingerprint; row is a hash of the text."""
+    prints = written(fingerprints(docs, width))
+    distinct = prints.select("fp").distinct()
+    roots = components(links(distinct, limit))
+    of_print = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return prints.join(of_print, "fp").select("doc_id", "row", "fp", "root")
+
+
 def near_duplicates(docs: DataFrame, limit: int = 3, width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id reachable over links, the document's own included."""
-    prints = written(fingerprints(docs, width=width))
+    prints = written(fingerprints(docs, width)).select("doc_id", "fp")
     by_print = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(by_print.select("fp"), limit))
     named = by_print.join(roots, F.col("fp") == F.col("node"), "left").select(
@@ -119,11 +132,16 @@ def near_duplicates(docs: DataFrame, limit: int = 3, width: int = 3) -> DataFram
 
 
 def firsts(docs: DataFrame, limit: int = 3, width: int = 3) -> DataFrame:
-    """The documents, as they are, that are the least of their component; one of rows that share a doc_id.
+    """Of each component one row, as it is: the least by doc_id, then by a hash of its text, then by one of its other columns.
 
-    Documents without an id can't be named as copies and stay.
+    Rows that share a doc_id but belong to different components all have theirs. Rows without an id can't be named as
+    copies and stay.
     """
-    found = near_duplicates(docs, limit, width)
-    least = found.where("doc_id = component_id").select(F.col("doc_id").alias("least_id")).distinct()
-    named = docs.join(least, docs["doc_id"] == least["least_id"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    named = classes(docs, limit, width).where("doc_id is not null")
+    picked = named.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("p")).select(F.col("p.doc_id").alias("p_id"), F.col("p.row").alias("p_row"))
+    others = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    row, tie = _row(docs), F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+    keyed = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("whole"), docs["doc_id"].alias("k_id"), row.alias("k_row"), tie.alias("tie"))
+    met = keyed.join(picked, (F.col("k_id") == F.col("p_id")) & (F.col("k_row") == F.col("p_row")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("k_id", "k_row").orderBy("tie"))
+    return met.withColumn("first", first).where("first = 1").select("whole.*").unionByName(docs.where("doc_id is null"))
