@@ -1,22 +1,34 @@
 """Main text of web pages: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
-The standard library's parser streams events. A line is what stands between two block tags; it has the characters of
-its text, those inside links and the number of tags met. Parts that are never the article (menus, page headers and
-footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts, reader comments) are known by tag, role or
-class words and leave no lines. The ratio of plain characters to tags is smoothed with a Gaussian over neighbouring
-lines and split in two clusters; the lines of the upper one weigh the page's containers by their characters. The region
-is the article or main element with most of that weight, else the deepest container that holds nearly all of it. In an
-article or main element every line is kept, elsewhere the lines of the containers that hold lines of the upper cluster
-or a first-level heading and what lies between them.
+The standard library's parser streams events. A line is what stands between two block tags; it has the characters of its
+text, those inside links and the number of tags met. The ratio of plain characters to tags is smoothed with a Gaussian
+over neighbouring lines and split in two clusters; the lines of the upper one are dense.
+
+Evidence. Elements whose tag, role or attributes say that they aren't the article (menus, page headers and footers,
+sidebars, forms, hidden parts), and containers whose class or id consists of words for such parts and of neutral ones only
+(`ad-box`, not `search-algorithms`), count as having no plain characters. A heading, a paragraph or a list item is never
+judged by its class. Evidence is withdrawn from an element that is never closed by its own end tag, and from a form or a
+container judged by its words that holds nearly all plain characters of the page; an article or main element inside a menu,
+header, footer or form stands for itself.
+
+Region. Dense lines weigh the page's containers by their plain characters. The region is the article or main element with
+most of that weight, else the deepest container that holds nearly all of it.
+
+Selection. In the region, dense lines are text. Lines that aren't dense are text if they aren't mostly links: headings,
+short paragraphs and list items. Several lines in a row that are mostly links are a menu, whatever stands around them.
+Outside an article or main element, only lines between the first and the last dense line or first-level heading, and of
+containers that hold one, are text.
 
 Nulls: a null html is an empty page with empty text. Repeated rows are extracted each for itself. An empty table gives
-no rows. Broken markup never raises: elements end with their parents. Other columns are not read.
+no rows. Broken markup never raises: elements end with their parents. Time is linear in the page, however deeply its
+elements nest. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -27,50 +39,87 @@ from ledgerlens.llm.shared import batched
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike"
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike"
     " strong sub sup time tt u var wbr br".split()
 )
+#: Elements without text of the page; controls end at the next block.
+SILENT = frozenset("script style template head title".split())
+CONTROLS = frozenset("button select option textarea svg math".split())
 #: Elements that are never part of an article.
-DROPPED = frozenset(
-    "nav footer aside form script style noscript template head title button select option textarea svg math iframe object"
-    " canvas dialog menu audio video map".split()
-)
-DROPPED_ROLES = frozenset(
+PARTS = frozenset("nav footer aside form noscript iframe object canvas dialog menu audio video map".split())
+PART_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split()
 )
-#: Words of a class or an id that name a part outside the article.
-DROPPED_WORDS = frozenset(
+#: Words of a class or an id that name a part outside the article, and words that say nothing beside them.
+PART_WORDS = frozenset(
     "nav navbar navigation menu menubar sidebar aside footer masthead topbar toolbar breadcrumb breadcrumbs pagination pager"
     " ad ads advert adverts advertisement advertising adsense banner promo promoted promotion sponsor sponsored cookie"
     " cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup signin"
     " login social share sharing related recommended recommendations comment comments disqus respond replies reply widget"
-    " widgets copyright disclaimer alert toast outbrain taboola skip hidden search".split()
+    " widgets copyright disclaimer alert toast outbrain taboola skip hidden search header".split()
+)
+_NEUTRAL = frozenset(
+    "area bar block bottom box button buttons card column container content global group holder inner item items left link links list"
+    " main outer page panel part post posts primary right row secondary section sections site slot thread top unit user wrap wrapper".split()
 )
-_COMMENT_WORDS = frozenset("comment comments disqus respond reply replies".split())
-_LAYOUT_WORDS = frozenset("has no with without".split())
-_TITLE_WORDS = frozenset("entry post article content story title".split())
 MAIN = frozenset(("article", "main"))
 CONTAINERS = frozenset("html body div section article main table tbody tr td ul ol dl blockquote center figure details fieldset".split())
+#: Elements that a class or id can name as a part.
+_JUDGED = frozenset("div section ul ol dl table figure details fieldset article center span".split())
+#: Parts inside which an article or main element stands for itself.
+_TRANSPARENT = frozenset("nav header footer form".split())
 #: These end an open paragraph.
 _ENDS_P = frozenset(
     "address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3"
     " h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split()
 )
-_SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Groups of elements of which a new one ends the open one, and those that a start tag ends.
+_GROUP = {"p": 0, "li": 1, "dd": 2, "dt": 2, "tr": 3, "td": 4, "th": 4, "option": 5}
+_ENDS = {"li": (1,), "dd": (2,), "dt": (2,), "tr": (3, 4), "td": (4,), "th": (4,), "option": (5,)}
+_WALLS = frozenset("ul ol dl table select".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
+_NONE, _SILENT = -1, -2
+
+
+class _Open:
+    """An open element: what holds for everything inside it."""
+
+    __slots__ = ("tag", "mark", "container", "main", "head", "heading", "first", "link", "near", "block")
+
+    def __init__(self, tag: str, parent: _Open | None, at: int) -> None:
+        self.tag = tag
+        if parent is None:
+            self.mark, self.container, self.main, self.block = _NONE, 0, False, 0
+            self.head = self.heading = self.first = self.link = False
+            self.near = (-1,) * 6
+            return
+        self.mark, self.container, self.main = parent.mark, parent.container, parent.main or tag in MAIN
+        self.head, self.heading = parent.head or tag == "header", parent.heading or tag in _HEADINGS
+        self.first, self.link = parent.first or tag == "h1", parent.link or tag == "a"
+        self.block = parent.block if tag in INLINE else at
+        near = parent.near
+        if tag in CONTAINERS:
+            near = (-1, *near[1:])
+        if tag in _WALLS:
+            near = (near[0], -1, -1, -1, -1, -1)
+        g = _GROUP.get(tag, -1)
+        self.near = near if g < 0 else (*near[:g], at, *near[g + 1 :])
 
 
 class _Lines(HTMLParser):
-    """Collects lines and containers from the events. An open element is [tag, dropped, container, head, link]."""
+    """Collects lines, containers and marks (elements that are evidently no part of the article) from the events."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple] = [("", False, 0, False, False)]
+        self.open = [_Open("", None, 0)]
+        self.where: dict[str, list[int]] = defaultdict(list)  # places of the open elements of a tag
         self.parents, self.main = [-1], [False]
-        self.lines: list[tuple[str, int, int, int, bool]] = []  # text, linked characters, tags, container, title
+        self.outer, self.by, self.closed = [], [], []  # of a mark: the one around it, what says so, whether it has an end tag
+        self.own: dict[int, int] = {}  # mark of an open element's place
+        self.lines: list[tuple[str, int, int, int, bool, int]] = []  # text, linked characters, tags, container, title, mark
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
@@ -78,81 +127,97 @@ class _Lines(HTMLParser):
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append((text, self.linked, self.tags, self.open[-1][2], any(e[0] == "h1" for e in self.open)))
-            self.parts.clear()
-            if text:
+                top = self.open[-1]
+                self.lines.append((text, self.linked, self.tags, top.container, top.first, top.mark))
                 self.tags = self.linked = 0
+            self.parts.clear()
 
-    def _dropped(self, tag: str, attrs: list, head: bool) -> bool:
-        if tag in DROPPED:
-            return True
-        inside = any(e[0] in MAIN for e in self.open)
-        if tag == "header" and not inside:
-            return True
-        if head and tag not in _HEADINGS and tag not in INLINE and tag not in ("div", "hgroup"):
-            return True
+    def _reason(self, tag: str, attrs: list, parent: _Open) -> str:
+        """What says that an element is no part of an article: its tag, `words`, `hidden`, or nothing."""
+        if tag in PARTS or tag == "header" and not parent.main:
+            facts = dict(attrs)
+            named = f"{facts.get('class') or ''} {facts.get('id') or ''}".lower()
+            return "" if tag == "header" and re.search(r"\b(entry|post|article|story|title)\b", named) else tag
+        if parent.head and tag not in _HEADINGS and tag not in INLINE and tag not in ("div", "hgroup"):
+            return "header"
         for name, value in attrs:
-            if name in ("class", "id"):
-                words = {w.lower() for w in _SPLIT.split(value or "") if w}
-                if words & _LAYOUT_WORDS:  # `has-sidebar` says what stands beside the part
-                    continue
-                if words & (_COMMENT_WORDS if tag in MAIN or tag in ("body", "html") else DROPPED_WORDS) and tag not in ("body", "html"):
-                    return True
-                if "header" in words and not words & _TITLE_WORDS and not inside and tag in ("div", "section"):
-                    return True
-            elif name == "role" and (value or "").lower() in DROPPED_ROLES:
-                return True
-            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value or ""):
-                return True
-        return False
+            if name == "role" and (value or "").lower() in PART_ROLES:
+                return "role"
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value or ""):
+                return "hidden"
+            if name in ("class", "id") and tag in _JUDGED:
+                for token in (value or "").split():
+                    words = {w.lower() for w in _SPLIT.split(token) if w and not w.isdigit()}
+                    if words & PART_WORDS and words <= PART_WORDS | _NEUTRAL and not (parent.main and words & {"header"}):
+                        return "words"
+        return ""
+
+    def _pop(self, at: int) -> None:
+        """Ends the open elements from a place on."""
+        for i in range(len(self.open) - 1, at - 1, -1):
+            self.where[self.open[i].tag].pop()
+            self.own.pop(i, None)
+        del self.open[at:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
+        top = self.open[-1]
         if tag in VOID:
-            if tag in ("br", "hr", "wbr"):
-                self.flush() if tag == "hr" else self.parts.append(" ") if tag == "br" else None
+            if tag == "hr":
+                self.flush()
+            elif tag == "br" and top.mark != _SILENT:
+                self.parts.append(" ")
             return
-        if tag not in INLINE:
-            self.flush()
-            if tag in _ENDS_P:
-                self._end("p", CONTAINERS)
-            for other in _SAME.get(tag, ()):
-                self._end(other, ("ul", "ol", "dl", "table", "select"))
-        _, dropped, container, head, link = self.open[-1]
-        head = head or tag == "header"
-        if not dropped:
-            dropped = self._dropped(tag, attrs, head and tag != "header")
-        if not dropped and tag in CONTAINERS:
-            self.parents.append(container)
-            container = len(self.parents) - 1
-            facts = dict(attrs)
-            self.main.append(tag in MAIN or facts.get("role") == "main" or facts.get("itemprop") == "articleBody")
-        self.open.append((tag, dropped, container, head, link or tag == "a"))
-
-    def _end(self, tag: str, walls: tuple | frozenset) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
+        if top.tag == "title" or tag == "body" and self.where["head"]:
+            self._pop(self.where["title" if top.tag == "title" else "head"][-1])
+        if tag in _ENDS_P:
+            for other in (*CONTROLS, "head"):
+                if self.where[other] and self.open[-1].mark == _SILENT:
+                    self._pop(self.where[other][0])
+        if tag not in INLINE and tag not in CONTROLS:
+            if self.open[-1].mark != _SILENT:
                 self.flush()
-                del self.open[i:]
-                return
-            if self.open[i][0] in walls:
-                return
+            for g in ((0,) if tag in _ENDS_P else ()) + _ENDS.get(tag, ()):
+                if (at := self.open[-1].near[g]) >= 0:
+                    self._pop(at)
+        parent, at = self.open[-1], len(self.open)
+        made = _Open(tag, parent, at)
+        if parent.mark != _SILENT:
+            if tag in MAIN and parent.mark >= 0 and self.by[parent.mark] in _TRANSPARENT and self.outer[parent.mark] < 0:
+                made.mark, made.head = _NONE, False
+            reason = "" if tag in _HEADINGS and not any(n in ("hidden", "style", "aria-hidden") for n, _ in attrs) else self._reason(tag, attrs, parent)
+            if tag in SILENT or tag in CONTROLS or tag in INLINE and reason:
+                made.mark = _SILENT
+            elif reason and not (tag in MAIN and reason != "words" and reason != "hidden"):
+                self.outer.append(made.mark)
+                self.by.append(reason)
+                self.closed.append(False)
+                made.mark = self.own[at] = len(self.by) - 1
+            if tag in CONTAINERS and made.mark != _SILENT:
+                facts = dict(attrs)
+                self.parents.append(parent.container)
+                made.container = len(self.parents) - 1
+                self.main.append(tag in MAIN or facts.get("role") == "main" or facts.get("itemprop") == "articleBody")
+        self.open.append(made)
+        self.where[tag].append(at)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag not in INLINE:
+        block = tag not in INLINE and tag not in CONTROLS
+        if block and self.open[-1].mark != _SILENT:
             self.flush()
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
+        if self.where[tag] and (block or self.where[tag][-1] >= self.open[-1].block):
+            at = self.where[tag][-1]
+            if at in self.own:
+                self.closed[self.own[at]] = True
+            self._pop(at)
 
     def handle_data(self, data: str) -> None:
-        _, dropped, _, head, link = self.open[-1]
-        if dropped or head and not any(e[0] in _HEADINGS for e in self.open):
+        top = self.open[-1]
+        if top.mark == _SILENT or top.head and not top.heading:
             return
         self.parts.append(data)
-        if link:
+        if top.link:
             self.linked += len(data)
 
 
@@ -182,6 +247,72 @@ def threshold(values: list[float]) -> float:
     return t
 
 
+def dense(ratio: list[float], sigma: float = 1.0) -> list[bool]:
+    """Whether each line is in the upper cluster of the smoothed ratios."""
+    soft = smoothed(ratio, sigma)
+    border = threshold(soft)
+    return [v >= border and v > 0 for v in soft]
+
+
+def evident(parser: _Lines) -> list[bool]:
+    """For each line, whether it stands in a part whose evidence holds."""
+    n = len(parser.by)
+    held, total = [0] * n, 0
+    for text, linked, _, _, _, mark in parser.lines:
+        plain = max(0, len(text) - linked)
+        total += plain
+        if mark >= 0:
+            held[mark] += plain
+    for m in range(n - 1, -1, -1):
+        if parser.outer[m] >= 0:
+            held[parser.outer[m]] += held[m]
+    holds: list[bool] = []
+    for m in range(n):
+        whole = parser.by[m] in ("words", "form") and held[m] > 0.8 * total
+        holds.append(parser.closed[m] and not whole or parser.outer[m] >= 0 and holds[parser.outer[m]])
+    return [line[5] >= 0 and holds[line[5]] for line in parser.lines]
+
+
+def chosen_lines(parser: _Lines, sigma: float = 1.0) -> list[int]:
+    """Indexes of the lines that are the page's main text."""
+    lines, away = parser.lines, evident(parser)
+    plain = [0 if gone else max(0, len(line[0]) - line[1]) for line, gone in zip(lines, away)]
+    up = dense([p / max(1, line[2]) for p, line in zip(plain, lines)], sigma)
+    up = [u and not gone for u, gone in zip(up, away)]
+    # Containers are numbered as they open, so those inside one follow it.
+    n = len(parser.parents)
+    mass, size, heavy = [0] * n, [1] * n, [-1] * n
+    for i, line in enumerate(lines):
+        if up[i]:
+            mass[line[3]] += max(1, plain[i])
+    for c in range(n - 1, 0, -1):
+        p = parser.parents[c]
+        mass[p] += mass[c]
+        size[p] += size[c]
+        if mass[c] and (heavy[p] < 0 or mass[c] >= mass[heavy[p]]):
+            heavy[p] = c
+    around, outer = [-1] * n, set()  # the article or main element around each, and those with one nearly as heavy inside
+    for c in range(1, n):
+        p = parser.parents[c]
+        around[c] = p if parser.main[p] else around[p]
+        if parser.main[c] and around[c] >= 0 and mass[c] > 0.8 * mass[around[c]]:
+            outer.add(around[c])
+    best = max((c for c in range(n) if parser.main[c] and mass[c] and c not in outer), key=lambda c: mass[c], default=0)
+    within_main = best and mass[best] >= 0.2 * mass[0]
+    region = best if within_main else 0
+    while not within_main and heavy[region] >= 0 and mass[heavy[region]] >= 0.9 * mass[0]:
+        region = heavy[region]
+    own = [i for i, line in enumerate(lines) if region <= line[3] < region + size[region] and not away[i]]
+    linked = {i: 2 * lines[i][1] > len(lines[i][0]) for i in own}
+    menu = {i for k, i in enumerate(own) if linked[i] and (k and linked[own[k - 1]] or k + 1 < len(own) and linked[own[k + 1]])}
+    text = [i for i in own if i not in menu and (up[i] or not linked[i])]
+    if within_main or not text:
+        return text
+    seeds = [i for i in text if up[i] or lines[i][4]]
+    hosts = {lines[i][3] for i in seeds}
+    return [i for i in text if seeds and seeds[0] <= i <= seeds[-1] and lines[i][3] in hosts]
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article's blocks in page order, joined by line feeds."""
     if not html:
@@ -190,37 +321,7 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
-    if not lines:
-        return ""
-    ratio = [max(0, len(text) - linked) / max(1, tags) for text, linked, tags, *_ in lines]
-    soft = smoothed(ratio, sigma)
-    border = threshold(soft)
-    upper = [v >= border for v in soft]
-    mass = [0] * len(parser.parents)
-    for (text, linked, _, at, _), up in zip(lines, upper):
-        if up:
-            while at >= 0:
-                mass[at] += max(1, len(text) - linked)
-                at = parser.parents[at]
-    mains = [i for i, m in enumerate(parser.main) if m and mass[i]]
-    inner = [i for i in mains if not any(_inside(parser.parents, j, i) and mass[j] > 0.8 * mass[i] for j in mains if j != i)]
-    best = max(inner, key=lambda i: mass[i], default=0)
-    if best and mass[best] >= 0.2 * mass[0]:
-        return "\n".join(text for text, _, _, at, _ in lines if _inside(parser.parents, at, best))
-    region = 0
-    while deeper := [i for i, p in enumerate(parser.parents) if p == region and mass[i] >= 0.9 * mass[0]]:
-        region = deeper[0]
-    own = [i for i, line in enumerate(lines) if _inside(parser.parents, line[3], region)]
-    hosts = {lines[i][3] for i in own if upper[i] or lines[i][4]}
-    chosen = [i for i in own if lines[i][3] in hosts]
-    return "\n".join(lines[i][0] for i in own if chosen[0] <= i <= chosen[-1]) if chosen else ""
-
-
-def _inside(parents: list[int], at: int, region: int) -> bool:
-    while at > region:
-        at = parents[at]
-    return at == region
+    return "\n".join(parser.lines[i][0] for i in chosen_lines(parser, sigma)) if parser.lines else ""
 
 
 def extracted(pages: DataFrame, sigma: float = 1.0) -> DataFrame:
