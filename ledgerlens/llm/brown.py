@@ -14,8 +14,8 @@ log10 P(text) = sum of log10 P(class | class before) + log10 P(word | class), bo
 P(d | c) = (n(c, d) + a p(d)) / (n(c) + a), P(w | c) = (c(w) + 0.1) / (n(c) + 0.1 (V(c) + 1)), where n counts all
 training tokens under the final classes, and the last V + 1 is for words not seen.
 
-Counts and classes of words are joined to the blocks by shuffle; nothing sent to tasks or to the driver grows with the
-corpus.
+Counts and classes of a bounded lexicon travel with the tasks, those of all other words are joined to the blocks by
+shuffle; nothing sent to tasks or to the driver grows with the corpus.
 
 Nulls: a null text is an empty one (one token, the end). A null doc_id is never held out. Repeated rows are scored
 each. With no training text N and V are 0: base_score is then the sum of log10(0.1 / 0.1) = 0 a token. An empty table
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.shared import batched, dropped, written
+from ledgerlens.llm.shared import batched, dropped, released, written
 
 #: What exchange clustering starts from on the driver; all other words join its classes by their own counts.
 TOP_WORDS, TOP_ENDINGS, CLASSES = 1000, 300, 48
@@ -44,6 +44,9 @@ ADD = 0.1
 BACKOFF, PRIOR = 5.0, 3.0
 #: Words in a block; a longer text is a block of its own.
 BLOCK_WORDS = 300_000
+#: Words whose counts and classes travel with the tasks, a bound: those of all others are joined.
+LEXICON = 262_144
+_MOST = 2**24 - 1
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 END = 0
 
@@ -221,8 +224,9 @@ def exchange(table: np.ndarray, classes: int = CLASSES, rounds: int = 8) -> np.n
 
 
 def contexts(blocks: DataFrame, words: list[str], signatures: list[str], cls: np.ndarray) -> DataFrame:
-    """(word, codes, n) of every training word that isn't one of `words`, a row a block: a code is the class before it, or
-    the number of classes and the class after it, n how often. Neighbours have the class of their symbol."""
+    """(word, told) of every training word that isn't one of `words`, a row a block. told has 32-bit integers: a code (the
+    class before it, or the number of classes and the class after it) in the upper 8 bits, how often in the others.
+    Neighbours have the class of their symbol."""
     c = int(cls.max()) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,13 +240,17 @@ def contexts(blocks: DataFrame, words: list[str], signatures: list[str], cls: np
                 rest = symbol[ids] > len(words)
                 base = ids[rest].astype(np.int64) * (2 * c)
                 codes, n = np.unique(np.concatenate((base + around[at[rest] - 1], base + c + around[at[rest] + 1])), return_counts=True)
+                times = -(-n // _MOST)  # a count that doesn't fit comes in parts
+                left = np.repeat(n, times) - _MOST * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+                codes = np.repeat(codes, times)
                 word = codes // (2 * c)
+                told = (codes % (2 * c)).astype(np.uint32) << np.uint32(24) | np.minimum(left, _MOST).astype(np.uint32)
                 first = np.flatnonzero(np.diff(word, prepend=-1))
-                offsets = pa.array(np.append(first, len(word)).astype(np.int32))
-                told = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((codes % (2 * c)).astype(np.int32), n)]
-                yield pa.RecordBatch.from_arrays([own.take(pa.array(word[first])), *told], ["word", "codes", "n"])
+                offsets = (np.append(first, len(word)) * 4).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(told)])
+                yield pa.RecordBatch.from_arrays([own.take(pa.array(word[first])), packed], ["word", "told"])
 
-    return blocks.select("words", "held", "lengths", "ids").mapInArrow(run, "word string, codes array<int>, n array<bigint>")
+    return blocks.select("words", "held", "lengths", "ids").mapInArrow(run, "word string, told binary")
 
 
 def gains(grid: np.ndarray) -> np.ndarray:
@@ -274,8 +282,10 @@ def assigned(around: DataFrame, signatures: list[str], words: list[str], cls: np
         for batch in batches:
             if not batch.num_rows:
                 continue
-            code, n = (batch.column(i).flatten().to_numpy() for i in (1, 2))
-            starts = batch.column(1).offsets.to_numpy()[:-1] - batch.column(1).offsets.to_numpy()[0]
+            told_in = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32)
+            code, n = told_in >> np.uint32(24), (told_in & np.uint32(_MOST)).astype(np.int64)
+            sizes = pc.binary_length(batch.column(1)).to_numpy() // 4
+            starts = np.cumsum(sizes) - sizes
             own = batch.column(0).dictionary_encode()
             first = np.flatnonzero(np.diff(own.indices.to_numpy(), prepend=-1))
             score = np.add.reduceat(np.add.reduceat(n[:, None] * added[code], starts), first)
@@ -294,26 +304,45 @@ def assigned(around: DataFrame, signatures: list[str], words: list[str], cls: np
     return around.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, n bigint, cls int")
 
 
-def coded(blocks: DataFrame, words: DataFrame, top: list[str], signatures: list[str], cls: np.ndarray, ends: int) -> DataFrame:
+def coded(blocks: DataFrame, words: DataFrame, top: list[str], signatures: list[str], cls: np.ndarray, ends: int, lexicon: int = LEXICON) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, logs, classes): each document's sum of log10(c + 0.1) and its classes, a byte
-    each. A block's words meet their counts and classes by a join, once a block."""
+    each. Counts and classes of the most frequent words travel with the tasks; all others meet theirs by a join, once a
+    block."""
     kind = blocks.schema["docs"].dataType.elementType.simpleString()
-    own = blocks.select("block", F.posexplode("words").alias("at", "word")).join(words, "word")
-    told = own.groupBy("block").agg(F.collect_list(F.struct("at", "n", "cls")).alias("told")).withColumnRenamed("block", "t_block")
-    joined = blocks.join(told, F.col("block") == F.col("t_block"), "left").select("words", "docs", "held", "lengths", "ids", "told")
+    known = words.orderBy(F.desc("n"), "word").limit(lexicon).toArrow().combine_chunks()
+    sent = blocks.sparkSession.sparkContext.broadcast(tuple(known[c].to_numpy(zero_copy_only=False) if c != "word" else known[c].to_pylist() for c in ("word", "n", "cls")))
+
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = pa.array(sent.value[0], pa.string())
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = batch.column(1)[k].values
+                at = np.flatnonzero(pc.is_null(pc.index_in(own, values)).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(k, 1).take(pa.array(np.zeros(len(at), np.int64))), pa.array(at.astype(np.int32)), own.take(pa.array(at))], ["block", "at", "word"]
+                )
+
+    rare = blocks.select("block", "words").mapInArrow(outside, "block bigint, at int, word string")
+    code = F.shiftleft(F.col("n"), 8).bitwiseOR(F.col("cls").cast("long")).alias("code")
+    told = rare.join(words, "word").select("block", "at", code).groupBy("block").agg(F.collect_list(F.struct("at", "code")).alias("told"))
+    joined = blocks.join(told.withColumnRenamed("block", "t_block"), F.col("block") == F.col("t_block"), "left").select("words", "docs", "held", "lengths", "ids", "told")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = Symbols(top, signatures)
+        symbols, (values, lex_n, lex_cls) = Symbols(top, signatures), sent.value
+        values = pa.array(values, pa.string())
         for batch in batches:
             for k in range(batch.num_rows):
                 own = batch.column("words")[k].values
                 lengths = batch.column("lengths")[k].values.to_numpy()
                 ids = np.frombuffer(batch.column("ids")[k].as_py(), np.int32)
                 count, of = np.zeros(len(own), np.int64), cls[symbols.of(own)]
+                place = pc.fill_null(pc.index_in(own, values), -1).to_numpy(zero_copy_only=False)
+                at = np.flatnonzero(place >= 0)
+                count[at], of[at] = lex_n[place[at]], lex_cls[place[at]]
                 if batch.column("told")[k].is_valid:
                     found = batch.column("told")[k].values
-                    at = found.field("at").to_numpy()
-                    count[at], of[at] = found.field("n").to_numpy(), found.field("cls").to_numpy()
+                    at, told = found.field("at").to_numpy(), found.field("code").to_numpy()
+                    count[at], of[at] = told >> 8, told & 255
                 doc = np.repeat(np.arange(len(lengths)), lengths)
                 logs = np.bincount(doc, np.log10(count + ADD)[ids], len(lengths)) + np.log10(ends + ADD)
                 known = np.bincount(doc, (count > 0)[ids], len(lengths)).astype(np.int64) + (ends > 0)
@@ -367,10 +396,12 @@ class Model:
     distinct: int
 
 
-def fit(docs: DataFrame, top_words: int = TOP_WORDS, endings: int = TOP_ENDINGS, classes: int = CLASSES, block_words: int = BLOCK_WORDS) -> Model:
+def fit(
+    docs: DataFrame, top_words: int = TOP_WORDS, endings: int = TOP_ENDINGS, classes: int = CLASSES, block_words: int = BLOCK_WORDS, lexicon: int = LEXICON
+) -> Model:
     """The model of all documents that aren't held out, and all documents' classes under it."""
-    if not 2 <= classes <= 256:
-        raise ValueError("a class is one byte, and the end has one of its own")
+    if not 2 <= classes <= 128:
+        raise ValueError("a class before or after a word is one byte, and the end has a class of its own")
     spark = docs.sparkSession
     blocks = written(blocks_of(docs, block_words))
     ends = blocks.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
@@ -383,6 +414,7 @@ def fit(docs: DataFrame, top_words: int = TOP_WORDS, endings: int = TOP_ENDINGS,
     by_end = rest.groupBy(F.substring("word", -SUFFIX, SUFFIX).alias("s")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(endings)
     signatures = by_end.toArrow()["s"].to_pylist()
     dropped(counts)
+    released(spark)
 
     symbols = Symbols(top, signatures)
     table = _grid(symbol_bigrams(blocks, top, signatures).toArrow(), symbols.size)
@@ -393,13 +425,14 @@ def fit(docs: DataFrame, top_words: int = TOP_WORDS, endings: int = TOP_ENDINGS,
     others = assigned(contexts(blocks, top, signatures, cls), signatures, top, cls, member.T @ table @ member)
     own = spark.createDataFrame(list(zip(top, top_n.tolist(), cls[1 : 1 + len(top)].tolist())), "word string, n bigint, cls int")
     words = written(others.unionByName(own))
+    released(spark)
     by_class = words.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # a row a class
     size, distinct = np.zeros(c), np.zeros(c)
     for r in by_class:
         size[r["cls"]], distinct[r["cls"]] = r["n"], r["v"]
     size[END], distinct[END] = ends, ends > 0
 
-    texts = written(coded(blocks, words, top, signatures, cls, ends))
+    texts = written(coded(blocks, words, top, signatures, cls, ends, lexicon))
     dropped(blocks)
     grid = _grid(class_bigrams(texts, c).toArrow(), c).astype(np.float64)
     unigram = (size + ADD) / (size.sum() + ADD * c)

@@ -464,7 +464,7 @@ def test_scores(spark, sample):
 
 def test_scores_are_class_probabilities(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
-    m = brown.fit(docs, top_words=20, endings=10, classes=6, block_words=500)
+    m = brown.fit(docs, top_words=20, endings=10, classes=6, block_words=500, lexicon=200)
     words = {r.word: (r.n, r.cls) for r in m.words.collect()}
     move, full = 10**m.log_move, 10**m.log_full
     assert move.sum(1) == pytest.approx(np.ones(len(move)))
@@ -476,7 +476,7 @@ def test_scores_are_class_probabilities(spark):
     texts = {r.doc_id: [w.decode() for w in (r.text or "").encode().translate(low).split()] for r in rows}
     counts = Counter(w for d, ws in texts.items() if not held[d] for w in ws)
     assert {w: n for w, (n, _) in words.items()} == counts
-    got = {r.doc_id: r for r in brown.scored(docs, top_words=20, endings=10, classes=6, block_words=500).collect()}
+    got = {r.doc_id: r for r in brown.scored(docs, top_words=20, endings=10, classes=6, block_words=500, lexicon=200).collect()}
     classes = {r.doc_id: list(r.classes) for r in m.texts.collect()}
     ends = sum(not h for h in held.values())
     grid = np.zeros(move.shape)
