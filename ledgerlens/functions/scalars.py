@@ -101,6 +101,39 @@ def age_days(now: Column, then: Column) -> Column:
     return (F.unix_timestamp(now) - F.unix_timestamp(then)) / 86400
 
 
+def older_than(now: Column, then: Column, days: int) -> Column:
+    """Whether at least `days` days have passed."""
+    return age_days(now, then) >= days
+
+
+def record_id(fields: dict[str, Column]) -> Column:
+    """Hash of the canonical JSON of identity fields: keys sorted, nulls written (H6)."""
+    return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}), 256)
+
+
+def case_digest(fields: dict[str, Column]) -> Column:
+    """Hash of a record's JSON in field order, with its algorithm."""
+    return F.concat(F.lit("sha256:"), F.sha2(F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]), {"ignoreNullFields": "false"}), 256))
+
+
+def package_id(text: Column) -> Column:
+    """Whether a text is `name@version` of an npm package, ASCII (P25); the last `@` divides it."""
+    name, version = F.regexp_extract(text, r"(?s)\A(.+)@([^@]*)\z", 1), F.regexp_extract(text, r"(?s)\A(.+)@([^@]*)\z", 2)
+    return full_match(name, r"(?:@[a-z0-9\-_.]+/)?[a-z0-9\-_.]+", 214) & full_match(version, r"[0-9]+\.[0-9]+\.[0-9]+(?:-[0-9A-Za-z.+-]+)?", 128)
+
+
+def registry_url(text: Column) -> Column:
+    """Whether a text is an https URL of a registry: a host, perhaps a port and a path, and nothing else (P25)."""
+    host = F.regexp_extract(text, r"(?s)\Ahttps://([^/:]*)", 1)
+    shape = text.rlike(r"(?s)\Ahttps://[^/:@?#]+(?::[0-9]+)?(?:/[^?#]*)?\z") & text.rlike(r"\A[\x00-\x7F]*\z") & (F.char_length(text) <= 2048)
+    return shape & full_match(host, r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)*", 253)
+
+
+def image_ref(text: Column) -> Column:
+    """Whether a text can name an image: no white space or controls, at most one colon, nothing empty beside it (P25)."""
+    return full_match(text, r"(?U:[^\s\x00-\x1F\x7F:]+(?::[^\s\x00-\x1F\x7F:]+)?)", 256)
+
+
 def utc_day(ts: Column) -> Column:
     """Directory name of a UTC day (H14); the session's zone is UTC."""
     return F.date_format(ts, "yyyy-MM-dd")

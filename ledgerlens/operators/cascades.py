@@ -199,15 +199,25 @@ def identifier_checks(text: Column) -> list[Column]:
 
 
 def rule_outcomes(rules: DataFrame, files: DataFrame) -> DataFrame:
-    """(repo, rule, outcome, evidence) of file-pattern rules (P13): all matching files must match, the first failing one
-    is the evidence; no matching file: not applicable, or a failure where a file is asked for."""
-    hit = rules.join(files, F.rlike("path", F.col("glob_regex")), "left")
+    """(repo, rule, outcome, evidence) of file-pattern rules (P13), one row for each rule and repository: all matching files
+    must match, the first failing one is the evidence; no matching file: not applicable, or a failure where one is asked for.
+
+    A rule's regular expression that ends in a literal extension meets only files of that extension, others meet all; the
+    expression decides after that equi-join. The catalog of rules is small and goes to each repository.
+    """
+    tail = F.regexp_extract("glob_regex", r"\\\.([A-Za-z0-9]+)(?:\\z|\$)$", 1)
+    keyed = rules.withColumn("kind", F.when(tail != "", tail).otherwise(F.lit("*")))
+    own = F.regexp_extract("path", r"\.([A-Za-z0-9]+)\z", 1)
+    dealt = files.withColumn("kind", F.explode(F.array_distinct(F.array(F.lit("*"), own))))
     good = F.rlike("content", F.col("content_regex")) != F.col("inverted")
-    agg = hit.groupBy("rule", "needs_file").agg(
-        F.count("path").alias("n"), F.bool_and(F.when(F.col("path").isNotNull(), good)).alias("ok"), F.min(F.when(~good, F.col("path"))).alias("evidence")
+    hits = dealt.join(keyed, "kind").where(F.rlike("path", F.col("glob_regex"))).groupBy("repo", "rule").agg(
+        F.bool_and(good).alias("ok"), F.min(F.when(~good, F.col("path"))).alias("evidence")
     )
+    every = files.select("repo").distinct().crossJoin(F.broadcast(rules.select("rule", "needs_file")))
     none = F.when(F.col("needs_file"), "fail").otherwise("not_applicable")
-    return agg.select("rule", F.when(F.col("n") == 0, none).when(F.col("ok"), "pass").otherwise("fail").alias("outcome"), "evidence")
+    return every.join(hits, ["repo", "rule"], "left").select(
+        "repo", "rule", F.when(F.col("ok").isNull(), none).when(F.col("ok"), "pass").otherwise("fail").alias("outcome"), "evidence"
+    )
 
 
 def exception_partition(df: DataFrame, today: Column) -> DataFrame:

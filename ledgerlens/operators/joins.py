@@ -56,13 +56,9 @@ def digest_mismatches(audit: DataFrame, cache: DataFrame, key: str) -> DataFrame
     return audit.join(other, key, "left").agg(F.count("*").alias("checked"), F.count_if(~F.col("digest").eqNullSafe(F.col("cached"))).alias("mismatched"))
 
 
-def matches_scope(dim: Column, value: Column) -> Column:
-    """A scope's dimension admits a value if it is `*` or equal; an incoming `*` is just a value."""
-    return (dim == "*") | (dim == value)
-
-
 def ranked_scopes(scopes: DataFrame, queries: DataFrame, dims: list[str]) -> DataFrame:
-    """Matching scopes of each query: most specific, then highest precedence, then name.
+    """Matching scopes of each query: most specific, then highest precedence, then name (J8, T5, P12). An incoming `*` is a
+    value like any other (D1).
 
     Scopes are equated on each dimension or on its wildcard: every query is exploded to its 2^d wildcard forms, so the
     theta join becomes an equi join.

@@ -39,16 +39,28 @@ def chain_tail(log: DataFrame, key: str, order: str, payload: Column) -> DataFra
     return log.groupBy(key).agg(F.count("*").alias("n"), head.alias("head"))
 
 
-def first_divergence(heads: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Per key the first place where the stored head isn't the recomputed one: verdict, place, tails.
+def first_divergence(heads: DataFrame, stored: DataFrame, key: str, transition: str, keys: DataFrame | None = None) -> DataFrame:
+    """Per key the first place where the stored log isn't the recomputed one: verdict, place, transition id, tails.
 
-    `stored` has (key, pos, stored_head, parsable). An unparsable row is a torn write where it comes first.
+    `stored` has (key, pos, stored_head, parsable). An unparsable row is a torn write, a row that only one side has is
+    missing or unexpected, where it comes first. A key of `keys` without any row is empty at genesis.
     """
-    joined = heads.join(stored, [key, "pos"])
-    bad = F.when(~F.col("parsable"), "torn_write").when(F.col("head") != F.col("stored_head"), "tampered")
-    first = F.min(F.when(bad.isNotNull(), F.struct("pos", bad.alias("v"))))
-    return joined.groupBy(key).agg(first.alias("f"), F.max_by("head", "pos").alias("tail")).select(
-        key, F.coalesce("f.v", F.lit("intact")).alias("verdict"), F.col("f.pos").alias("at"), "tail"
+    joined = heads.join(stored, [key, "pos"], "full")
+    bad = (
+        F.when(F.col("head").isNull(), "unexpected").when(F.col("parsable").isNull(), "missing")
+        .when(~F.col("parsable"), "torn_write").when(~F.col("head").eqNullSafe(F.col("stored_head")), "tampered")
+    )
+    first = F.min(F.when(bad.isNotNull(), F.struct("pos", bad.alias("v"), F.col(transition).alias("t"))))
+    found = joined.groupBy(key).agg(
+        first.alias("f"), F.max_by("head", F.when(F.col("head").isNotNull(), F.col("pos"))).alias("tail"),
+        F.max_by("stored_head", F.when(F.col("parsable").isNotNull(), F.col("pos"))).alias("stored_tail"), F.lit(True).alias("there"),
+    )
+    if keys is not None:
+        found = keys.select(key).distinct().join(found, key, "left")
+    verdict = F.when(F.col("there").isNull(), "empty").otherwise(F.coalesce("f.v", F.lit("intact")))
+    return found.select(
+        key, verdict.alias("verdict"), F.col("f.pos").alias("at"), F.col("f.t").alias("transition"),
+        F.coalesce("tail", F.lit(GENESIS)).alias("tail"), F.coalesce("stored_tail", F.lit(GENESIS)).alias("stored_tail"),
     )
 
 
@@ -133,19 +145,22 @@ def hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query(
     "tamper_first_divergence",
     _CHAIN + """
-    , s AS (SELECT user_id, pos, event_id, head, CASE WHEN event_id % 97 = 5 THEN sha256(head) ELSE head END AS stored, event_id % 89 <> 7 AS ok FROM c),
-    b AS (SELECT *, CASE WHEN NOT ok THEN 'torn_write' WHEN head <> stored THEN 'tampered' END AS v FROM s)
-    SELECT user_id, coalesce(min_by(v, pos) FILTER (v IS NOT NULL), 'intact') AS verdict, min(pos) FILTER (v IS NOT NULL) AS at,
-           max_by(head, pos) AS tail FROM b GROUP BY user_id
+    , w AS (SELECT user_id, pos, event_id, head, CASE WHEN event_id % 97 = 5 THEN sha256(head) ELSE head END AS stored, event_id % 89 <> 7 AS ok, event_id % 101 <> 9 AS there FROM c),
+    b AS (SELECT *, CASE WHEN NOT there THEN 'missing' WHEN NOT ok THEN 'torn_write' WHEN head <> stored THEN 'tampered' END AS v FROM w),
+    g AS (SELECT user_id, coalesce(min_by(v, pos) FILTER (v IS NOT NULL), 'intact') AS verdict, min(pos) FILTER (v IS NOT NULL) AS at,
+                 min_by(event_id, pos) FILTER (v IS NOT NULL) AS transition, max_by(head, pos) AS tail,
+                 coalesce(max_by(stored, pos) FILTER (there), repeat('0', 64)) AS stored_tail FROM b GROUP BY user_id)
+    SELECT * FROM g UNION ALL SELECT -1, 'empty', NULL, NULL, repeat('0', 64), repeat('0', 64)
     """,
 )
 def tamper_first_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = chain_heads(table(spark, sf_dir, "events"), "user_id", "event_id", _payload())
-    stored = heads.select(
+    stored = heads.where("event_id % 101 <> 9").select(
         "user_id", "pos", F.when(F.col("event_id") % 97 == 5, F.sha2("head", 256)).otherwise(F.col("head")).alias("stored_head"),
         (F.col("event_id") % 89 != 7).alias("parsable"),
     )
-    return first_divergence(heads, stored, "user_id")
+    keys = heads.select("user_id").union(spark.sql("SELECT -1L"))
+    return first_divergence(heads, stored, "user_id", "event_id", keys)
 
 
 _STATES = "['needs_plan', 'plan_ready', 'patch_applied', 'completed', 'gate_failed_retryable', 'awaiting_human_review', 'failed_unrecoverable']"

@@ -5,30 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalars import band, cosine
+from ledgerlens.functions.scalars import band, cosine, normalised, vector_ok
 from ledgerlens.registry import REGISTRY, table
 
 
-def nearest(queries: DataFrame, store: DataFrame, partition: list[str], k: int = 5) -> DataFrame:
+def nearest(queries: DataFrame, store: DataFrame, partition: list[str], k: int = 5, others: bool = False, salts: int = 16) -> DataFrame:
     """(query_id, id, score, rank): the k best of a query's partition by cosine, ties to the smallest id (T4, V1).
 
-    The equi-join on the partition columns prunes what is compared. Spark keeps the best k of a query in each task
-    before its shuffle, so a large partition sends k rows a query and task, not all pairs.
+    The equi-join on the partition columns prunes what is compared. The store's rows of a partition are dealt over `salts`
+    tasks, each of which has its queries; Spark keeps the best k of a query in each task before its shuffle, so a large
+    partition sends k rows a query and task, not all pairs. `others` leaves out the store's row of the query's own id.
     """
-    q = queries.select(*partition, "query_id", F.col("embedding").alias("q"))
-    pairs = q.join(store.select(*partition, "id", "embedding"), partition)
+    salted = [*partition, "salt"]
+    q = queries.select(*partition, "query_id", F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    pairs = q.join(store.select(*partition, F.pmod(F.hash("id"), F.lit(salts)).alias("salt"), "id", "embedding"), salted)
+    if others:
+        pairs = pairs.where("id <> query_id")
     scored = pairs.select(*partition, "query_id", "id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def funnel(queries: DataFrame, store: DataFrame, chain: DataFrame, model: str, partition: list[str], k: int = 5, high: float = 0.85, medium: float = 0.65) -> DataFrame:
+def funnel(
+    queries: DataFrame, store: DataFrame, chain: DataFrame, model: str, partition: list[str], k: int = 5, high: float = 0.85, medium: float = 0.65, others: bool = False
+) -> DataFrame:
     """(query_id, outcome, id, score): hit, degraded or the reason of a miss (V1, V2).
 
     The k best come first; records without a verified chain head and those of another model leave the k afterwards, so
     a query may end with fewer than k. The stage at which nothing is left is the reason of a miss (J5, J6).
     """
-    top = nearest(queries, store, partition, k).join(store.select("id", "chain_head", "model"), "id")
+    top = nearest(queries, store, partition, k, others).join(store.select("id", "chain_head", "model"), "id")
     known = chain.select("chain_head").where("chain_head <> ''").distinct().withColumn("verified", F.lit(True))
     checked = top.join(known, "chain_head", "left").withColumn("verified", F.coalesce("verified", F.lit(False)))
     ok = F.col("verified") & (F.col("model") == model)
@@ -59,6 +65,17 @@ def cache_aside(requests: DataFrame, cache: DataFrame, key: str) -> tuple[DataFr
     return hits, misses
 
 
+def rebuilt(records: DataFrame, order: str, dim: int, encode=None) -> DataFrame:
+    """The store's rows from the canonical records (V5): of each id the last by `order`, with a usable vector, normalised.
+
+    `encode` maps a DataFrame to one with its embeddings made anew. The result replaces the derived table as a whole.
+    """
+    last = records.groupBy("id").agg(F.max_by(F.struct(*[c for c in records.columns if c != "id"]), order).alias("r")).select("id", "r.*")
+    made = encode(last) if encode is not None else last
+    unit = made.where(vector_ok(F.col("embedding"), dim)).withColumn("embedding", normalised(F.col("embedding")))
+    return unit.where("embedding is not null").drop(order)
+
+
 def contained_ids(asked: DataFrame, store: DataFrame) -> DataFrame:
     return asked.join(store.select("id").distinct(), "id", "left_semi")
 
@@ -66,7 +83,7 @@ def contained_ids(asked: DataFrame, store: DataFrame) -> DataFrame:
 def _store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     vectors = table(spark, sf_dir, "embeddings")
     queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", "embedding")
-    store = vectors.where("vec_id % 100 <> 0").select(
+    store = vectors.select(
         F.col("vec_id").alias("id"), "label", "embedding", F.when(F.col("vec_id") % 7 == 0, "").otherwise(F.concat(F.lit("h"), (F.col("vec_id") % 10).cast("string"))).alias("chain_head"),
         F.when(F.col("vec_id") % 5 == 0, "old").otherwise("live").alias("model"),
     )
@@ -76,16 +93,16 @@ def _store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _NEAREST = """
 q AS (SELECT vec_id AS query_id, label, embedding FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT vec_id AS id, label, embedding, CASE WHEN vec_id % 7 = 0 THEN '' ELSE 'h' || (vec_id % 10) END AS chain_head,
-             CASE WHEN vec_id % 5 = 0 THEN 'old' ELSE 'live' END AS model FROM embeddings WHERE vec_id % 100 <> 0),
+             CASE WHEN vec_id % 5 = 0 THEN 'old' ELSE 'live' END AS model FROM embeddings),
 n AS (SELECT q.label, query_id, id, chain_head, model, round(greatest(-1, least(1, list_dot_product(q.embedding::DOUBLE[], s.embedding::DOUBLE[]))), 6) AS score
-      FROM q JOIN s USING (label) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5)
+      FROM q JOIN s USING (label) WHERE query_id <> id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5)
 """
 
 
 @REGISTRY.query("knn_topk", f"WITH {_NEAREST} SELECT label, query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM n")
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, store = _store(spark, sf_dir)
-    return nearest(queries, store, ["label"])
+    return nearest(queries, store, ["label"], others=True)
 
 
 @REGISTRY.query(
@@ -94,7 +111,7 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def knn_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, store = _store(spark, sf_dir)
-    return nearest(queries, store, ["label"]).select("query_id", "id", band(F.col("score"), 0.3, 0.25).alias("band"))
+    return nearest(queries, store, ["label"], others=True).select("query_id", "id", band(F.col("score"), 0.3, 0.25).alias("band"))
 
 
 @REGISTRY.query(
@@ -112,7 +129,7 @@ def knn_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, store = _store(spark, sf_dir)
     chain = spark.sql("SELECT * FROM VALUES ('h1'), ('h2'), ('h3'), ('h4'), ('h5'), ('h6'), ('') AS t(chain_head)")
-    return funnel(queries, store, chain, "live", ["label"], high=0.3, medium=0.25)
+    return funnel(queries, store, chain, "live", ["label"], high=0.3, medium=0.25, others=True)
 
 
 @REGISTRY.query("stale_models", f"WITH {_NEAREST} SELECT count(*) FILTER (model <> 'live') AS excluded, min(id) FILTER (model <> 'live') AS first_id, 'old' AS first_model FROM s")

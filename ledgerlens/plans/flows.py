@@ -31,8 +31,8 @@ def resolved(records: DataFrame, installed: DataFrame) -> DataFrame:
 
 
 def replayed(events: DataFrame, stored: DataFrame, key: str, order: str, payload) -> DataFrame:
-    """Verdict and latest head of each workflow (3.5); an empty log has no row, its verdict is `intact` at genesis."""
-    return ledger.first_divergence(ledger.chain_heads(events, key, order, payload), stored, key)
+    """Verdict and latest heads of each workflow (3.5)."""
+    return ledger.first_divergence(ledger.chain_heads(events, key, order, payload), stored, key, order)
 
 
 def index_report(slices: DataFrame, head: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.fixed import ADR_STATES
-from ledgerlens.functions.scalars import exec_form, kv_pairs
+from ledgerlens.functions.scalars import exec_form, kv_pairs, package_of_lock_key
 from ledgerlens.registry import REGISTRY, table
 
 
@@ -29,7 +29,7 @@ def lcov_totals(files: DataFrame) -> DataFrame:
     names = {"LF:": "lines_found", "LH:": "lines_hit", "FNF:": "functions_found", "FNH:": "functions_hit", "BRF:": "branches_found", "BRH:": "branches_hit"}
     lines = numbered(files)
     sums = [
-        F.coalesce(F.sum(F.when(F.startswith("line", F.lit(p)), F.substring("line", len(p) + 1, 40).try_cast("bigint"))), F.lit(0)).alias(n) for p, n in names.items()
+        F.coalesce(F.sum(F.when(F.startswith("line", F.lit(p)), F.substr("line", F.lit(len(p) + 1)).try_cast("bigint"))), F.lit(0)).alias(n) for p, n in names.items()
     ]
     return lines.groupBy("path").agg(*sums)
 
@@ -44,7 +44,7 @@ def lcov_records(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.join(bad, "path", "left_anti")
     # A group starts at SF and at END; what follows an END has no source and is dropped.
     rows = rows.withColumn("nth", F.sum(F.when(F.col("kind") != "DA", 1).otherwise(0)).over(_running("pos")))
-    head = F.max(F.when(F.col("kind") == "SF", F.substring("line", 4, 100_000)))
+    head = F.max(F.when(F.col("kind") == "SF", F.substr("line", F.lit(4))))
     covered = F.array_sort(F.collect_list(F.when((F.col("kind") == "DA") & (F.col("hits") > 0), F.struct("pos", "no"))))
     records = rows.groupBy("path", "nth").agg(head.alias("source_file"), F.transform(covered, lambda x: x["no"]).alias("lines_covered"))
     return records.where("source_file is not null"), bad.withColumn("reason", F.lit("malformed_da"))
@@ -142,11 +142,24 @@ def healthcheck(payload: Column) -> Column:
     return F.struct(F.when(none, "none").otherwise("cmd").alias("kind"), F.map_from_arrays(keys, values).alias("options"), F.when(~none, cmd).alias("cmd"))
 
 
+def npm_packages(files: DataFrame) -> DataFrame:
+    """(path, lockfile_version, key, name, version) of the packages of npm lock files of versions 2 and 3.
+
+    A file that isn't a JSON object, or has no version, has one row with nulls. The nested tree of version 1 is walked by
+    `nested_dependencies`.
+    """
+    whole = "struct<lockfileVersion:int,packages:map<string,struct<version:string,name:string>>>"
+    read = files.select("path", F.from_json("text", whole).alias("lock"))
+    rows = read.select("path", F.col("lock.lockfileVersion").alias("lockfile_version"), F.explode_outer("lock.packages").alias("key", "p"))
+    # The root has an empty key and is no package.
+    return rows.where("key is null or key <> ''").select("path", "lockfile_version", "key", F.coalesce("p.name", package_of_lock_key(F.col("key"))).alias("name"), "p.version")
+
+
 def code_owners(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(path, line_number, pattern, owners) counted from 1 with blanks, and lines without an owner."""
     lines = numbered(files).withColumn("line", F.trim("line")).where((F.col("line") != "") & ~F.startswith("line", F.lit("#")))
     tokens = F.split(F.regexp_replace("line", r"\s#.*\z", ""), r"\s+")
-    rows = lines.select("path", (F.col("pos") + 1).alias("line_number"), tokens[0].alias("pattern"), F.filter(F.slice(tokens, 2, 10_000), lambda t: t != "").alias("owners"))
+    rows = lines.select("path", (F.col("pos") + 1).alias("line_number"), tokens[0].alias("pattern"), F.filter(F.slice(tokens, 2, F.size(tokens)), lambda t: t != "").alias("owners"))
     return rows, rows.where(F.size("owners") == 0).select("path", F.concat(F.lit("empty_owners_at_line_"), F.col("line_number").cast("string")).alias("reason"))
 
 

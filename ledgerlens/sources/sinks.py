@@ -12,9 +12,13 @@ def put_cache(entries: DataFrame, path: str, key: str = "key") -> None:
 
 
 def append_new(rows: DataFrame, path: str, key: list[str]) -> int:
-    """Appends the first row of each key that the table doesn't have (K3, K6) and returns how many it appended."""
+    """Appends one row of each key that the table doesn't have (K3, K6) and returns how many it appended.
+
+    Of several rows with a new key the least by the other columns is taken, so that a batch that runs again takes the same.
+    """
     spark = rows.sparkSession
-    fresh = rows.dropDuplicates(key)
+    others = [c for c in rows.columns if c not in key]
+    fresh = rows.groupBy(*key).agg(F.min(F.struct(*others)).alias("r")).select(*key, "r.*").select(*rows.columns) if others else rows.distinct()
     try:
         there = spark.read.parquet(path).select(*key).distinct()
     except Exception as e:  # noqa: BLE001  the table's first batch
@@ -53,7 +57,7 @@ def node_link(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def envelope(slices: DataFrame, repo: str = "repo") -> DataFrame:
     """(repo, json): probes.<name> documents of long rows (repo, probe, slice), keys sorted (K1, N7); a later row of a probe wins."""
     last = slices.groupBy(repo, "probe").agg(F.max_by("slice", "pos").alias("slice"))
-    pairs = F.array_sort(F.collect_list(F.concat(F.to_json(F.array("probe")).substr(2, 1_000_000), F.lit("\0"), F.col("slice"))))
+    pairs = F.array_sort(F.collect_list(F.concat(F.substr(F.to_json(F.array("probe")), F.lit(2)), F.lit("\0"), F.col("slice"))))
     fields = F.transform(pairs, lambda p: F.concat(F.regexp_replace(F.split(p, "\0", 2)[0], r"\]\z", ""), F.lit(":"), F.split(p, "\0", 2)[1]))
     return last.groupBy(repo).agg(F.concat(F.lit('{"probes":{'), F.array_join(fields, ","), F.lit("}}")).alias("json"))
 

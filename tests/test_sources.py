@@ -169,9 +169,11 @@ def test_graphs(spark):
 
 def test_rules_and_invariants(spark):
     rules = spark.createDataFrame([("r", "^a", "x", False, False), ("s", "^z", "x", False, True), ("t", "^z", "x", False, False)], "rule string, glob_regex string, content_regex string, inverted boolean, needs_file boolean")
-    files = spark.createDataFrame([("a1", "x"), ("a2", "y"), ("a0", "y")], "path string, content string")
-    got = {r.rule: (r.outcome, r.evidence) for r in rule_outcomes(rules, files).collect()}
-    assert got == {"r": ("fail", "a0"), "s": ("fail", None), "t": ("not_applicable", None)}
+    files = spark.createDataFrame([("g", "a1", "x"), ("g", "a2", "y"), ("g", "a0", "y"), ("h", "a1", "x"), ("h", "z.js", "x")], "repo string, path string, content string")
+    rules = rules.union(spark.createDataFrame([("u", r"^z\.js\z", "y", True, False)], rules.schema))
+    got = {(r.repo, r.rule): (r.outcome, r.evidence) for r in rule_outcomes(rules, files).collect()}
+    first = {("g", "r"): ("fail", "a0"), ("g", "s"): ("fail", None), ("g", "t"): ("not_applicable", None), ("g", "u"): ("not_applicable", None)}
+    assert got == first | {("h", "r"): ("pass", None), ("h", "s"): ("pass", None), ("h", "t"): ("pass", None), ("h", "u"): ("pass", None)}
     reports = spark.createDataFrame([(1, "completed", None, [], None, None, True, [], 1, 1), (2, "validated", "p", ["x"], "b", "t", True, ["k"], 0, 1)], "id int, outcome string, patch string, failure_modes array<string>, branch string, transform string, passed boolean, failing array<string>, findings int, fingerprints int")
     assert {(r.id, r.violation) for r in invariant_violations(reports).collect()} == {(1, "completed_needs_patch"), (2, "passed_has_failing"), (2, "fewer_findings_than_fingerprints")}
 
