@@ -109,15 +109,6 @@ def links(distinct: DataFrame, limit: int = 3) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
-def classes(docs: DataFrame, limit: int = 3, width: int = 3) -> DataFrame:
-    """(doc_id, row, fp, root): root names the component of the row's fingerprint; row is a hash of the text."""
-    prints = written(fingerprints(docs, width))
-    distinct = prints.select("fp").distinct()
-    roots = components(links(distinct, limit))
-    of_print = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return prints.join(of_print, "fp").select("doc_id", "row", "fp", "root")
-
-
 def near_duplicates(docs: DataFrame, limit: int = 3, width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id reachable over links, the document's own included."""
     prints = written(fingerprints(docs, width)).select("doc_id", "fp")
@@ -137,8 +128,12 @@ def firsts(docs: DataFrame, limit: int = 3, width: int = 3) -> DataFrame:
     Rows that share a doc_id but belong to different components all have theirs. Rows without an id can't be named as
     copies and stay.
     """
-    named = classes(docs, limit, width).where("doc_id is not null")
-    picked = named.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("p")).select(F.col("p.doc_id").alias("p_id"), F.col("p.row").alias("p_row"))
+    prints = written(fingerprints(docs, width))
+    # Copies are added up before they meet their component: a fingerprint is one row, however many share it.
+    by_print = prints.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("p"))
+    roots = components(links(prints.select("fp").distinct(), limit))
+    of_print = by_print.join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "p")
+    picked = of_print.groupBy("root").agg(F.min("p").alias("p")).select(F.col("p.doc_id").alias("p_id"), F.col("p.row").alias("p_row"))
     others = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
     row, tie = _row(docs), F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
     keyed = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("whole"), docs["doc_id"].alias("k_id"), row.alias("k_row"), tie.alias("tie"))
