@@ -39,6 +39,22 @@ ODD = [
 ]
 
 
+def test_the_shared_folder_is_local_in_local_sessions_alone():
+    import os
+    from types import SimpleNamespace as N
+
+    from ledgerlens.llm.shared import shared_dir
+
+    def session(master, found=None):
+        return N(conf=N(get=lambda key, default: found), sparkContext=N(master=master, getConf=lambda: N(get=lambda key: None)))
+
+    assert shared_dir(session("spark://h:7077", "s3a://bucket/tmp")) == "s3a://bucket/tmp"
+    assert os.path.isdir(shared_dir(session("local[4]"))) and shared_dir(session("local[4]")) == shared_dir(session("local"))
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------------
 
 
