@@ -22,8 +22,8 @@ def producers(edges: DataFrame, name: str) -> DataFrame:
 
 
 def reverse_lookup(edges: DataFrame) -> DataFrame:
-    """Importing files of every module, sorted."""
-    return edges.groupBy(F.col("dst").alias("module")).agg(F.array_sort(F.collect_set("src")).alias("files"))
+    """(module, file) of every importing file, once (G2): rows and not a list, as a common module has a file in each repository."""
+    return edges.select(F.col("dst").alias("module"), F.col("src").alias("file")).distinct()
 
 
 def references(occurrences: DataFrame, symbol: str) -> DataFrame:
@@ -115,12 +115,7 @@ def _page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("url", links.alias("dst")).distinct()
 
 
-@REGISTRY.query(
-    "reverse_lookup",
-    r"""
-    SELECT dst AS module, list_sort(list(DISTINCT url)) AS files FROM (SELECT url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS dst FROM pages) GROUP BY 1
-    """,
-)
+@REGISTRY.query("reverse_lookup", r"""SELECT DISTINCT unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS module, url AS file FROM pages""")
 def reverse_lookup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reverse_lookup(_page_edges(spark, sf_dir).withColumnRenamed("url", "src"))
 

@@ -1,13 +1,18 @@
 """Event logs: hash chains, divergence, legal steps, budgets, store digests.
 
-Folds whose state is the previous output aren't windows. They run over one key's rows, gathered in order and folded in
-the JVM; a key's log is bounded by its workflow. streaming/ has the forms that keep state across batches.
+Folds whose state is the previous output aren't windows. They stream over one key's rows, put in order by the partition's
+sort, and hold one state; a long log spills in the sort and never becomes one row. streaming/ has the forms that keep
+state across batches.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
 from decimal import Decimal
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,25 +23,47 @@ GENESIS = "0" * 64
 _RS = chr(30)
 
 
+def ordered_fold(rows: DataFrame, key: str, order: list[str], value: str, start: Any, step: Callable[[Any, Any], tuple[Any, Any]], out: str, kind: str) -> DataFrame:
+    """`rows` with pos (from 0) and `out`: step(state, value) -> (state, out) over the rows of each key in order.
+
+    One shuffle by the key and a sort that spills; a task keeps the state of one key at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, pos, state = object(), 0, start
+        for batch in batches:
+            places, found = [], []
+            for k, v in zip(batch.column(key).to_pylist(), batch.column(value).to_pylist()):
+                if k != last:
+                    last, pos, state = k, 0, start
+                state, x = step(state, v)
+                places.append(pos)
+                found.append(x)
+                pos += 1
+            columns = [*batch.columns, pa.array(places, pa.int64()), pa.array(found, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "pos", out])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, f"{fields}, pos bigint, {out} {kind}")
+
+
+def _next_head(head: str, event: str | None) -> tuple[str, str]:
+    head = hashlib.sha256(f"{head}{_RS}{event or ''}".encode()).hexdigest()
+    return head, head
+
+
 def chain_heads(log: DataFrame, key: str, order: str, payload: Column) -> DataFrame:
-    """(key, pos, event, head): head = H(head before, record separator, payload), from a genesis of zeros."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), payload.alias("e"))))
-    step = F.aggregate(
-        F.col("rows"), F.array().cast("array<string>"),
-        lambda acc, r: F.array_append(acc, F.sha2(F.concat(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(GENESIS)), F.lit(_RS), r["e"]), 256)),
-    )
-    # The fold is computed once a key: as a generator's input it isn't repeated by the reads below.
-    folded = log.groupBy(key).agg(rows.alias("rows")).select(key, "rows", F.explode(F.array(step)).alias("heads"))
-    return folded.select(key, F.posexplode(F.arrays_zip("rows", "heads")).alias("pos", "x")).select(
-        key, "pos", F.col("x.rows.o").alias(order), F.col("x.rows.e").alias("event"), F.col("x.heads").alias("head")
-    )
+    """(key, pos, order, event, head): head = H(head before, record separator, payload), from a genesis of zeros.
+
+    Rows that share key and order are put in the order of their payloads; a null payload counts as an empty one.
+    """
+    rows = log.select(key, order, payload.alias("event"))
+    return ordered_fold(rows, key, [order, "event"], "event", GENESIS, _next_head, "head", "string").select(key, "pos", order, "event", "head")
 
 
 def chain_tail(log: DataFrame, key: str, order: str, payload: Column) -> DataFrame:
-    """Last head of each key; constant state however long the log."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), payload.alias("e"))))
-    head = F.aggregate(rows, F.lit(GENESIS), lambda h, r: F.sha2(F.concat(h, F.lit(_RS), r["e"]), 256))
-    return log.groupBy(key).agg(F.count("*").alias("n"), head.alias("head"))
+    """Length and last head of each key."""
+    return chain_heads(log, key, order, payload).groupBy(key).agg(F.count("*").alias("n"), F.max_by("head", "pos").alias("head"))
 
 
 def first_divergence(heads: DataFrame, stored: DataFrame, key: str, transition: str, keys: DataFrame | None = None) -> DataFrame:
@@ -88,22 +115,23 @@ def latest_state(workflows: DataFrame, events: DataFrame, key: str, order: str,
 def admissions(calls: DataFrame, key: str, order: str, tokens: str, per_call: int, max_tokens: int, dollars_per_token: str, max_dollars: str) -> DataFrame:
     """(key, order, verdict) of each call in order (W8): call cap, then workflow tokens, then workflow dollars.
 
-    A refused call consumes nothing, so the running total depends on the verdicts: an ordered fold per key.
+    A refused call consumes nothing, so the running total depends on the verdicts: an ordered fold per key. Null tokens
+    count as none.
     """
-    rate, cap = F.lit(Decimal(dollars_per_token)).cast("decimal(18,9)"), F.lit(Decimal(max_dollars)).cast("decimal(38,9)")
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).cast("bigint").alias("t"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<string>").alias("out"))
+    rate, cap = Decimal(dollars_per_token), Decimal(max_dollars)
 
-    def step(acc: Column, r: Column) -> Column:
-        total = acc["used"] + r["t"]
-        verdict = (
-            F.when(r["t"] > per_call, "per_call_max_exceeded").when(total > max_tokens, "workflow_max_tokens_exceeded")
-            .when((total.cast("decimal(20,0)") * rate).cast("decimal(38,9)") > cap, "workflow_max_dollars_exceeded").otherwise("admitted")
-        )
-        return F.struct(F.when(verdict == "admitted", total).otherwise(acc["used"]).alias("used"), F.array_append(acc["out"], verdict).alias("out"))
+    def step(used: int, asked: int | None) -> tuple[int, str]:
+        total = used + (asked or 0)
+        if (asked or 0) > per_call:
+            return used, "per_call_max_exceeded"
+        if total > max_tokens:
+            return used, "workflow_max_tokens_exceeded"
+        if total * rate > cap:
+            return used, "workflow_max_dollars_exceeded"
+        return total, "admitted"
 
-    folded = calls.groupBy(key).agg(rows.alias("rows")).select(key, "rows", F.explode(F.array(F.aggregate("rows", start, step, lambda a: a["out"]))).alias("out"))
-    return folded.select(key, F.explode(F.arrays_zip("rows", "out")).alias("x")).select(key, F.col("x.rows.o").alias(order), F.col("x.out").alias("verdict"))
+    rows = calls.select(key, order, F.col(tokens).cast("bigint").alias("asked"))
+    return ordered_fold(rows, key, [order, "asked"], "asked", 0, step, "verdict", "string").select(key, order, "verdict")
 
 
 def reconciled(precharges: DataFrame, settlements: DataFrame, token: str, order: str) -> DataFrame:
@@ -114,11 +142,27 @@ def reconciled(precharges: DataFrame, settlements: DataFrame, token: str, order:
     return ranked.join(known, token, "left").withColumn("verdict", verdict).drop("known", "nth")
 
 
-def ordered_digest(df: DataFrame, group: list[str], order: list[str], payload: Column) -> DataFrame:
-    """Hash of the payloads in order, line feeds between (W10, A15, A17): row order doesn't matter."""
-    rows = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], payload.alias("__p"))))
-    joined = F.array_join(F.transform(rows, lambda r: r["__p"]), "\n")
-    return df.groupBy(*group).agg(F.count("*").alias("n"), F.sha2(joined, 256).alias("digest"))
+def ordered_digest(df: DataFrame, group: list[str], order: list[str], payload: Column, digits: int = 3) -> DataFrame:
+    """(group, n, digest) whatever the order of the rows (W10, A15, A17): a tree of two levels.
+
+    A row's bucket is the first `digits` hex digits of the hash of its order columns. A bucket's digest is that of its
+    payloads in order, line feeds between; a group's is that of its lines "bucket:digest" in order. So no task holds a
+    group: a bucket has a 4096th of it, and a group at most 4096 lines. Null payloads are counted and not hashed.
+    """
+    bucket = F.substring(F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in order]), 256), 1, digits)
+    rows = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], F.col("__p"))))
+    leaf = F.sha2(F.array_join(F.transform(rows, lambda r: r["__p"]), "\n"), 256)
+    leaves = df.withColumns({"__p": payload, "__b": bucket}).groupBy(*group, "__b").agg(F.count("*").alias("__n"), leaf.alias("__d"))
+    line = F.concat("__b", F.lit(":"), "__d")
+    return leaves.groupBy(*group).agg(F.sum("__n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
+
+
+def digest_sql(source: str, group: str, order: str, payload: str) -> str:
+    """SQL of `ordered_digest` with one group and one order column."""
+    return f"""
+    WITH l AS (SELECT {group} AS g, left(sha256(({order})::VARCHAR), 3) AS b, count(*) AS n, sha256(coalesce(string_agg({payload}, chr(10) ORDER BY {order}), '')) AS d FROM {source} GROUP BY 1, 2)
+    SELECT g AS {group}, sum(n)::BIGINT AS n, sha256(string_agg(b || ':' || d, chr(10) ORDER BY b)) AS digest FROM l GROUP BY 1
+    """
 
 
 _PAYLOAD = "event_id || ':' || event_type"
@@ -235,12 +279,7 @@ def reconcile_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconciled(charged, settled, "token", "seq").select("token", "seq", "verdict")
 
 
-@REGISTRY.query(
-    "set_digest",
-    """
-    SELECT n_regionkey, count(*) AS n, sha256(string_agg(n_nationkey || '|' || n_name, chr(10) ORDER BY n_nationkey)) AS digest FROM nation GROUP BY 1
-    """,
-)
+@REGISTRY.query("set_digest", digest_sql("nation", "n_regionkey", "n_nationkey", "n_nationkey || '|' || n_name"))
 def set_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.concat(F.col("n_nationkey").cast("string"), F.lit("|"), F.col("n_name"))
     return ordered_digest(table(spark, sf_dir, "nation"), ["n_regionkey"], ["n_nationkey"], payload)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.fixed import DECORATOR_PACKAGES, MONOREPO_MARKS, SKIPPED_DIRS, TEST_SUFFIXES
+from ledgerlens.operators.ledger import digest_sql, ordered_digest
 from ledgerlens.registry import REGISTRY, table
 
 
@@ -70,8 +71,7 @@ def tree_digest(files: DataFrame, content: bool = False) -> DataFrame:
     """(repo, digest) over sorted (path, size), or with contents (A17, D4: sizes alone miss an edit of equal size)."""
     size = F.octet_length("content").cast("string")
     line = F.concat_ws(chr(31), "path", size, *([F.sha2("content", 256)] if content else []))
-    rows = F.array_sort(F.collect_list(F.struct("path", line.alias("l"))))
-    return files.groupBy("repo").agg(F.sha2(F.array_join(F.transform(rows, lambda r: r["l"]), chr(30)), 256).alias("digest"))
+    return ordered_digest(files, ["repo"], ["path"], line).select("repo", "digest")
 
 
 def policy_refs(docs: DataFrame) -> DataFrame:
@@ -104,12 +104,10 @@ def band_dispatch(queries: DataFrame, adapters: DataFrame) -> tuple[DataFrame, D
     return queries.join(adapters, "primitive"), queries.join(adapters, "primitive", "left_anti")
 
 
-@REGISTRY.query(
-    "tree_digest",
-    """
-    SELECT source AS repo, sha256(string_agg(lpad(doc_id::VARCHAR, 9, '0') || chr(31) || strlen(text), chr(30) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1
-    """,
-)
+_FILES = "(SELECT source AS repo, lpad(doc_id::VARCHAR, 9, '0') AS path, strlen(text) AS size FROM documents)"
+
+
+@REGISTRY.query("tree_digest", f"SELECT repo, digest FROM ({digest_sql(_FILES, 'repo', 'path', 'path || chr(31) || size')})")
 def tree_digest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("path"), F.col("text").alias("content"))
     return tree_digest(files)
