@@ -106,7 +106,8 @@ def normalised(raw: DataFrame) -> DataFrame:
 def ingested(records: DataFrame, target: DataFrame | None, order: str) -> DataFrame:
     """Rows with `state`: inserted, skipped or error (K3, D6): of each key the first row is inserted, unless the target
     has it; severity or source don't make a key."""
-    nth = F.row_number().over(Window.partitionBy(*KEY, F.col("reject_reason").isNull()).orderBy(order))
+    # Each rejected row is a partition of its own: rejects may have no key at all, and none of them counts.
+    nth = F.row_number().over(Window.partitionBy(*KEY, F.when(F.col("reject_reason").isNotNull(), F.col(order))).orderBy(order))
     df = records.withColumn("nth", nth)
     if target is not None:
         t = target.select(*[F.col(k).alias(f"t_{k}") for k in KEY]).distinct().withColumn("there", F.lit(True))
@@ -153,10 +154,49 @@ _FEED = [
 ]
 
 
+# Feed rows made of parts: two parts share a key, and some rows fail one check or another.
+_FROM_PARTS = {
+    "seq": "p_partkey + 8",
+    "id": "CASE WHEN p_partkey % 19 = 0 THEN NULL WHEN p_partkey % 17 = 0 THEN 'bad' ELSE 'CVE-2023-' || lpad(CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS VARCHAR(20)), 7, '0') END",
+    "ecosystem": "CASE CAST(floor(p_partkey / 2) AS BIGINT) % 5 WHEN 0 THEN 'npm' WHEN 1 THEN 'PyPI' WHEN 2 THEN 'Maven' WHEN 3 THEN 'npm' ELSE 'cargo' END",
+    "name": "CASE WHEN p_partkey % 23 <> 0 THEN 'p' || CAST(CAST(floor(p_partkey / 2) AS BIGINT) % 100 AS VARCHAR(20)) END",
+    "severity": "CASE p_size % 6 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MODERATE' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'critical' WHEN 4 THEN 'Medium' ELSE 'none' END",
+    "introduced": "CASE WHEN p_partkey % 4 < 2 THEN '1.' || CAST(CAST(floor(p_partkey / 2) AS BIGINT) % 10 AS VARCHAR(20)) END",
+    "at": "CASE WHEN p_partkey % 11 = 0 THEN '2024-01-02T00:00:00' ELSE '2024-01-02T00:00:00Z' END",
+    "source": "CASE p_partkey % 3 WHEN 0 THEN 'osv' WHEN 1 THEN 'nvd' ELSE 'ghsa' END",
+    "broken": "p_partkey % 13 = 0",
+}
+
+
+def _part_feed(parts: DataFrame) -> DataFrame:
+    """(source, seq, payload): each part as a record of one of the three shapes, or as text that isn't JSON."""
+    rows = parts.select(*[F.expr(e).alias(n) for n, e in _FROM_PARTS.items()])
+    package = F.struct("ecosystem", "name")
+    osv = F.struct(
+        "id", F.col("at").alias("published"), F.struct("severity").alias("database_specific"),
+        F.array(F.struct(package.alias("package"), F.array(F.struct(F.array(F.struct("introduced")).alias("events"))).alias("ranges"))).alias("affected"),
+    )
+    nvd = F.struct(
+        F.struct("id", F.col("at").alias("published"), F.struct(F.array(F.struct(F.col("severity").alias("baseSeverity"))).alias("cvssMetricV31")).alias("metrics")).alias("cve"),
+        F.struct("ecosystem", F.col("name").alias("package"), F.array(F.struct("introduced")).alias("ranges")).alias("affected"),
+    )
+    ghsa = F.struct(F.col("id").alias("cve_id"), F.col("at").alias("published_at"), "severity", package.alias("package"), "introduced")
+    shaped = F.when(F.col("source") == "osv", F.to_json(osv)).when(F.col("source") == "nvd", F.to_json(nvd)).otherwise(F.to_json(ghsa))
+    return rows.select("source", F.col("seq").cast("bigint").alias("seq"), F.when(F.col("broken"), "{not json").otherwise(shaped).alias("payload"))
+
+
 @REGISTRY.query(
     "feed_union_ingest",
-    """
-    SELECT * FROM (VALUES ('osv', 1, 'CVE-2024-0001', 'medium', '1.0.0', NULL, 'inserted'), ('osv', 2, 'CVE-2024-0002', 'high', '0.0.0', 'missing_tz', 'error'),
+    f"""
+    WITH p AS (SELECT {", ".join(f"{e} AS {n}" for n, e in _FROM_PARTS.items())} FROM part),
+    r AS (SELECT source, seq, CASE WHEN NOT broken THEN id END AS cve_id, CASE WHEN NOT broken THEN lower(ecosystem) END AS ecosystem, CASE WHEN NOT broken THEN name END AS name,
+                 CASE WHEN NOT broken AND severity <> 'none' THEN replace(lower(severity), 'moderate', 'medium') END AS severity,
+                 CASE WHEN broken THEN '0.0.0' ELSE coalesce(introduced, '0.0.0') END AS introduced,
+                 CASE WHEN broken THEN 'malformed_json' WHEN id IS NULL THEN 'missing_id' WHEN id = 'bad' THEN 'bad_cve_id' WHEN ecosystem = 'cargo' THEN 'unsupported_ecosystem'
+                      WHEN name IS NULL THEN 'missing_package' WHEN severity = 'none' THEN 'bad_severity' WHEN right(p.at, 1) <> 'Z' THEN 'missing_tz' END AS reject_reason FROM p),
+    n AS (SELECT *, row_number() OVER (PARTITION BY cve_id, ecosystem, name, introduced, reject_reason IS NULL ORDER BY seq) AS nth FROM r)
+    SELECT source, seq, cve_id, severity, introduced, reject_reason, CASE WHEN reject_reason IS NOT NULL THEN 'error' WHEN nth = 1 THEN 'inserted' ELSE 'skipped' END AS state FROM n
+    UNION ALL SELECT * FROM (VALUES ('osv', 1, 'CVE-2024-0001', 'medium', '1.0.0', NULL, 'inserted'), ('osv', 2, 'CVE-2024-0002', 'high', '0.0.0', 'missing_tz', 'error'),
       ('nvd', 3, 'CVE-2024-0003', 'high', '1.0', NULL, 'inserted'), ('ghsa', 4, 'GHSA-aaaa-bbbb-cccc', 'low', '2', NULL, 'inserted'),
       ('ghsa', 5, 'bad', 'low', '0.0.0', 'bad_cve_id', 'error'), ('nvd', 6, 'CVE-2024-0003', 'low', '1.0', NULL, 'skipped'),
       ('osv', 7, NULL, NULL, '0.0.0', 'malformed_json', 'error'), ('ghsa', 8, 'CVE-2024-0008', 'low', '0.0.0', 'unsupported_ecosystem', 'error'))
@@ -164,7 +204,7 @@ _FEED = [
     """,
 )
 def feed_union_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame(_FEED, "source string, seq int, payload string")
+    raw = spark.createDataFrame(_FEED, "source string, seq bigint, payload string").unionByName(_part_feed(table(spark, sf_dir, "part")))
     return ingested(normalised(raw), None, "seq").select("source", "seq", "cve_id", "severity", "introduced", "reject_reason", "state")
 
 

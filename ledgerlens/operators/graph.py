@@ -1,7 +1,7 @@
 """Graph walks over edge tables: one hop, bounded many hops, extends chains.
 
 Many hops are rounds of one join each, with the frontier reduced to nodes not seen before; the number of rounds is
-bounded. Chains with a path are recursive queries.
+bounded. Nested trees within one row are recursive queries.
 """
 
 from __future__ import annotations
@@ -46,13 +46,17 @@ def import_edges(files: DataFrame) -> DataFrame:
     return found.where("specifier <> ''").distinct()
 
 
+def _kept(spark: SparkSession) -> bool:
+    return bool(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+
+
 def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 5, max_nodes: int | None = None) -> DataFrame:
     """(root, node, depth): nodes within max_depth steps, each at its least depth, the root at 0.
 
     max_nodes keeps the first nodes of each root in breadth-first order, by depth and name. Where the session has a
     checkpoint folder, each round's frontier is kept there, so that no round computes the ones before it again.
     """
-    kept = bool(edges.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir"))
+    kept = _kept(edges.sparkSession)
     frontier = roots.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0))
     seen = frontier
     for depth in range(1, max_depth + 1):
@@ -68,23 +72,23 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 5, max_nodes: int
     return seen
 
 
-def extends_chain(spark: SparkSession, nodes: str, max_depth: int = 8) -> DataFrame:
+def extends_chain(nodes: DataFrame, max_depth: int = 8) -> DataFrame:
     """(start, name, depth, path, issue) along each node's parents; a name seen before is a cycle.
 
-    `nodes` is a view or a query with (name, parent).
+    `nodes` has (name, parent). One join a round, at most max_depth of them; each round's ends are kept where the session
+    has a checkpoint folder.
     """
-    return spark.sql(
-        f"""
-        WITH RECURSIVE n AS (SELECT name, parent FROM {nodes}),
-        c(start, name, depth, path, issue) AS (
-          SELECT name, name, 0, array(name), CAST(NULL AS STRING) FROM n
-          UNION ALL
-          SELECT c.start, n.parent, c.depth + 1, array_append(c.path, n.parent),
-                 CASE WHEN array_contains(c.path, n.parent) THEN 'cycle' WHEN c.depth + 1 >= {max_depth} THEN 'too_deep' END
-          FROM c JOIN n ON c.name = n.name WHERE n.parent IS NOT NULL AND c.issue IS NULL)
-        SELECT start, name, depth, path, issue FROM c
-        """
-    )
+    kept = _kept(nodes.sparkSession)
+    ends = nodes.select(F.col("name").alias("start"), "name", F.lit(0).alias("depth"), F.array("name").alias("path"), F.lit(None).cast("string").alias("issue"))
+    links = nodes.where("parent is not null").select(F.col("name").alias("child"), "parent")
+    seen = ends
+    for depth in range(1, max_depth + 1):
+        issue = F.when(F.array_contains("path", F.col("parent")), "cycle").when(F.lit(depth >= max_depth), "too_deep")
+        step = ends.where("issue is null").join(links, F.col("name") == F.col("child"))
+        ends = step.select("start", F.col("parent").alias("name"), F.lit(depth).alias("depth"), F.array_append("path", F.col("parent")).alias("path"), issue.alias("issue"))
+        ends = ends.checkpoint() if kept else ends
+        seen = seen.unionByName(ends)
+    return seen
 
 
 def fallback_chain(attempts: DataFrame, most: int = 4) -> DataFrame:
@@ -120,9 +124,6 @@ def reverse_lookup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reverse_lookup(_page_edges(spark, sf_dir).withColumnRenamed("url", "src"))
 
 
-_NEXT = "p_partkey, CASE WHEN p_partkey % 10 <> 0 THEN p_partkey // 2 END"
-
-
 @REGISTRY.query(
     "bounded_reach",
     """
@@ -138,13 +139,13 @@ def bounded_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reach(edges, part.select(F.col("p_partkey").alias("node")), 4)
 
 
-_NODES = "('a', 'b'), ('b', 'c'), ('c', NULL), ('x', 'y'), ('y', 'x'), ('d', 'a')"
+_PARENT = "CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 10 = 7 THEN p_partkey + 1 WHEN p_partkey % 10 = 8 THEN p_partkey - 1 ELSE CAST(floor(p_partkey * 0.9) AS BIGINT) END"
 
 
 @REGISTRY.query(
     "extends_chain",
     f"""
-    WITH RECURSIVE n(name, parent) AS (VALUES {_NODES}),
+    WITH RECURSIVE n AS (SELECT p_partkey AS name, {_PARENT} AS parent FROM part),
     c(start, name, depth, path, issue) AS (
       SELECT name, name, 0, [name], NULL::VARCHAR FROM n
       UNION ALL SELECT c.start, n.parent, c.depth + 1, list_append(c.path, n.parent), CASE WHEN list_contains(c.path, n.parent) THEN 'cycle' WHEN c.depth + 1 >= 8 THEN 'too_deep' END
@@ -153,7 +154,7 @@ _NODES = "('a', 'b'), ('b', 'c'), ('c', NULL), ('x', 'y'), ('y', 'x'), ('d', 'a'
     """,
 )
 def extends_chain_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extends_chain(spark, f"VALUES {_NODES} AS t(name, parent)".join(("(SELECT * FROM ", ")")))
+    return extends_chain(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("name"), F.expr(_PARENT).cast("bigint").alias("parent")))
 
 
 @REGISTRY.query(

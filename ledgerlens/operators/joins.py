@@ -215,14 +215,19 @@ def version_freshness_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return version_freshness(expected, observed, "s_suppkey").select("s_suppkey", "state")
 
 
-_RECORDS = """(1, 'Superseded', NULL, NULL, 2), (2, 'Accepted', NULL, 1, NULL), (3, 'Superseded', NULL, NULL, 9), (4, 'odd', NULL, 8, NULL),
-  (5, 'Provisional Accepted', NULL, NULL, NULL), (6, 'Superseded', NULL, NULL, NULL), (7, 'Superseded', NULL, NULL, 2), (10, 'Accepted', 't', 2, NULL)"""
+_RECORDS = (
+    "p_partkey AS number",
+    "CASE p_partkey % 8 WHEN 0 THEN 'odd' WHEN 1 THEN 'Accepted' WHEN 3 THEN 'Provisional Accepted' WHEN 5 THEN 'Proposed' WHEN 7 THEN 'Deferred' ELSE 'Superseded' END AS status",
+    "CASE WHEN p_partkey % 16 = 3 THEN 't' WHEN p_partkey % 32 = 11 THEN '' END AS review_trigger",
+    "CASE WHEN p_partkey % 8 IN (3, 5) THEN p_partkey - 1 WHEN p_partkey % 8 = 7 THEN -p_partkey END AS supersedes",
+    "CASE WHEN p_partkey % 8 IN (2, 4) THEN p_partkey + CASE WHEN p_partkey % 5 = 0 THEN 2 WHEN p_partkey % 7 = 0 THEN 100000000 ELSE 1 END END AS superseded_by",
+)
 
 
 @REGISTRY.query(
     "supersession_issues",
     f"""
-    WITH r(number, status, review_trigger, supersedes, superseded_by) AS (VALUES {_RECORDS})
+    WITH r AS (SELECT {", ".join(_RECORDS)} FROM part)
     SELECT * FROM (
       SELECT a.number, CASE WHEN b.number IS NULL THEN 'successor_not_found' WHEN b.supersedes IS DISTINCT FROM a.number THEN 'successor_without_back_link' END AS issue
       FROM r a LEFT JOIN r b ON a.superseded_by = b.number WHERE a.status = 'Superseded' AND a.superseded_by IS NOT NULL
@@ -235,4 +240,4 @@ _RECORDS = """(1, 'Superseded', NULL, NULL, 2), (2, 'Accepted', NULL, 1, NULL),
     """,
 )
 def supersession_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return supersession_issues(spark.sql(f"SELECT * FROM VALUES {_RECORDS} AS r(number, status, review_trigger, supersedes, superseded_by)"))
+    return supersession_issues(table(spark, sf_dir, "part").selectExpr(*_RECORDS))

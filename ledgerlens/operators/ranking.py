@@ -57,10 +57,10 @@ def first_applicable(recipes: DataFrame, case: str) -> DataFrame:
     return picked.select(case, F.col("win.n").alias("winner"), F.transform(F.array_sort(before), lambda d: d["n"]).alias("declined"))
 
 
-def dispatch_order(df: DataFrame) -> DataFrame:
-    """Those that run last after the others, heavy before light, then by registration."""
+def dispatch_order(df: DataFrame, group: list[str]) -> DataFrame:
+    """Those that run last after the others, heavy before light, then by registration, in each group."""
     heavy = F.when(F.col("heaviness") == "heavy", 0).when(F.col("heaviness") == "medium", 1).otherwise(2)
-    return df.withColumn("position", F.row_number().over(Window.orderBy("runs_last", heavy, "idx")))
+    return df.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy("runs_last", heavy, "idx")))
 
 
 def first_seen(df: DataFrame, key: str, pos: str) -> DataFrame:
@@ -156,15 +156,15 @@ def precedence_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_precedence(table(spark, sf_dir, "events"), "user_id", "event_type", rank)
 
 
-_PROBES = "(1, false, 'light'), (2, true, 'heavy'), (3, false, 'heavy'), (4, false, 'medium'), (5, true, 'light'), (6, false, 'heavy')"
+_PROBE = ("o_custkey AS run", "o_orderkey AS idx", "o_orderstatus = 'F' AS runs_last", "CASE o_orderkey % 3 WHEN 0 THEN 'heavy' WHEN 1 THEN 'medium' ELSE 'light' END AS heaviness")
 
 
 @REGISTRY.query(
     "dispatch_order",
     f"""
-    WITH p(idx, runs_last, heaviness) AS (VALUES {_PROBES})
-    SELECT *, row_number() OVER (ORDER BY runs_last, CASE heaviness WHEN 'heavy' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, idx) AS position FROM p
+    WITH p AS (SELECT {", ".join(_PROBE)} FROM orders)
+    SELECT *, row_number() OVER (PARTITION BY run ORDER BY runs_last, CASE heaviness WHEN 'heavy' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, idx) AS position FROM p
     """,
 )
 def dispatch_order_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dispatch_order(spark.sql(f"SELECT * FROM VALUES {_PROBES} AS p(idx, runs_last, heaviness)"))
+    return dispatch_order(table(spark, sf_dir, "orders").selectExpr(*_PROBE), ["run"])
