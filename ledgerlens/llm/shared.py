@@ -90,8 +90,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """(node, root) for every node of `edges`; root is the least node of its component.
 
     Alternating large-star and small-star rounds: each is one shuffle of the current links, the links shrink to one a
-    node, and each round's links are a table in the shared folder. A node with many neighbours is never collected: the
-    least neighbour is a partial aggregate. Raises if it has not settled in `rounds`.
+    node, and each round's links are a table in the shared folder. A node with many neighbours is never collected: its
+    least neighbour is a partial aggregate and a table of its own, so that both sides of the joins come straight from an
+    exchange and adaptive execution deals the links of such a node over many tasks. Raises if it has not settled in
+    `rounds`.
     """
     spark = edges.sparkSession
     links = written(
@@ -99,22 +101,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     )
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = written(
             both.join(least, "u").where("v > u and v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(low, "u")
         small = (
             joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         )
         after = written(small)
-        # Settled: every node has one link and no root is itself linked to something less.
-        deep = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
+        # Settled: every node has one link and no root is itself linked to something less. Both sides have a node once.
+        deep = after.select("v").distinct().join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
         multi = 0 if deep else after.groupBy("u").count().where("count > 1").limit(1).count()
-        dropped(links)
+        for table in (links, least, large, low):
+            dropped(table)
         links = after
         if not deep and not multi:
             break
