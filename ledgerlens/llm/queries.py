@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import brown, chat, decontaminate, html, language, lines, mixing, mpegts, recompress, simhash
+from ledgerlens.llm import brown, chat, decontaminate, html, language, lines, mixing, mpegts, recompress, simhash, spelling
 from ledgerlens.registry import Registry, table
 
 LLM = Registry()
@@ -76,3 +76,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.query("op10_line_dedup")
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@LLM.query("op13_spelling_variants", spelling.ORACLE)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
