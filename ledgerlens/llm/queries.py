@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import brown, chat, decontaminate, html, language, lines, mixing, mpegts, recompress, simhash, spelling
+from ledgerlens.llm import brown, chat, decontaminate, html, language, lines, mixing, mpegts, neighbours, periodic, recompress, simhash, spelling
 from ledgerlens.registry import Registry, table
 
 LLM = Registry()
@@ -78,6 +78,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
 
 
+@LLM.query("op11_periodic_runs", periodic.ORACLE)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
+@LLM.query("op12_nearest_neighbours", neighbours.ORACLE)
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @LLM.query("op13_spelling_variants", spelling.ORACLE)
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
