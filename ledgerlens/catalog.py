@@ -4,5 +4,6 @@ from ledgerlens.operators import aggregates, cascades, feeds, graph, joins, ledg
 from ledgerlens.plans import families, flows  # noqa: F401
 from ledgerlens.registry import REGISTRY
 from ledgerlens.sources import lines  # noqa: F401
+from ledgerlens.streaming import checkpoints  # noqa: F401
 
 __all__ = ["REGISTRY"]

@@ -23,8 +23,11 @@ GENESIS = "0" * 64
 _RS = chr(30)
 
 
-def ordered_fold(rows: DataFrame, key: str, order: list[str], value: str, start: Any, step: Callable[[Any, Any], tuple[Any, Any]], out: str, kind: str) -> DataFrame:
-    """`rows` with pos (from 0) and `out`: step(state, value) -> (state, out) over the rows of each key in order.
+def ordered_fold(
+    rows: DataFrame, key: str, order: list[str], value: str, start: Any, step: Callable[[Any, Any], tuple[Any, Any]], out: str, kind: str, arrow: pa.DataType | None = None
+) -> DataFrame:
+    """`rows` with pos (from 0) and `out`: step(state, value) -> (state, out) over the rows of each key in order. `kind` and
+    `arrow` are the type of `out` for either side; `value` may be a struct, and comes as a dict.
 
     One shuffle by the key and a sort that spills; a task keeps the state of one key at a time.
     """
@@ -40,14 +43,15 @@ def ordered_fold(rows: DataFrame, key: str, order: list[str], value: str, start:
                 places.append(pos)
                 found.append(x)
                 pos += 1
-            columns = [*batch.columns, pa.array(places, pa.int64()), pa.array(found, pa.string())]
+            columns = [*batch.columns, pa.array(places, pa.int64()), pa.array(found, arrow or pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "pos", out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, f"{fields}, pos bigint, {out} {kind}")
 
 
-def _next_head(head: str, event: str | None) -> tuple[str, str]:
+def next_head(head: str, event: str | None) -> tuple[str, str]:
+    """Step of the hash chain; a null event counts as an empty one."""
     head = hashlib.sha256(f"{head}{_RS}{event or ''}".encode()).hexdigest()
     return head, head
 
@@ -58,7 +62,7 @@ def chain_heads(log: DataFrame, key: str, order: str, payload: Column) -> DataFr
     Rows that share key and order are put in the order of their payloads; a null payload counts as an empty one.
     """
     rows = log.select(key, order, payload.alias("event"))
-    return ordered_fold(rows, key, [order, "event"], "event", GENESIS, _next_head, "head", "string").select(key, "pos", order, "event", "head")
+    return ordered_fold(rows, key, [order, "event"], "event", GENESIS, next_head, "head", "string").select(key, "pos", order, "event", "head")
 
 
 def chain_tail(log: DataFrame, key: str, order: str, payload: Column) -> DataFrame:
@@ -112,12 +116,8 @@ def latest_state(workflows: DataFrame, events: DataFrame, key: str, order: str,
     return workflows.join(last, key, "left").select(key, F.coalesce("state", F.lit(default)).alias("state"))
 
 
-def admissions(calls: DataFrame, key: str, order: str, tokens: str, per_call: int, max_tokens: int, dollars_per_token: str, max_dollars: str) -> DataFrame:
-    """(key, order, verdict) of each call in order (W8): call cap, then workflow tokens, then workflow dollars.
-
-    A refused call consumes nothing, so the running total depends on the verdicts: an ordered fold per key. Null tokens
-    count as none.
-    """
+def admission_step(per_call: int, max_tokens: int, dollars_per_token: str, max_dollars: str) -> Callable[[int, int | None], tuple[int, str]]:
+    """Step of the budget: call cap, then workflow tokens, then workflow dollars. A refused call consumes nothing."""
     rate, cap = Decimal(dollars_per_token), Decimal(max_dollars)
 
     def step(used: int, asked: int | None) -> tuple[int, str]:
@@ -130,6 +130,16 @@ def admissions(calls: DataFrame, key: str, order: str, tokens: str, per_call: in
             return used, "workflow_max_dollars_exceeded"
         return total, "admitted"
 
+    return step
+
+
+def admissions(calls: DataFrame, key: str, order: str, tokens: str, per_call: int, max_tokens: int, dollars_per_token: str, max_dollars: str) -> DataFrame:
+    """(key, order, verdict) of each call in order (W8): call cap, then workflow tokens, then workflow dollars.
+
+    A refused call consumes nothing, so the running total depends on the verdicts: an ordered fold per key. Null tokens
+    count as none.
+    """
+    step = admission_step(per_call, max_tokens, dollars_per_token, max_dollars)
     rows = calls.select(key, order, F.col(tokens).cast("bigint").alias("asked"))
     return ordered_fold(rows, key, [order, "asked"], "asked", 0, step, "verdict", "string").select(key, order, "verdict")
 

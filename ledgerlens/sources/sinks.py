@@ -5,35 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.sources.commits import append_keyed
+
 
 def put_cache(entries: DataFrame, path: str, key: str = "key") -> None:
     """Append of entries, partitioned by two hex digits of the key (K2)."""
     entries.withColumn("shard", F.left(F.sha2(F.col(key).cast("string"), 256), F.lit(2))).write.mode("append").partitionBy("shard").parquet(path)
 
 
-def append_new(rows: DataFrame, path: str, key: list[str]) -> int:
-    """Appends one row of each key that the table doesn't have (K3, K6) and returns how many it appended.
-
-    Of several rows with a new key the least by the other columns is taken, so that a batch that runs again takes the same.
-    """
-    spark = rows.sparkSession
-    others = [c for c in rows.columns if c not in key]
-    fresh = rows.groupBy(*key).agg(F.min(F.struct(*others)).alias("r")).select(*key, "r.*").select(*rows.columns) if others else rows.distinct()
-    try:
-        there = spark.read.parquet(path).select(*key).distinct()
-    except Exception as e:  # noqa: BLE001  the table's first batch
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    else:
-        same = [fresh[k].eqNullSafe(there[k]) for k in key]
-        fresh = fresh.join(there, same, "left_anti")
-    fresh = fresh.persist()
-    try:
-        n = fresh.count()  # a write to the path empties what is kept of it
-        fresh.write.mode("append").parquet(path)
-    finally:
-        fresh.unpersist()
-    return n
+def append_new(rows: DataFrame, path: str, key: list[str], writer: str | None = None, batch: int | None = None) -> int:
+    """Appends one row of each key that the table doesn't have (K3, K6) and returns how many it appended; see `commits`."""
+    return append_keyed(rows, path, key, writer, batch)
 
 
 def write_by_day(rows: DataFrame, path: str, ts: str) -> None:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ledgerlens.operators.ledger import GENESIS
+from ledgerlens.operators.ledger import GENESIS, admission_step, next_head
 from ledgerlens.sources.sinks import append_new
 
 
@@ -22,55 +22,41 @@ def file_stream(spark: SparkSession, path: str, schema: StructType | str, files_
 
 
 def idempotent_ingest(stream: DataFrame, path: str, key: list[str], checkpoint: str) -> StreamingQuery:
-    """Appends the first row of each key; a batch that is run again after a failure appends nothing twice (K3)."""
+    """Appends a row of each key that the table doesn't have, the least of a batch (K3). A batch that is run again, after a
+    failure before or after its commit, appends nothing twice: the manifest has the number of each checkpoint's last batch."""
     return (
-        stream.writeStream.foreachBatch(lambda batch, _: append_new(batch, path, key)).option("checkpointLocation", checkpoint)
+        stream.writeStream.foreachBatch(lambda batch, n: append_new(batch, path, key, checkpoint, n)).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
 
-def chained(stream: DataFrame, key: str, order: str, payload: str) -> DataFrame:
-    """(key, order, head): hash chain continued across batches (W2, K5). Rows of a key must arrive in order of batches;
-    within a batch they are put in order."""
-
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        head = state.get[0] if state.exists else GENESIS
-        rows = pd.concat(list(parts)).sort_values(order)
-        heads = []
-        for event in rows[payload]:
-            head = hashlib.sha256(f"{head}\x1e{event}".encode()).hexdigest()
-            heads.append(head)
-        state.update((head,))
-        yield pd.DataFrame({key: [k[0]] * len(rows), order: rows[order].to_numpy(), "head": heads})
+def _folded(stream: DataFrame, key: str, order: str, value: str, kind: type, start: Any, step: Callable[[Any, Any], tuple[Any, Any]], state: str, out: str) -> DataFrame:
+    """(key, order, out): a batch form's step continued across batches. Rows of a key must arrive in order of batches;
+    within a batch they are put in order, by `order` and the value, nulls first, as the batch form does."""
+
+    def run(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now = held.get[0] if held.exists else start
+        rows = pd.concat(list(parts)).sort_values([order, value], na_position="first")
+        found = []
+        for v in rows[value]:
+            now, x = step(now, None if pd.isna(v) else kind(v))
+            found.append(x)
+        held.update((now,))
+        yield pd.DataFrame({key: [k[0]] * len(rows), order: rows[order].to_numpy(), out: found})
 
     kinds = dict(stream.dtypes)
-    return stream.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kinds[key]}, {order} {kinds[order]}, head string", "head string", "append", GroupStateTimeout.NoTimeout
-    )
+    return stream.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {out} string", f"now {state}", "append", GroupStateTimeout.NoTimeout)
 
 
-def admitted(stream: DataFrame, key: str, order: str, tokens: str, per_call: int, max_tokens: int) -> DataFrame:
-    """(key, order, verdict): token budget continued across batches."""
-
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
-        rows = pd.concat(list(parts)).sort_values(order)
-        verdicts = []
-        for t in rows[tokens].astype(int):
-            if t > per_call:
-                verdicts.append("per_call_max_exceeded")
-            elif used + t > max_tokens:
-                verdicts.append("workflow_max_tokens_exceeded")
-            else:
-                used += t
-                verdicts.append("admitted")
-        state.update((int(used),))
-        yield pd.DataFrame({key: [k[0]] * len(rows), order: rows[order].to_numpy(), "verdict": verdicts})
+def chained(stream: DataFrame, key: str, order: str, payload: str) -> DataFrame:
+    """(key, order, head): hash chain continued across batches (W2); `checkpoints` has the whole append of K5."""
+    return _folded(stream, key, order, payload, str, GENESIS, next_head, "string", "head")
 
-    kinds = dict(stream.dtypes)
-    return stream.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kinds[key]}, {order} {kinds[order]}, verdict string", "used bigint", "append", GroupStateTimeout.NoTimeout
-    )
+
+def admitted(stream: DataFrame, key: str, order: str, tokens: str, per_call: int, max_tokens: int, dollars_per_token: str = "0", max_dollars: str = "0") -> DataFrame:
+    """(key, order, verdict): budget continued across batches."""
+    step = admission_step(per_call, max_tokens, dollars_per_token, max_dollars)
+    return _folded(stream, key, order, tokens, int, 0, step, "bigint", "verdict")
 
 
 def windowed_counts(stream: DataFrame, ts: str, kind: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
