@@ -11,13 +11,15 @@ judged by its class. Evidence is withdrawn from an element that is never closed
 container judged by its words that holds nearly all plain characters of the page; an article or main element inside a menu,
 header, footer or form stands for itself.
 
-Region. Dense lines weigh the page's containers by their plain characters. The region is the article or main element with
-most of that weight, else the deepest container that holds nearly all of it.
+Region. An article or main element that is the only one, or the only one with a first-level heading, is the region, however
+short it is. Else dense lines weigh the page's containers by their plain characters: the region is the article or main
+element with most of that weight, or the deepest container that holds nearly all of it.
 
 Selection. In the region, dense lines are text. Lines that aren't dense are text if they aren't mostly links: headings,
-short paragraphs and list items. Several lines in a row that are mostly links are a menu, whatever stands around them.
-Outside an article or main element, only lines between the first and the last dense line or first-level heading, and of
-containers that hold one, are text.
+short paragraphs and list items. Several lines in a row that are mostly links are a menu; in an article, one or two with text
+on both sides are list items. Where the region is the page itself, only lines between the first and the last dense
+line or first-level heading, and of containers that hold one, are text. Of an article's header, headings and paragraphs are
+text.
 
 Nulls: a null html is an empty page with empty text. Repeated rows are extracted each for itself. An empty table gives
 no rows. Broken markup never raises: elements end with their parents. Time is linear in the page, however deeply its
@@ -97,9 +99,10 @@ class _Open:
             self.near = (-1,) * 6
             return
         self.mark, self.container, self.main = parent.mark, parent.container, parent.main or tag in MAIN
-        self.head, self.heading = parent.head or tag == "header", parent.heading or tag in _HEADINGS
+        # An article's own header has its title and its standfirst.
+        self.head, self.heading = parent.head or tag == "header", parent.heading or tag in _HEADINGS or tag == "p" and parent.head and parent.main
         self.first, self.link = parent.first or tag == "h1", parent.link or tag == "a"
-        self.block = parent.block if tag in INLINE else at
+        self.block = parent.block if tag in INLINE or tag in CONTROLS else at
         near = parent.near
         if tag in CONTAINERS:
             near = (-1, *near[1:])
@@ -116,7 +119,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open = [_Open("", None, 0)]
         self.where: dict[str, list[int]] = defaultdict(list)  # places of the open elements of a tag
-        self.parents, self.main = [-1], [False]
+        self.parents, self.main, self.kinds = [-1], [False], [""]
         self.outer, self.by, self.closed = [], [], []  # of a mark: the one around it, what says so, whether it has an end tag
         self.own: dict[int, int] = {}  # mark of an open element's place
         self.lines: list[tuple[str, int, int, int, bool, int]] = []  # text, linked characters, tags, container, title, mark
@@ -138,7 +141,7 @@ class _Lines(HTMLParser):
             facts = dict(attrs)
             named = f"{facts.get('class') or ''} {facts.get('id') or ''}".lower()
             return "" if tag == "header" and re.search(r"\b(entry|post|article|story|title)\b", named) else tag
-        if parent.head and tag not in _HEADINGS and tag not in INLINE and tag not in ("div", "hgroup"):
+        if parent.head and tag not in _HEADINGS and tag not in INLINE and tag not in ("div", "hgroup") and not (tag == "p" and parent.main):
             return "header"
         for name, value in attrs:
             if name == "role" and (value or "").lower() in PART_ROLES:
@@ -196,6 +199,7 @@ class _Lines(HTMLParser):
             if tag in CONTAINERS and made.mark != _SILENT:
                 facts = dict(attrs)
                 self.parents.append(parent.container)
+                self.kinds.append(tag)
                 made.container = len(self.parents) - 1
                 self.main.append(tag in MAIN or facts.get("role") == "main" or facts.get("itemprop") == "articleBody")
         self.open.append(made)
@@ -298,29 +302,78 @@ def chosen_lines(parser: _Lines, sigma: float = 1.0) -> list[int]:
         if parser.main[c] and around[c] >= 0 and mass[c] > 0.8 * mass[around[c]]:
             outer.add(around[c])
     best = max((c for c in range(n) if parser.main[c] and mass[c] and c not in outer), key=lambda c: mass[c], default=0)
-    within_main = best and mass[best] >= 0.2 * mass[0]
-    region = best if within_main else 0
-    while not within_main and heavy[region] >= 0 and mass[heavy[region]] >= 0.9 * mass[0]:
+    if mass[best] < 0.2 * mass[0]:
+        best = 0
+    best = sole_article(parser, plain, away, around) or best
+    region = best
+    while not best and heavy[region] >= 0 and mass[heavy[region]] >= 0.9 * mass[0]:
         region = heavy[region]
     own = [i for i, line in enumerate(lines) if region <= line[3] < region + size[region] and not away[i]]
-    linked = {i: 2 * lines[i][1] > len(lines[i][0]) for i in own}
-    menu = {i for k, i in enumerate(own) if linked[i] and (k and linked[own[k - 1]] or k + 1 < len(own) and linked[own[k + 1]])}
-    text = [i for i in own if i not in menu and (up[i] or not linked[i])]
-    if within_main or not text:
+    kept = [(i, 2 * lines[i][1] > len(lines[i][0])) for i in own]
+    text = [i for i, gone in zip(own, _links(kept, up, bool(best))) if not gone]
+    if best or not text:
         return text
     seeds = [i for i in text if up[i] or lines[i][4]]
     hosts = {lines[i][3] for i in seeds}
+    if parser.kinds[region] not in ("", "html", "body"):  # the text has a container of its own: short beginnings and ends are its
+        return text if seeds else []
     return [i for i in text if seeds and seeds[0] <= i <= seeds[-1] and lines[i][3] in hosts]
 
 
+def sole_article(parser: _Lines, plain: list[int], away: list[bool], around: list[int]) -> int:
+    """The article or main element that is evidently the page's, however short: the only one with a first-level heading that
+    is in it and in none inside it, or the only one there is; else 0."""
+    titled, there = set(), set()
+    for i, line in enumerate(parser.lines):
+        if not away[i] and plain[i]:
+            c = line[3] if parser.main[line[3]] else around[line[3]]
+            if c > 0:
+                there.add(c)
+                if line[4]:
+                    titled.add(c)
+    if len(titled) == 1:
+        return titled.pop()
+    return there.pop() if len(there) == 1 and not titled else 0
+
+
+def _links(own: list[tuple[int, bool]], up: list[bool], article: bool) -> list[bool]:
+    """For each of the region's lines, whether it goes for its links: lines in a row that are mostly links are a menu, and so
+    is a single one that isn't dense; in an article one or two with text on both sides are part of it."""
+    gone = [False] * len(own)
+    k = 0
+    while k < len(own):
+        end = k
+        while end < len(own) and own[end][1]:
+            end += 1
+        if end > k:
+            inside = article and end - k <= 2 and k > 0 and end < len(own)
+            for j in range(k, end):
+                gone[j] = not inside and (end - k > 1 or not up[own[j][0]])
+        k = end + 1
+    return gone
+
+
+#: An unterminated tag at the end of a page.
+_OPEN_TAG = re.compile(r"<[A-Za-z/!?]")
+
+
+def _parsed(page: str) -> _Lines:
+    """The page's events. Behind the last `>` no tag can end, so one that begins there isn't given to the parser, which would
+    read on to the end of the page for each."""
+    parser = _Lines()
+    last = page.rfind(">") + 1
+    cut = _OPEN_TAG.search(page, last)
+    parser.feed(page[: cut.start()] if cut else page)
+    parser.close()
+    parser.flush()
+    return parser
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The article's blocks in page order, joined by line feeds."""
     if not html:
         return ""
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
+    parser = _parsed(html)
     return "\n".join(parser.lines[i][0] for i in chosen_lines(parser, sigma)) if parser.lines else ""
 
 

@@ -8,8 +8,9 @@ labelled documents, which is what code-switched text looks like. A word's label
 over the whole text; the language of a document is the one with the largest mean marginal over its words that have a
 letter, and that mean is the score.
 
-The training sample is bounded: at most `per_language` rows of a language, those with the least digest of their id, of
-each the first `chars` characters, and `sequences` sequences of them. Everything else covers all texts, whole. The labels
+The training sample is bounded: at most `per_language` different rows of a language, those with the least digest of their id
+and text, of each the first `chars` characters, and `sequences` sequences of them. Rows that share id and text are one row of
+the sample; an id that is null or that many rows have makes no difference. Everything else covers all texts, whole. The labels
 themselves, a count each, are collected: there are as many as languages.
 
 Nulls: a null text, or one without a letter, is `und` with score 0; a null lang isn't learned from; a null doc_id is
@@ -207,18 +208,17 @@ def words_of(text: str | None) -> list[bytes]:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, sequences: int = SEQUENCES, chars: int = CHARS) -> Model:
     """Learns from documents that aren't held out and have a lang; see the bounds above."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    digest = F.xxhash64(F.col("doc_id"), F.lit("language"))
-    ids = usable.select("lang", "doc_id", digest.alias("h"))
-    counts = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = usable.select("lang", "doc_id", "text", F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("language")).alias("h"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not counts:
         return Model([], np.zeros((SIZE, 0)), np.zeros((0, 0)))
-    # Digests are even, so a language's least ones lie below a limit that its count gives; few rows are ranked.
+    # Digests of different rows are even, so a language's least ones lie below a limit that their number gives.
     limit = F.lit(False)
     for lang, n in counts.items():
-        share = min(1.0, 2.0 * per_language / n)
+        share = min(1.0, 2.0 * per_language / max(n, 1))
         limit = limit | ((F.col("lang") == lang) & (F.col("h") <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
-    near = usable.select("lang", "doc_id", digest.alias("h"), F.substring("text", 1, chars).alias("text")).where(limit)
+    near = rows.where(limit).groupBy("lang", "h").agg(F.min(F.substring("text", 1, chars)).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     sample = near.withColumn("rank", rank).where(F.col("rank") <= per_language).toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")])
     texts = [[w.decode("utf-8") for w in words_of(t)] for t in sample["text"].to_pylist()]
     texts = [[w for w in words if any(map(str.isalpha, w))] for words in texts]

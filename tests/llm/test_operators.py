@@ -4,6 +4,7 @@ import binascii
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -358,6 +359,14 @@ PAGES = [
     ("<body><form id=aspnet><div class=content><p>A page that stands in a form as a whole.</p></div></form></body>", "A page that stands in a form as a whole."),
     ("<p>Text with a <button>press</button>button and a <b>bold <i>word</b></i> in it.</p>", "Text with a button and a bold word in it."),
     ("<main><p>Main words of the page, quite a few of them.</p><section class=comments><article class=comment><p>Very nice and a long comment about all of it!</p></article></section></main>", "Main words of the page, quite a few of them."),
+    ("<article><h1>T</h1><p>The only paragraph.</p></article><div id=c><p>A remark of a reader, longer than the article it is about, by far.</p><p>And another long one, about the remark before it this time.</p></div>", "T\nThe only paragraph."),
+    ("<body><article><h1>T</h1><p>The only paragraph.</p></article><article><p>A remark of a reader, longer than the article it is about, by far.</p></article></body>", "T\nThe only paragraph."),
+    ("<main><article><h1>T</h1><p>The only paragraph.</p></article><div id=c><p>A remark of a reader, longer than the article it is about.</p></div></main>", "T\nThe only paragraph."),
+    ("<article><header><h1>T</h1><p>Standfirst</p><div>By someone</div></header><p>Text of the article.</p></article>", "T\nStandfirst\nText of the article."),
+    ("<article><p>a <select><option>x</select> rest of the paragraph</p></article>", "a rest of the paragraph"),
+    ("<body><div><div class=lead>A short lead</div><p>" + "many long words here " * 9 + "</p><p>" + "other long words here " * 9 + "</p><h2>Last</h2><p>The end.</p></div></body>", "A short lead\n" + ("many long words here " * 9).strip() + "\n" + ("other long words here " * 9).strip() + "\nLast\nThe end."),
+    ("<article><p>Some words of a first paragraph that go on.</p><ul><li><a href=a>one book</a><li><a href=b>two books</a></ul><p>Words of the second paragraph.</p><p><a href=x>More</a></p></article>", "Some words of a first paragraph that go on.\none book\ntwo books\nWords of the second paragraph."),
+    ("<p>text<a href='no end", "text"), ("<p>1 < 2 and <", "1 < 2 and <"),
     ("plain text", "plain text"), ("", ""), (None, ""), ("<<<>&lt;", "<<<><"), ("<article><p>unclosed <b>bold", "unclosed bold"),
 ]
 
@@ -385,10 +394,7 @@ def test_pages_of_the_sample():
 
 def plain_main_text(page):
     """The same choice of lines, written without running flags: every question walks up the page's containers."""
-    parser = html._Lines()
-    parser.feed(page)
-    parser.close()
-    parser.flush()
+    parser = html._parsed(page)
     lines, parents = parser.lines, parser.parents
     if not lines:
         return ""
@@ -414,16 +420,30 @@ def plain_main_text(page):
     mains = [c for c in range(len(parents)) if parser.main[c] and mass[c]]
     inner = [c for c in mains if not any(c in up(parents[d], parents) and mass[d] > 0.8 * mass[c] for d in mains)]
     best = max(inner, key=lambda c: mass[c], default=0)
-    in_main = best and mass[best] >= 0.2 * mass[0]
-    region = best if in_main else 0
-    while not in_main and (deep := [c for c in range(len(parents)) if parents[c] == region and mass[c] >= max(1, 0.9 * mass[0])]):
+    best = best if mass[best] >= 0.2 * mass[0] else 0
+    # The only article, or the only one that has a first-level heading and no article around that heading inside it.
+    nearest = [next((c for c in up(x[3], parents) if parser.main[c]), 0) for x in lines]
+    there = {c for c, x, gone in zip(nearest, lines, away) if c and not gone and plain(x)}
+    titled = {c for c, x, gone in zip(nearest, lines, away) if c and not gone and plain(x) and x[4]}
+    if len(titled) == 1 or not titled and len(there) == 1:
+        best = min(titled or there)
+    region = best
+    while not best and (deep := [c for c in range(len(parents)) if parents[c] == region and mass[c] >= max(1, 0.9 * mass[0])]):
         region = deep[0]
     own = [i for i, x in enumerate(lines) if region in up(x[3], parents) and not away[i]]
-    links = [2 * lines[i][1] > len(lines[i][0]) for i in own]
-    text = [i for k, i in enumerate(own) if not links[k] or high[i] and not any(links[j] for j in (k - 1, k + 1) if 0 <= j < len(own))]
-    if not in_main:
+    links = "".join("l" if 2 * lines[i][1] > len(lines[i][0]) else "t" for i in own)
+    text = []
+    for k, i in enumerate(own):
+        if links[k] == "l":
+            before, after = re.search(r"(.?)(l*)$", links[: k + 1]), re.match(r"(l*)(.?)", links[k:])
+            run = len(before[2]) + len(after[1]) - 1
+            if not (best and run <= 2 and before[1] and after[2]) and (run > 1 or not high[i]):
+                continue
+        text.append(i)
+    if not best:
         seeds = [i for i in text if high[i] or lines[i][4]]
-        text = [i for i in text if seeds and min(seeds) <= i <= max(seeds) and any(lines[j][3] == lines[i][3] for j in seeds)]
+        alone = parser.kinds[region] not in ("", "html", "body")
+        text = [i for i in text if seeds and (alone or min(seeds) <= i <= max(seeds) and any(lines[j][3] == lines[i][3] for j in seeds))]
     return "\n".join(lines[i][0] for i in text)
 
 
@@ -438,7 +458,7 @@ def test_main_text_against_a_plain_version():
         assert html.main_text(page) == plain_main_text(page)
 
 
-@pytest.mark.parametrize("page", ["<div>" * 100_000 + "deep", "<p><b>" * 50_000 + "x", "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000, "<article><p>a" * 30_000, "<table><td>" * 30_000 + "<h1>" * 30_000, "<nav>" * 50_000 + "<p>text</p>"])
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "deep", "<p><b>" * 50_000 + "x", "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000, "<article><p>a" * 30_000, "<table><td>" * 30_000 + "<h1>" * 30_000, "<nav>" * 50_000 + "<p>text</p>", *(x * 50_000 for x in ("<a ", "</a ", '<a href="', "<!--", "<!", "<?", "<![CDATA[", "&#", "<script>", "<a <")), "<a " * 50_000 + ">"])
 def test_time_is_linear_in_the_page(page):
     import time
 
@@ -755,3 +775,60 @@ def test_a_label_without_words_does_not_stop_training(spark):
     for label in ("en", None):  # one language alone, and none
         some = frame(spark, [(i, t, label if i < 100 else "aa", s) for i, t, _, s in rows])
         assert language.accepted(some, language.fit(some)).count() == 36
+
+
+@pytest.mark.parametrize("ids", ["null", "equal", "half null", "two"])
+def test_language_sample_whatever_the_ids(spark, ids):
+    """Each language is learned, however ids repeat; ids that are held out teach nothing."""
+    rng = random.Random(4)
+    words = {"en": "the of and house river stone green walks".split(), "de": "der die und nicht haus fluss stein geht".split()}
+    of = {"null": lambda i: None, "equal": lambda i: 9, "half null": lambda i: None if i % 2 else i, "two": lambda i: 1 + i % 2}[ids]
+    rows = [(of(i), " ".join(rng.choice(words[lang]) for _ in range(8)), lang, "s") for i in range(3000) for lang in words]
+    model = language.fit(frame(spark, rows), per_language=50, sequences=200)
+    assert model.languages == ["de", "en"]
+    got = language.predicted(frame(spark, [(1, "the river walks", None, "s"), (2, "der fluss geht", None, "s")]), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "en", 2: "de"}
+    same = language.fit(frame(spark, [(1, "the green house", "en", "s")] * 3000 + [(9, "das haus", "de", "s")] * 3000), sequences=200)
+    assert same.languages == ["de", "en"]
+
+
+def plain_language(text, model):
+    """Prediction of one text word by word, with the features spelt out and no words shared."""
+    words = (text or "").lower().split()
+    usable = [any(map(str.isalpha, w)) for w in words]
+    if not any(usable):
+        return "und", 0.0
+    n = len(model.languages)
+    scores = []
+    for w, ok in zip(words, usable):
+        total = [0.0] * n
+        if ok:
+            slots, _ = language.features([w])
+            for s in slots:
+                total = [t + float(np.float32(x)) for t, x in zip(total, model.weights[s])]
+        scores.append(total)
+    ahead = []
+    for i, s in enumerate(scores):
+        row = [math.exp(s[k]) * (sum(ahead[-1][j] * math.exp(model.moves[j, k]) for j in range(n)) if i else 1.0) for k in range(n)]
+        ahead.append([x / sum(row) for x in row])
+    behind = [[1.0] * n]
+    for s in reversed(scores[1:]):
+        row = [sum(math.exp(model.moves[j, k]) * math.exp(s[k]) * behind[0][k] for k in range(n)) for j in range(n)]
+        behind.insert(0, [x / sum(row) for x in row])
+    mean = [0.0] * n
+    for a, b, ok in zip(ahead, behind, usable):
+        both = [x * y for x, y in zip(a, b)]
+        mean = [m + ok * x / sum(both) for m, x in zip(mean, both)]
+    best = max(range(n), key=lambda k: mean[k])
+    return model.languages[best], mean[best] / sum(usable)
+
+
+def test_predictions_against_a_plain_version(spark, sample):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs, sequences=600)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predicted(docs, model).collect()}
+    short = [(d, t) for d, t in zip(sample.doc_id, sample.text) if t is None or len(t) < 2500][:50]
+    assert len(short) == 50
+    for d, text in short:
+        lang, score = plain_language(text, model)
+        assert got[d][0] == lang and got[d][1] == pytest.approx(score, abs=1e-5)
