@@ -3,7 +3,7 @@
 from ledgerlens.operators import aggregates, cascades, feeds, graph, joins, ledger, ranking, repository, retrieval, sets, text_safety  # noqa: F401
 from ledgerlens.plans import families, flows  # noqa: F401
 from ledgerlens.registry import REGISTRY
-from ledgerlens.sources import lines  # noqa: F401
+from ledgerlens.sources import lines, manifests  # noqa: F401
 from ledgerlens.streaming import checkpoints  # noqa: F401
 
 __all__ = ["REGISTRY"]

@@ -53,8 +53,9 @@ def json_objects(files: DataFrame, max_depth: int = 64, comments: bool = False)
 
 
 def yaml_documents(files: DataFrame, max_bytes: int = 1 << 20, max_depth: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(path, pos, json) of every YAML document of (path, text), rejects by reason (S4, S13). Aliases aren't followed
-    without bound: the depth and size of what they expand to are checked."""
+    """(path, pos, json) of every YAML document of (path, text), rejects by reason (S4, S13). Aliases are counted for what
+    they expand to before anything is expanded: a document deeper than `max_depth`, one of more than `2 * max_bytes`
+    characters, and one that holds itself are rejects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
@@ -70,10 +71,8 @@ def yaml_documents(files: DataFrame, max_bytes: int = 1 << 20, max_depth: int =
                     continue
                 try:
                     for pos, doc in enumerate(yaml.load_all(text, loader)):
-                        if _too_deep(doc, max_depth):
-                            rows.append((path, pos, None, "too_deep"))
-                        else:
-                            rows.append((path, pos, json.dumps(doc, default=str), None))
+                        fault = _fault(doc, max_depth, 2 * max_bytes)
+                        rows.append((path, pos, None if fault else json.dumps(doc, default=str), fault))
                 except (yaml.YAMLError, ValueError, TypeError):
                     rows.append((path, None, None, "malformed"))
             cols = list(zip(*rows)) if rows else [()] * 4
@@ -84,19 +83,34 @@ def yaml_documents(files: DataFrame, max_bytes: int = 1 << 20, max_depth: int =
     return out.where("reason is null").drop("reason"), out.where("reason is not null").select("path", "reason")
 
 
-def _too_deep(value: object, most: int) -> bool:
-    """Containers seen before are skipped, so shared aliases cost nothing."""
-    seen: set[int] = set()
-    stack = [(value, 0)]
+def _fault(value: object, max_depth: int, max_size: int) -> str | None:
+    """What is wrong with a value's depth or size with every alias expanded; each container is looked at once."""
+    done: dict[int, tuple[int, int]] = {}  # height and size of a container
+    going: set[int] = set()
+    stack: list[tuple[object, bool]] = [(value, False)]
     while stack:
-        v, depth = stack.pop()
-        if not isinstance(v, (dict, list)) or id(v) in seen:
+        v, after = stack.pop()
+        if not isinstance(v, (dict, list, set, tuple)):
             continue
-        if depth > most:
-            return True
-        seen.add(id(v))
-        stack += [(x, depth + 1) for x in (v.values() if isinstance(v, dict) else v)]
-    return False
+        inside = [*v, *v.values()] if isinstance(v, dict) else list(v)
+        if after:
+            going.discard(id(v))
+            height, size = 0, 2
+            for x in inside:
+                h, n = done.get(id(x), (0, 0)) if isinstance(x, (dict, list, set, tuple)) else (0, len(str(x)))
+                height, size = max(height, h), size + n + 1
+            done[id(v)] = (height + 1, size)
+            if height > max_depth:
+                return "too_deep"
+            if size > max_size:
+                return "expands_too_far"
+        elif id(v) in going:
+            return "holds_itself"
+        elif id(v) not in done:
+            going.add(id(v))
+            stack.append((v, True))
+            stack += [(x, False) for x in inside]
+    return None
 
 
 def layered(df: DataFrame, known: list[str], layers: list[str]) -> tuple[DataFrame, DataFrame]:
