@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.imports import import_edges  # noqa: F401  G5
+from ledgerlens.operators.intervals import points_in
 from ledgerlens.registry import REGISTRY, table
+from ledgerlens.tables import dropped, kept
 
 
 def consumers(edges: DataFrame, name: str) -> DataFrame:
@@ -26,43 +29,28 @@ def reverse_lookup(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("module"), F.col("src").alias("file")).distinct()
 
 
-def references(occurrences: DataFrame, symbol: str) -> DataFrame:
-    return occurrences.where(F.col("symbol") == symbol).select("file", "line", "col")
+def references(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(symbol, file, line, col) of every occurrence of the asked symbols, each once."""
+    return occurrences.join(symbols.select("symbol").distinct(), "symbol", "left_semi").select("symbol", "file", "line", "col").distinct()
 
 
 def tests_exercising(coverage: DataFrame, definitions: DataFrame) -> DataFrame:
     """(symbol, test) where a test covers a line of the symbol's definition."""
-    on = (F.col("c.file") == F.col("d.file")) & F.col("c.line").between(F.col("d.first_line"), F.col("d.last_line"))
-    return coverage.alias("c").join(definitions.alias("d"), on).select("symbol", "test").distinct()
-
-
-def import_edges(files: DataFrame) -> DataFrame:
-    """Distinct (path, specifier) of import and require statements; quotes stripped, empty ones dropped.
-
-    A regular expression isn't a parser: imports inside strings or comments count too.
-    """
-    pattern = r"""(?m)(?:^\s*(?:import|export)\s+(?:[^'";]*?\sfrom\s+)?|\b(?:require|import)\s*\(\s*)(['"])([^'"\n]*)\1"""
-    found = files.select("path", F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(2))).alias("specifier"))
-    return found.where("specifier <> ''").distinct()
-
-
-def _kept(spark: SparkSession) -> bool:
-    return bool(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    met = points_in(coverage.select("file", "line", "test"), definitions.select("file", "symbol", "first_line", "last_line"), ["file"], "line", "first_line", "last_line")
+    return met.select("symbol", "test").distinct()
 
 
 def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 5, max_nodes: int | None = None) -> DataFrame:
     """(root, node, depth): nodes within max_depth steps, each at its least depth, the root at 0.
 
-    max_nodes keeps the first nodes of each root in breadth-first order, by depth and name. Where the session has a
-    checkpoint folder, each round's frontier is kept there, so that no round computes the ones before it again.
+    max_nodes keeps the first nodes of each root in breadth-first order, by depth and name. Each round's frontier is a table
+    in the shared folder, so that no round computes the ones before it again; they are removed when the driver ends.
     """
-    kept = _kept(edges.sparkSession)
     frontier = roots.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0))
     seen = frontier
     for depth in range(1, max_depth + 1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        frontier = frontier.checkpoint() if kept else frontier
+        frontier = kept(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
     if max_nodes is not None:
         from pyspark.sql import Window
@@ -72,23 +60,53 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 5, max_nodes: int
     return seen
 
 
+def _cut(chain: Column, name: Column) -> Column:
+    """A chain of parents up to the first that is the node itself or was met before, that one included."""
+    places = F.filter(F.sequence(F.lit(1), F.size(chain)), lambda i: F.array_contains(F.slice(chain, 1, i - 1), F.element_at(chain, i.cast("int"))) | (F.element_at(chain, i.cast("int")) == name))
+    first = F.get(places, F.lit(0))
+    return F.when(F.size(chain) == 0, chain).when(first.isNull(), chain).otherwise(F.slice(chain, 1, first.cast("int")))
+
+
+def parent_chains(nodes: DataFrame, max_depth: int) -> DataFrame:
+    """(name, chain): each node's parents from the nearest on, `max_depth` at most, up to a root or to the first one met twice.
+
+    Pointer doubling: after round k a chain has its first 2^k parents, and the next round joins it with the chain of its
+    last one; so depth d takes log2(d) joins of one row a node.
+    """
+    links = nodes.where("parent is not null").select("name", F.array("parent").alias("chain")).distinct()
+    now = kept(links.withColumn("open", F.col("chain")[0] != F.col("name")))
+    length = 1
+    while length < max_depth:
+        tails = now.select(F.col("name").alias("tail"), F.col("chain").alias("more"), F.col("open").alias("tail_open"))
+        joined = now.withColumn("tail", F.when(F.col("open"), F.element_at("chain", -1))).join(tails, "tail", "left")
+        whole = F.concat("chain", F.coalesce("more", F.array().cast(now.schema["chain"].dataType)))
+        after = joined.select("name", whole.alias("whole"), F.col("open") & F.coalesce("tail_open", F.lit(False)) & (F.size("more") == length)).toDF("name", "whole", "going")
+        cut = after.withColumn("chain", _cut(F.col("whole"), F.col("name")))
+        then = kept(cut.select("name", "chain", (F.col("going") & (F.size("chain") == F.size("whole")) & ~_repeats(F.col("chain"), F.col("name"))).alias("open")))
+        dropped(now)
+        now, length = then, 2 * length
+    return now.select("name", F.slice("chain", 1, max_depth).alias("chain"))
+
+
+def _repeats(chain: Column, name: Column) -> Column:
+    """Whether a chain's last node is the node itself or was met before; others can't be, once it is cut."""
+    last = F.element_at(chain, -1)
+    return (last == name) | F.array_contains(F.slice(chain, 1, F.greatest(F.size(chain) - 1, F.lit(0))), last)
+
+
 def extends_chain(nodes: DataFrame, max_depth: int = 8) -> DataFrame:
     """(start, name, depth, path, issue) along each node's parents; a name seen before is a cycle.
 
-    `nodes` has (name, parent). One join a round, at most max_depth of them; each round's ends are kept where the session
-    has a checkpoint folder.
+    `nodes` has (name, parent); a name may have several parents. See `parent_chains` for the joins.
     """
-    kept = _kept(nodes.sparkSession)
-    ends = nodes.select(F.col("name").alias("start"), "name", F.lit(0).alias("depth"), F.array("name").alias("path"), F.lit(None).cast("string").alias("issue"))
-    links = nodes.where("parent is not null").select(F.col("name").alias("child"), "parent")
-    seen = ends
-    for depth in range(1, max_depth + 1):
-        issue = F.when(F.array_contains("path", F.col("parent")), "cycle").when(F.lit(depth >= max_depth), "too_deep")
-        step = ends.where("issue is null").join(links, F.col("name") == F.col("child"))
-        ends = step.select("start", F.col("parent").alias("name"), F.lit(depth).alias("depth"), F.array_append("path", F.col("parent")).alias("path"), issue.alias("issue"))
-        ends = ends.checkpoint() if kept else ends
-        seen = seen.unionByName(ends)
-    return seen
+    starts = nodes.select("name").distinct()
+    own = starts.select(F.col("name").alias("start"), "name", F.lit(0).alias("depth"), F.array("name").alias("path"), F.lit(None).cast("string").alias("issue"))
+    chains = parent_chains(nodes, max_depth)
+    at = chains.select(F.col("name").alias("start"), "chain", F.posexplode("chain").alias("p", "name"))
+    path = F.concat(F.array("start"), F.slice("chain", 1, F.col("p") + 1))
+    issue = F.when(F.array_contains(F.slice(path, 1, F.col("p") + 1), F.col("name")), "cycle").when(F.col("p") + 1 >= max_depth, "too_deep")
+    rows = at.select("start", "name", (F.col("p") + 1).alias("depth"), path.alias("path"), issue.alias("issue"))
+    return own.unionByName(rows.distinct())
 
 
 def fallback_chain(attempts: DataFrame, most: int = 4) -> DataFrame:
@@ -170,3 +188,27 @@ def fallback_chain_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("query"), (F.col("l_linenumber") - 1).alias("depth"), F.col("l_partkey").alias("name"), (F.col("l_returnflag") == "N").alias("trusted")
     )
     return fallback_chain(rows)
+
+
+@REGISTRY.query("refs_to", "SELECT DISTINCT l_partkey AS symbol, l_orderkey AS file, l_linenumber AS line, l_suppkey AS col FROM lineitem SEMI JOIN (SELECT p_partkey AS l_partkey FROM part WHERE p_size > 40) USING (l_partkey)")
+def refs_to(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the large parts stand."""
+    occurrences = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("symbol"), F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("col"))
+    return references(occurrences, table(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_partkey").alias("symbol")))
+
+
+@REGISTRY.query(
+    "covering_tests",
+    """
+    WITH d AS (SELECT p_partkey AS symbol, p_size AS file, p_partkey * 7 % 5000 AS first_line, p_partkey * 7 % 5000 + CASE WHEN p_partkey % 50 = 0 THEN 3000 ELSE p_partkey % 40 END AS last_line FROM part WHERE p_partkey % 4 = 0),
+    c AS (SELECT l_partkey % 50 + 1 AS file, l_orderkey % 8000 AS line, l_suppkey AS test FROM lineitem)
+    SELECT DISTINCT symbol, test FROM c JOIN d ON c.file = d.file AND line BETWEEN first_line AND last_line
+    """,
+)
+def covering_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few large files, definitions from one line to three thousand."""
+    first = F.col("p_partkey") * 7 % 5000
+    last = first + F.when(F.col("p_partkey") % 50 == 0, 3000).otherwise(F.col("p_partkey") % 40)
+    definitions = table(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("symbol"), F.col("p_size").alias("file"), first.alias("first_line"), last.alias("last_line"))
+    coverage = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 50 + 1).alias("file"), (F.col("l_orderkey") % 8000).alias("line"), F.col("l_suppkey").alias("test"))
+    return tests_exercising(coverage, definitions)

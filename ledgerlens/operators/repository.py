@@ -94,11 +94,6 @@ def edited_dependency(manifests: DataFrame, package: str, version: str) -> DataF
     return doc.select("repo", section.alias("section"), edited.alias("edited")).where("section is not null")
 
 
-def prior_value(current: DataFrame, prior: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Each slice with its value in the run before, null if there was none."""
-    return current.join(prior.select(*keys, F.col(value).alias(f"prior_{value}")), keys, "left")
-
-
 def band_dispatch(queries: DataFrame, adapters: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(query with its adapter, queries whose primitive has none)."""
     return queries.join(adapters, "primitive"), queries.join(adapters, "primitive", "left_anti")
