@@ -203,7 +203,7 @@ def rule_outcomes(rules: DataFrame, files: DataFrame) -> DataFrame:
     must match, the first failing one is the evidence; no matching file: not applicable, or a failure where one is asked for.
 
     A rule's regular expression that ends in a literal extension meets only files of that extension, others meet all; the
-    expression decides after that equi-join. The catalog of rules is small and goes to each repository.
+    expression decides after that equi-join.
     """
     tail = F.regexp_extract("glob_regex", r"\\\.([A-Za-z0-9]+)(?:\\z|\$)$", 1)
     keyed = rules.withColumn("kind", F.when(tail != "", tail).otherwise(F.lit("*")))
@@ -213,7 +213,10 @@ def rule_outcomes(rules: DataFrame, files: DataFrame) -> DataFrame:
     hits = dealt.join(keyed, "kind").where(F.rlike("path", F.col("glob_regex"))).groupBy("repo", "rule").agg(
         F.bool_and(good).alias("ok"), F.min(F.when(~good, F.col("path"))).alias("evidence")
     )
-    every = files.select("repo").distinct().crossJoin(F.broadcast(rules.select("rule", "needs_file")))
+    # Every repository has a row for every rule: rules are dealt to a few blocks, and each repository meets all blocks.
+    blocks = 16
+    dealt_rules = rules.select("rule", "needs_file", F.pmod(F.hash("rule"), F.lit(blocks)).alias("block"))
+    every = files.select("repo").distinct().withColumn("block", F.explode(F.array(*map(F.lit, range(blocks))))).join(dealt_rules, "block").drop("block")
     none = F.when(F.col("needs_file"), "fail").otherwise("not_applicable")
     return every.join(hits, ["repo", "rule"], "left").select(
         "repo", "rule", F.when(F.col("ok").isNull(), none).when(F.col("ok"), "pass").otherwise("fail").alias("outcome"), "evidence"

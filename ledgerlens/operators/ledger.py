@@ -152,6 +152,24 @@ def reconciled(precharges: DataFrame, settlements: DataFrame, token: str, order:
     return ranked.join(known, token, "left").withColumn("verdict", verdict).drop("known", "nth")
 
 
+def digest_bucket(order: list[str], digits: int = 3) -> Column:
+    """A row's bucket in the tree of a digest: the first hex digits of the hash of its order columns."""
+    return F.substring(F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in order]), 256), 1, digits)
+
+
+def digest_leaves(df: DataFrame, group: list[str], order: list[str], payload: Column, digits: int = 3) -> DataFrame:
+    """(group, bucket, n, leaf): rows of a bucket and the digest of its payloads in order, line feeds between."""
+    rows = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], F.col("__p"))))
+    leaf = F.sha2(F.array_join(F.transform(rows, lambda r: r["__p"]), "\n"), 256)
+    return df.withColumns({"__p": payload, "bucket": digest_bucket(order, digits)}).groupBy(*group, "bucket").agg(F.count("*").alias("n"), leaf.alias("leaf"))
+
+
+def digest_roots(leaves: DataFrame, group: list[str]) -> DataFrame:
+    """(group, n, digest) of the leaves' lines "bucket:leaf" in order."""
+    line = F.concat("bucket", F.lit(":"), "leaf")
+    return leaves.groupBy(*group).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
+
+
 def ordered_digest(df: DataFrame, group: list[str], order: list[str], payload: Column, digits: int = 3) -> DataFrame:
     """(group, n, digest) whatever the order of the rows (W10, A15, A17): a tree of two levels.
 
@@ -159,12 +177,28 @@ def ordered_digest(df: DataFrame, group: list[str], order: list[str], payload: C
     payloads in order, line feeds between; a group's is that of its lines "bucket:digest" in order. So no task holds a
     group: a bucket has a 4096th of it, and a group at most 4096 lines. Null payloads are counted and not hashed.
     """
-    bucket = F.substring(F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in order]), 256), 1, digits)
-    rows = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], F.col("__p"))))
-    leaf = F.sha2(F.array_join(F.transform(rows, lambda r: r["__p"]), "\n"), 256)
-    leaves = df.withColumns({"__p": payload, "__b": bucket}).groupBy(*group, "__b").agg(F.count("*").alias("__n"), leaf.alias("__d"))
-    line = F.concat("__b", F.lit(":"), "__d")
-    return leaves.groupBy(*group).agg(F.sum("__n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
+    return digest_roots(digest_leaves(df, group, order, payload, digits), group)
+
+
+def rolled(leaves: DataFrame, stored: DataFrame, removed: DataFrame, added: DataFrame, group: list[str], order: list[str], payload: Column, digits: int = 3) -> DataFrame:
+    """The leaves of a store after a change, from its leaves before and the buckets that the change touches.
+
+    `stored` is the store before the change with its `bucket`, by which it should be partitioned: only touched buckets are
+    read, and `digest_roots` of the result is the digest of a full rebuild. Rows of `removed` (group, order columns) leave,
+    rows of `added` come; a row that is in both is replaced. Nothing else of the store is hashed again. The touched buckets,
+    16^digits at most, come to the driver to prune the read.
+    """
+    key, bucket = [*group, *order], digest_bucket(order, digits)
+    gone, new = removed.select(*key).withColumn("bucket", bucket), added.withColumn("bucket", bucket)
+    touched = [r["bucket"] for r in gone.select("bucket").union(new.select("bucket")).distinct().collect()]
+    near = stored.where(F.col("bucket").isin(*touched)) if touched else stored.limit(0)
+    other = gone.select(*[F.col(c).alias(f"gone_{c}") for c in key])
+    same = F.lit(True)
+    for c in key:
+        same = same & near[c].eqNullSafe(other[f"gone_{c}"])
+    now = near.join(other, same, "left_anti").drop("bucket").unionByName(new.drop("bucket"))
+    kept = leaves.where(~F.col("bucket").isin(*touched)) if touched else leaves
+    return kept.select(*group, "bucket", "n", "leaf").unionByName(digest_leaves(now, group, order, payload, digits))
 
 
 def digest_sql(source: str, group: str, order: str, payload: str) -> str:
@@ -324,3 +358,18 @@ def budget_totals_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     money = (F.col("tokens").cast("decimal(18,0)") * F.lit(Decimal("0.01"))).cast("decimal(38,18)")
     used = orders.where("o_orderstatus <> 'O'").select("workflow_id", "token_id", F.lit("reconcile").alias("op"), (F.col("tokens") - 1).alias("tokens"), money.alias("dollars"))
     return budget_totals(held.unionByName(used), 10_000_000).withColumn("dollars", F.col("dollars").cast("double"))
+
+
+@REGISTRY.query(
+    "rolling_digest",
+    digest_sql("(SELECT o_orderstatus, o_orderkey, o_orderkey || '|' || o_custkey AS line FROM orders WHERE o_orderkey % 500 <> 3 UNION ALL SELECT o_orderstatus, -o_orderkey, -o_orderkey || '|' || o_custkey FROM orders WHERE o_orderkey % 700 = 5)", "o_orderstatus", "o_orderkey", "line"),
+)
+def rolling_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of all orders, moved on by the orders that left and those that came."""
+    columns = ["o_orderstatus", "o_orderkey", "o_custkey"]
+    payload = F.concat(F.col("o_orderkey").cast("string"), F.lit("|"), F.col("o_custkey").cast("string"))
+    orders = table(spark, sf_dir, "orders").select(*columns)
+    leaves = digest_leaves(orders, columns[:1], columns[1:2], payload)
+    added = orders.where("o_orderkey % 700 = 5").withColumn("o_orderkey", -F.col("o_orderkey"))
+    stored = orders.withColumn("bucket", digest_bucket(columns[1:2]))
+    return digest_roots(rolled(leaves, stored, orders.where("o_orderkey % 500 = 3"), added, columns[:1], columns[1:2], payload), columns[:1])

@@ -25,7 +25,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ledgerlens.functions.fixed import BOUNDARY_STATES, LEGAL_STEPS, MAX_EVENT_BYTES, SECRET_PATTERNS
 from ledgerlens.operators.ledger import _STEPS, GENESIS, _steps, next_head, ordered_fold
-from ledgerlens.operators.text_safety import _MARK, replaced_matches
+from ledgerlens.operators.text_safety import _MARK, named_redacted
 from ledgerlens.registry import REGISTRY, table
 from ledgerlens.sources import commits
 
@@ -36,13 +36,6 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def scrubbed(text: Column) -> Column:
-    """Named secrets replaced, in their order, without the entropy rule."""
-    for _, pattern in SECRET_PATTERNS:
-        text = F.when(text.rlike(pattern), replaced_matches(text, pattern)).otherwise(text)
-    return text
-
-
 def judged(events: DataFrame, key: str, order: str, transition: Column, prior: Column, next_: Column, payload: Column, cap: int = MAX_EVENT_BYTES) -> DataFrame:
     """(key, order, transition, prior, next, reason, stored) without what depends on the log; stored is null if refused."""
     legal = F.coalesce(F.concat_ws("\0", prior, next_).isin(*["\0".join(s) for s in LEGAL_STEPS]) & prior.isNotNull() & next_.isNotNull(), F.lit(False))
@@ -52,7 +45,7 @@ def judged(events: DataFrame, key: str, order: str, transition: Column, prior: C
         .when(F.octet_length(text) > cap, "payload_too_large")
     )
     rows = events.select(key, order, transition.cast("string").alias("transition"), prior.alias("prior"), next_.alias("next"), reason.alias("reason"), text.alias("stored"))
-    return rows.withColumn("stored", F.when(F.col("reason").isNull(), scrubbed(F.col("stored"))))
+    return named_redacted(rows.withColumn("stored", F.when(F.col("reason").isNull(), F.col("stored"))), "stored")
 
 
 def _step(tail: tuple[int, str, str], event: dict[str, Any]) -> tuple[tuple[int, str, str], dict[str, Any] | None]:
