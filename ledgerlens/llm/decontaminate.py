@@ -10,8 +10,7 @@ of so many words, with k = 1. What each guarantees: a document that holds an ite
 * q) of its shingles, which is less than k. So at least sketch length - (q - ceil(share * q)) of the sketched hashes, one
 at least, are among the document's; documents with fewer hits are left out and nothing is lost. The document side, which
 may be thousands of times longer than an item, isn't sketched (a sketch of fixed size would miss short items): each of its
-shingle hashes probes the sketches. The thresholds on the document side count repeated shingles, which only lets more
-through. The candidates are verified by the exact share of the shingles' texts.
+shingle hashes probes the sketches. The candidates are verified by the exact share of the shingles' texts.
 
 The sketches are broadcast only when their counted number is under `broadcast_rows`; else the probe is a shuffled join.
 
@@ -95,15 +94,14 @@ def contained(docs: DataFrame, items: DataFrame, width: int = 5, share: float =
     n = sketches.count()
     widths = sorted(r["width"] for r in sketches.select("width").distinct().collect())  # `width` of them at most
     keyed = docs.select("doc_id", "text").withColumn("row_hash", F.xxhash64("doc_id", "text"))
-    probes = None
-    for w in widths or [width]:
-        some = (
-            _hashes(keyed.withColumn("width", F.lit(w)), [w]).withColumn("n", F.size("hashes")).where("n > 0")
-            .select("doc_id", "row_hash", F.lit(w).alias("width"), "n", F.explode("hashes").alias("hash"))
-        )
-        probes = some if probes is None else probes.unionByName(some)
+    # One pass: words are hashed once, each width has its distinct hashes, and all of them are exploded together.
+    hashed = _once(keyed, "word_hashes", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w))).drop("text")
+    each = [F.struct(F.lit(w).alias("width"), F.array_distinct(_shingles("word_hashes", w, F.xxhash64)).alias("hashes")) for w in widths or [width]]
+    by_width = hashed.select("doc_id", "row_hash", F.explode(F.array(*each)).alias("x")).select("doc_id", "row_hash", "x.width", F.size("x.hashes").alias("n"), "x.hashes")
+    probes = by_width.where("n > 0").select("doc_id", "row_hash", "width", "n", F.explode("hashes").alias("hash"))
     hits = probes.join(_bounded(sketches, n, broadcast_rows), ["width", "hash"]).where("n >= threshold and n >= need")
-    counted = hits.groupBy("doc_id", "row_hash", "item_id", "width", "q", "need", "length").agg(F.count_distinct("hash").alias("hits"))
+    # Repeated rows are counted together, which only lets more through to the check.
+    counted = hits.groupBy("doc_id", "row_hash", "item_id", "width", "q", "need", "length").agg(F.count("*").alias("hits"))
     pairs = written(counted.where("hits >= length - (q - need)").select("doc_id", "row_hash", "item_id", "width").distinct())
     n_pairs = pairs.count()
     found = pairs.withColumnsRenamed({"doc_id": "c_doc", "row_hash": "c_hash"})
@@ -122,13 +120,22 @@ def contained(docs: DataFrame, items: DataFrame, width: int = 5, share: float =
 
 
 def clean(docs: DataFrame, items: DataFrame, broadcast_rows: int = 500_000, **options) -> DataFrame:
-    """The documents that hold no item, as they are."""
+    """The documents that hold no item, as they are.
+
+    An item of one word is held by every document that has the word, so a benchmark with such an item may empty a corpus:
+    `per_item` of `contained` says how many documents each item costs.
+    """
     found = contained(docs, items, broadcast_rows=broadcast_rows, **options)
     leaked = written(found.select(F.col("doc_id").alias("leaked_id")).distinct())
     few = _bounded(leaked, leaked.count(), broadcast_rows)
     return docs.join(few, docs["doc_id"].eqNullSafe(few["leaked_id"]), "left_anti")
 
 
+def per_item(found: DataFrame) -> DataFrame:
+    """(item_id, documents, n_shingles): how many documents hold each item, of what `contained` found."""
+    return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.max("n_shingles").alias("n_shingles"))
+
+
 ORACLE = r"""
 WITH i AS (
   SELECT item_id, w, least(5, len(w)) AS k

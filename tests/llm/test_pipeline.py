@@ -43,3 +43,23 @@ def test_queries_match_their_sql(spark):
     con = connection(SF)
     for name, sql in LLM.oracle_sql().items():
         assert rows_of(LLM.queries()[name](spark, SF)) == oracle_rows(con, sql), name
+
+
+def test_stages_take_empty_tables_nulls_and_clashing_columns(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, row bigint, leaked_id bigint, root bigint, h bigint, size bigint"
+    words = "the of and to in that with house river stone green walks under slowly".split()
+    text = lambda i: " ".join(words[(i * k) % 14] + str(i) for k in range(40))
+    rows = [(i, text(i), "en" if i % 3 else None, None if i % 4 else "s", None, 7, 7, 7, 7, 7) for i in range(12)]
+    rows += [(None, text(50), None, None, None, 7, 7, 7, 7, 7), (3, text(3), "en", None, None, 7, 7, 7, 7, 7), (90, None, None, None, None, 7, 7, 7, 7, 7), (91, "", "en", "s", 0, 7, 7, 7, 7, 7)]
+    for name, some in (("full", rows), ("empty", [])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(some, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, "an item that no document holds at all"), (None, None), (2, "")], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        for k, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            f(spark, docs, d).write.parquet(f"{d}/{k}")
+            docs = spark.read.parquet(f"{d}/{k}")
+            if stage != "mixing":
+                assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        ids = sorted(r.doc_id if r.doc_id is not None else -1 for r in docs.select("doc_id").collect())
+        assert ids == ([-1, *range(12)] if name == "full" else [])
