@@ -243,12 +243,12 @@ def kv_pairs(payload: Column) -> Column:
 
 
 def exec_form(payload: Column) -> Column:
-    """(form, argv, command): exec for a JSON array of strings, malformed for another array, else shell (M7)."""
+    """(form, argv, command): exec for a JSON array of strings, malformed for another array, else shell; null for null (M7)."""
     p = F.trim(payload)
     variant = F.try_parse_json(p)
     argv = F.try_variant_get(variant, "$", "array<string>")
     listed = F.schema_of_variant(variant).isin("ARRAY<STRING>", "ARRAY<VOID>")
-    form = F.when(~p.startswith("["), "shell").when(F.coalesce(listed, F.lit(False)), "exec").otherwise("malformed")
+    form = F.when(~p.startswith("["), "shell").when(F.coalesce(listed, F.lit(False)), "exec").when(p.isNotNull(), "malformed")
     return F.struct(form.alias("form"), F.when(form == "exec", argv).alias("argv"), F.when(form != "exec", p).alias("command"))
 
 

@@ -16,11 +16,11 @@ def skipped(path: Column) -> Column:
 
 
 def test_file_count(files: DataFrame) -> DataFrame:
-    """Test files of each repository by suffix."""
+    """Test files of each repository by suffix, those in skipped folders left out."""
     hit = F.lit(False)
     for s in TEST_SUFFIXES:
         hit = hit | F.col("path").endswith(s)
-    return files.where(~skipped(F.col("path"))).groupBy("repo").agg(F.count_if(hit).alias("test_files"))
+    return files.groupBy("repo").agg(F.count_if(hit & ~skipped(F.col("path"))).alias("test_files"))
 
 
 def language_counts(files: DataFrame, languages: dict[str, str]) -> DataFrame:
