@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.fixed import PROVENANCE_ECOSYSTEMS, PROVENANCE_LAYERS
 from ledgerlens.registry import REGISTRY, table
 
 #: Severities from most to least severe (fixed values): the index has four, findings have five.
@@ -36,6 +37,14 @@ def top_k_per_group(df: DataFrame, group: list[str], k: int, *order: Column) ->
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def adapter_order(adapters: DataFrame) -> DataFrame:
+    """Adapters (layer, ecosystem, ..) with `rank` from 0: layers in their order, within one ecosystems in theirs (T7). Adapters of an
+    unknown layer or ecosystem have no rank."""
+    layer = F.array_position(F.array(*map(F.lit, PROVENANCE_LAYERS)), F.col("layer"))
+    ecosystem = F.array_position(F.array(*map(F.lit, PROVENANCE_ECOSYSTEMS)), F.col("ecosystem"))
+    return adapters.withColumn("rank", F.when((layer > 0) & (ecosystem > 0), (layer - 1) * len(PROVENANCE_ECOSYSTEMS) + ecosystem - 1).cast("int"))
+
+
 def latest_per_key(df: DataFrame, key: str, order: Column, columns: list[str]) -> DataFrame:
     """The last row of each key as a partial aggregate; a hot key costs one row a task."""
     return df.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("last")).select(key, "last.*")

@@ -99,6 +99,22 @@ def band_dispatch(queries: DataFrame, adapters: DataFrame) -> tuple[DataFrame, D
     return queries.join(adapters, "primitive"), queries.join(adapters, "primitive", "left_anti")
 
 
+def snapshots(files: DataFrame) -> DataFrame:
+    """(repo, git_commit) of every repository of a table of files (S29): what its HEAD stands for, null where that can't be told.
+
+    HEAD is a commit itself, or names a ref: that ref's own file, else its line among the packed refs.
+    """
+    head = files.where("path = '.git/HEAD'").select("repo", F.trim(F.regexp_replace("content", r"\n", "")).alias("head"))
+    named = head.withColumn("ref", F.nullif(F.regexp_extract("head", r"\Aref: (.+)\z", 1), F.lit("")))
+    loose = files.where("path like '.git/refs/%'").select("repo", F.substring("path", F.lit(6), F.length("path")).alias("ref"), F.trim(F.regexp_replace("content", r"\n", "")).alias("loose"))
+    lines = files.where("path = '.git/packed-refs'").select("repo", F.explode(F.split("content", "\n")).alias("line"))
+    packed = lines.select("repo", F.regexp_extract("line", r"\A([0-9a-f]{40}) (.+)\z", 2).alias("ref"), F.regexp_extract("line", r"\A([0-9a-f]{40}) (.+)\z", 1).alias("packed")).where("ref <> ''").dropDuplicates(["repo", "ref"])
+    found = named.join(loose, ["repo", "ref"], "left").join(packed, ["repo", "ref"], "left")
+    commit = F.when(F.col("ref").isNull(), F.col("head")).otherwise(F.coalesce("loose", "packed"))
+    known = found.select("repo", F.when(commit.rlike(r"\A[0-9a-f]{40}\z"), commit).alias("git_commit"))
+    return files.select("repo").distinct().join(known, "repo", "left")
+
+
 _FILES = "(SELECT source AS repo, lpad(doc_id::VARCHAR, 9, '0') AS path, strlen(text) AS size FROM documents)"
 
 

@@ -6,12 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import aggregates, cascades, ranking, repository, text_safety
+from ledgerlens.functions import scalars as S2
+from ledgerlens.operators import aggregates, cascades, ranking, repository, retrieval, text_safety
 from ledgerlens.registry import REGISTRY, table
 from ledgerlens.sources import files as S
 from ledgerlens.sources import lines as L
 from ledgerlens.sources import manifests as M
 from ledgerlens.sources import reports as R
+from ledgerlens.sources import sinks
 
 
 def _made(spark: SparkSession, sf_dir: str, of: str, key: str, text: str) -> DataFrame:
@@ -388,3 +390,140 @@ def report_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 2, "b").alias("branch"), F.lit(None).cast("string").alias("transform"), F.lit(True).alias("passed"), F.when(k == 3, F.array(F.lit("x"))).otherwise(none).alias("failing"), F.lit(1).alias("findings"), F.when(k == 4, 2).otherwise(1).alias("fingerprints"),
     )
     return cascades.invariant_violations(rows)
+
+
+@REGISTRY.query(
+    "repository_snapshots",
+    "SELECT c_custkey AS repo, [sha1(c_name), sha1(c_mktsegment), sha1(c_name), NULL, NULL][c_custkey % 5 + 1] AS git_commit FROM customer",
+)
+def repository_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A commit itself, a ref with its file, one that is packed, one that is nowhere, no HEAD at all."""
+    made = """filter(array(
+      CASE WHEN c_custkey % 5 < 4 THEN struct('.git/HEAD' AS path, concat(CASE WHEN c_custkey % 5 = 0 THEN sha1(c_name) ELSE 'ref: refs/heads/main' END, '\n') AS content) END, struct('README' AS path, c_name AS content),
+      CASE WHEN c_custkey % 5 = 1 THEN struct('.git/refs/heads/main' AS path, concat(sha1(c_mktsegment), '\n') AS content) END,
+      CASE WHEN c_custkey % 5 = 2 THEN struct('.git/packed-refs' AS path, concat('# pack-refs\n', sha1(c_mktsegment), ' refs/heads/other\n', sha1(c_name), ' refs/heads/main\n') AS content) END), f -> f IS NOT NULL)"""
+    files = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repo"), F.explode(F.expr(made)).alias("f")).select("repo", "f.*")
+    return repository.snapshots(files)
+
+
+@REGISTRY.query(
+    "adapter_order",
+    """
+    SELECT p_partkey AS id, CASE WHEN p_partkey % 4 < 3 AND p_partkey % 7 < 6 THEN (p_partkey % 4) * 6 + p_partkey % 7 END::INT AS rank FROM part
+    """,
+)
+def adapter_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T7."""
+    layer = F.expr("elt(p_partkey % 4 + 1, 'app', 'base_image', 'runtime', 'other')")
+    ecosystem = F.expr("elt(p_partkey % 7 + 1, 'npm', 'yarn-berry', 'pnpm', 'apk', 'dpkg', 'rpm', 'other')")
+    return ranking.adapter_order(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), layer.alias("layer"), ecosystem.alias("ecosystem"))).select("id", "rank")
+
+
+@REGISTRY.query("contained_ids", "SELECT DISTINCT o_custkey AS id FROM orders SEMI JOIN (SELECT c_custkey AS o_custkey FROM customer WHERE c_nationkey % 2 = 0) USING (o_custkey)")
+def contained_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4."""
+    asked = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).distinct()
+    return retrieval.contained_ids(asked, table(spark, sf_dir, "customer").where("c_nationkey % 2 = 0").select(F.col("c_custkey").alias("id")))
+
+
+@REGISTRY.query(
+    "cache_rejects",
+    "SELECT c_custkey AS key, strlen('{\"blob_sha256\":\"' || sha256(c_name) || '\",\"created_at_unix_s\":' || c_nationkey || ',\"key\":' || c_custkey || ',\"probe_name\":\"' || repeat('p', 4000) || '\",\"probe_version\":\"1\"}' || chr(10))::INT AS record_bytes, 'record_too_long' AS reason FROM customer WHERE c_custkey % 9 = 0",
+)
+def cache_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: records over 4,096 bytes."""
+    name = F.when(F.col("c_custkey") % 9 == 0, F.repeat(F.lit("p"), 4000)).otherwise("probe")
+    entries = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("payload"), F.col("c_nationkey").alias("created_at_unix_s"), name.alias("probe_name"), F.lit("1").alias("probe_version"))
+    return sinks.cache_records(entries)[1]
+
+
+@REGISTRY.query("artifact_names", "SELECT c_custkey AS id, ['empty', 'dots', 'separator', 'temporary', NULL, NULL, 'separator'][c_custkey % 7 + 1] AS issue FROM customer")
+def artifact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1."""
+    name = F.expr(r"elt(c_custkey % 7 + 1, '', '..', concat('a/', c_name), concat('.', c_name, '.tmp'), c_name, concat(c_name, '.tmp'), concat('a\\', c_name))")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), sinks.leaf_name_issue(name).alias("issue"))
+
+
+@REGISTRY.query(
+    "node_links",
+    """
+    WITH n AS (SELECT p_size AS graph, string_agg('{"id":' || p_partkey || '}', ',' ORDER BY p_partkey) AS nodes FROM part GROUP BY 1),
+    e AS (SELECT p_size AS graph, string_agg('{"source":' || p_partkey || ',"target":' || p_partkey // 2 || '}', ',' ORDER BY p_partkey) AS links FROM part WHERE p_partkey % 2 = 0 GROUP BY 1)
+    SELECT graph, '{"directed":true' || coalesce(',"links":[' || links || ']', '') || ',"nodes":[' || nodes || ']}' AS json FROM n LEFT JOIN e USING (graph)
+    """,
+)
+def node_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8."""
+    part = table(spark, sf_dir, "part")
+    edges = part.where("p_partkey % 2 = 0").select(F.col("p_size").alias("graph"), F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst"))
+    return sinks.node_link(part.select(F.col("p_size").alias("graph"), F.col("p_partkey").alias("id")), edges)
+
+
+@REGISTRY.query(
+    "envelopes",
+    """SELECT c_custkey AS repo, '{"probes":{"a":{"n":' || c_nationkey || '},"b":"' || c_mktsegment || '"}}' AS json FROM customer""",
+)
+def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later slice of a probe wins."""
+    rows = F.expr("""array(struct('b' AS probe, 1 AS pos, concat('"', c_mktsegment, '"') AS slice), struct('a' AS probe, 1 AS pos, '0' AS slice), struct('a' AS probe, 2 AS pos, concat('{"n":', c_nationkey, '}') AS slice))""")
+    return sinks.envelope(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repo"), F.explode(rows).alias("s")).select("repo", "s.*"))
+
+
+@REGISTRY.query(
+    "confidence_sections",
+    """SELECT c_custkey AS repo, '- a: ' || CASE WHEN c_custkey % 2 = 0 THEN 'high at ' || left(sha256(c_name), 8) ELSE 'malformed' END || chr(10) || '- b: low at unknown' AS markdown FROM customer""",
+)
+def confidence_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by name."""
+    none = "CAST(NULL AS TIMESTAMP) AS indexed_at"
+    rows = F.expr(f"""array(struct('b' AS name, 'low' AS confidence, CAST(NULL AS STRING) AS commit, {none}), struct('a' AS name, CASE WHEN c_custkey % 2 = 0 THEN 'high' END AS confidence, sha2(c_name, 256) AS commit, {none}))""")
+    return sinks.confidence_section(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("repo"), F.explode(rows).alias("s")).select("repo", "s.*"))
+
+
+@REGISTRY.query(
+    "diff_verdicts",
+    "SELECT p_partkey AS id, ['empty', 'crlf', 'too_large', 'creates_file', 'no_change', 'undeclared_path', NULL][p_partkey % 7 + 1] AS issue FROM part",
+)
+def diff_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F25."""
+    head = "concat('--- a/', p_name, '\n+++ b/', p_name, '\n@@ -1 +1 @@\n')"
+    diff = F.expr(f"elt(p_partkey % 7 + 1, ' ', concat({head}, '-a\r\n+b\n'), concat({head}, '-a\n+', repeat('b', 70000), '\n'), concat('--- /dev/null\n+++ b/', p_name, '\n+b\n'), concat({head}, ' same\n'), concat({head}, '-a\n+b\n--- a/other\n+++ b/other\n-a\n'), concat({head}, '-a\n+b\n'))")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), S2.diff_issue(diff, F.array("p_name")).alias("issue"))
+
+
+@REGISTRY.query(
+    "edited_dependencies",
+    "SELECT p_partkey AS repo, ['dependencies', 'devDependencies'][p_partkey % 3 + 1] AS section, '9.9.9' AS version, p_brand AS other FROM part WHERE p_partkey % 3 < 2",
+)
+def edited_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """in the first section that has the package; a manifest without it has no row."""
+    text = """elt(p_partkey % 3 + 1, concat('{"dependencies":{"x":"1","y":"', p_brand, '"},"devDependencies":{"x":"2"}}'), concat('{"dependencies":{"z":"1"},"devDependencies":{"x":"1","y":"', p_brand, '"}}'), '{"name":"none"}')"""
+    found = repository.edited_dependency(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("repo"), F.expr(text).alias("content")), "x", "9.9.9")
+    return found.select("repo", "section", F.col("edited")["x"].alias("version"), F.col("edited")["y"].alias("other"))
+
+
+@REGISTRY.query(
+    "reflection_counts",
+    "SELECT p_size AS repo, count(*) FILTER (p_partkey % 3 = 0) AS eval_usage, count(*) AS env_read, bool_or(p_partkey % 50 = 0) AS uses_nestjs, CASE WHEN count(*) FILTER (p_partkey % 3 = 0) > 0 THEN 'high' ELSE 'medium' END AS confidence_impact FROM part GROUP BY 1",
+)
+def reflection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8."""
+    part = table(spark, sf_dir, "part")
+    files = part.select(F.col("p_size").alias("repo"), F.expr("concat('a.eval(1); process.env.X;', CASE WHEN p_partkey % 3 = 0 THEN ' eval (2)' ELSE '' END)").alias("content"))
+    uses = part.select(F.col("p_size").alias("repo"), F.when(F.col("p_partkey") % 50 == 0, "@nestjs/core").otherwise("x").alias("package"))
+    return repository.reflection(files, uses).select("repo", "eval_usage", "env_read", "uses_nestjs", "confidence_impact")
+
+
+@REGISTRY.query(
+    "runtime_freshness",
+    """
+    SELECT o_orderkey AS id, CASE WHEN k = 5 THEN 'fresh' ELSE 'stale' END AS kind, CASE k WHEN 4 THEN 'digest_mismatch' WHEN 5 THEN NULL ELSE 'indexer_error' END AS reason,
+           ['upstream_unavailable', 'slice_malformed', 'no_built_image', 'no_trace_recorded', o_orderpriority || '<>x', '2024-01-01T00:00:00Z', 'slice_malformed'][k + 1] AS detail FROM (SELECT *, o_orderkey % 7 AS k FROM orders)
+    """,
+)
+def runtime_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each case in its order."""
+    k = F.col("o_orderkey") % 7
+    built, traced = F.when(k != 2, F.col("o_orderpriority")), F.when(k == 4, "x").when(k != 3, F.col("o_orderpriority"))
+    fields = {"present": F.lit(True), "coverage": F.when(k == 0, "unavailable").otherwise("full"), "well_formed": k != 1, "at": F.when(k == 6, "soon").otherwise("2024-01-01T00:00:00Z"), "built": built, "traced": traced}
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), cascades.runtime_freshness(fields).alias("f")).select("id", "f.*")

@@ -6,6 +6,8 @@ Files are the partitions, so a window never spans more than one file.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -155,6 +157,36 @@ def npm_packages(files: DataFrame) -> DataFrame:
     return rows.where("key is null or key <> ''").select("path", "lockfile_version", "key", F.coalesce("p.name", package_of_lock_key(F.col("key"))).alias("name"), "p.version")
 
 
+def npm_entries(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, lockfile_version, key, name, version) of the packages of lock files of versions 1, 2 and 3, and rejects (path, reason).
+
+    Versions 2 and 3 have a flat list of packages; a file without one is walked as the nested tree of version 1, whose keys
+    are spelt like those of the list. A file that is neither, or names another version, is a reject; one that only has
+    its root is good and has no rows.
+    """
+    spark = files.sparkSession
+    v = F.try_parse_json("text")
+    number = F.try_variant_get(v, "$.lockfileVersion", "int")
+    has = lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")).startswith("OBJECT"), F.lit(False))
+    reason = F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), "malformed").when(number.isNull() | ~number.isin(1, 2, 3), "unknown_version").when(~has("packages") & (number > 1), "no_packages")
+    read = files.select("path", "text", number.alias("lockfile_version"), has("packages").alias("flat"), reason.alias("reason"))
+    good = read.where("reason is null")
+    flat = npm_packages(good.where("flat")).where("key is not null")
+    view = f"npm_trees_{uuid.uuid4().hex}"
+    good.where("not flat").createOrReplaceTempView(view)
+    nested = spark.sql(
+        f"""
+        WITH RECURSIVE w(path, lockfile_version, key, name, node) AS (
+          SELECT path, lockfile_version, CAST('' AS STRING), CAST(NULL AS STRING), try_parse_json(text) FROM {view}
+          UNION ALL
+          SELECT w.path, w.lockfile_version, concat(w.key, CASE WHEN w.key = '' THEN '' ELSE '/' END, 'node_modules/', d.key), d.key, d.value
+          FROM w, LATERAL variant_explode(try_variant_get(w.node, '$.dependencies', 'variant')) d)
+        SELECT path, lockfile_version, key, name, try_variant_get(node, '$.version', 'string') AS version FROM w WHERE name IS NOT NULL
+        """
+    )
+    return flat.unionByName(nested), read.where("reason is not null").select("path", "reason")
+
+
 def code_owners(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(path, line_number, pattern, owners) counted from 1 with blanks, and lines without an owner."""
     lines = numbered(files).withColumn("line", F.trim("line")).where((F.col("line") != "") & ~F.startswith("line", F.lit("#")))
@@ -241,3 +273,19 @@ def url_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     origin = F.concat(F.parse_url("url", F.lit("PROTOCOL")), F.lit("://"), F.parse_url("url", F.lit("AUTHORITY")), F.lit("/"))
     pages = table(spark, sf_dir, "pages").select("page_id", origin.alias("origin"))
     return pages.join(pages.where("page_id < 20").select("origin").distinct(), "origin", "left_anti").select("page_id", "origin")
+
+
+@REGISTRY.query(
+    "npm_entries",
+    """
+    SELECT p_partkey AS path, p_partkey % 4 AS lockfile_version, 'node_modules/a' || p_size AS key, 'a' || p_size AS name, '1.' || p_size AS version FROM part WHERE p_partkey % 4 > 0
+    UNION ALL SELECT p_partkey, p_partkey % 4, 'node_modules/a' || p_size || '/node_modules/@s/b', '@s/b', '2.0' FROM part WHERE p_partkey % 4 > 0
+    """,
+)
+def npm_entries_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same two packages in the shape of each version; every fourth file names none."""
+    deep = """concat('{"lockfileVersion":1,"dependencies":{"a', p_size, '":{"version":"1.', p_size, '","requires":{"x":"1"},"dependencies":{"@s/b":{"version":"2.0"}}}}}')"""
+    flat = """concat('{"lockfileVersion":', p_partkey % 4, ',"packages":{"":{"name":"root"},"node_modules/a', p_size, '":{"version":"1.', p_size, '"},"node_modules/a', p_size, '/node_modules/@s/b":{"version":"2.0"}}}')"""
+    text = F.expr(f"CASE p_partkey % 4 WHEN 0 THEN '{{}}' WHEN 1 THEN {deep} ELSE {flat} END")
+    good = npm_entries(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), text.alias("text")))[0]
+    return good.withColumn("lockfile_version", F.col("lockfile_version").cast("bigint"))

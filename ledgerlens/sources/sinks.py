@@ -5,12 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.sources.commits import append_keyed
+from ledgerlens.functions.fixed import MAX_RECORD_BYTES
+from ledgerlens.sources.commits import append_keyed, append_rows
 
 
-def put_cache(entries: DataFrame, path: str, key: str = "key") -> None:
-    """Append of entries, partitioned by two hex digits of the key (K2)."""
-    entries.withColumn("shard", F.left(F.sha2(F.col(key).cast("string"), 256), F.lit(2))).write.mode("append").partitionBy("shard").parquet(path)
+def cache_records(entries: DataFrame, cap: int = MAX_RECORD_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Entries (key, payload, created_at_unix_s, probe_name, probe_version) with their digest and index record, and those whose
+    record is too long (K2): the record is JSON with sorted keys and a line feed, and has at most `cap` bytes."""
+    with_digest = entries.withColumn("blob_sha256", F.sha2("payload", 256))
+    record = F.concat(F.to_json(F.struct("blob_sha256", "created_at_unix_s", "key", "probe_name", "probe_version")), F.lit("\n"))
+    made = with_digest.withColumn("record", record)
+    fits = F.octet_length("record") <= cap
+    return made.where(fits), made.where(~fits).select("key", F.octet_length("record").alias("record_bytes"), F.lit("record_too_long").alias("reason"))
+
+
+def put_cache(entries: DataFrame, path: str, writer: str | None = None, batch: int | None = None) -> int:
+    """Appends blobs, each content once, and then index records, partitioned by two hex digits of the digest (K2); how many records.
+
+    A record is only there when its blob is: a writer that dies in between leaves blobs that nothing names.
+    """
+    good, _ = cache_records(entries)
+    append_keyed(good.select("blob_sha256", "payload").distinct(), f"{path}/blobs", ["blob_sha256"], writer, batch)
+    return append_rows(good.select("key", "blob_sha256", "record", F.left("blob_sha256", F.lit(2)).alias("shard")), f"{path}/index", writer, batch, partition_by=("shard",))
+
+
+def leaf_name_issue(name: Column) -> Column:
+    """Why a name can't be that of a raw artifact, null if it can (K1): it names one file of a folder."""
+    return (
+        F.when(name.isNull() | (name == ""), "empty").when(name.isin(".", ".."), "dots").when(F.contains(name, F.lit("/")) | F.contains(name, F.lit("\\")), "separator")
+        .when(name.startswith(".") & name.endswith(".tmp"), "temporary")
+    )
+
+
+def publish(slices: DataFrame, artifacts: DataFrame, path: str, writer: str | None = None, batch: int | None = None) -> DataFrame:
+    """Writes raw artifacts (repo, name, payload) first and the envelopes of their repositories last (K1); rejects (repo, name, issue).
+
+    `slices` are redacted rows of `envelope`. A repository with a bad name publishes nothing, so a run without an envelope failed.
+    """
+    checked = artifacts.withColumn("issue", leaf_name_issue(F.col("name")))
+    bad = checked.where("issue is not null").select("repo", "name", "issue")
+    refused = bad.select("repo").distinct()
+    append_rows(checked.where("issue is null").drop("issue").join(refused, "repo", "left_anti"), f"{path}/raw", writer, batch)
+    append_rows(envelope(slices).join(refused, "repo", "left_anti"), f"{path}/envelopes", writer, batch)
+    return bad
 
 
 def append_new(rows: DataFrame, path: str, key: list[str], writer: str | None = None, batch: int | None = None) -> int:
