@@ -3,11 +3,13 @@ files say from the rows themselves and never sees a file. Where files may be bad
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars as S2
-from ledgerlens.operators import aggregates, cascades, ranking, repository, retrieval, text_safety
+from ledgerlens.operators import aggregates, cascades, feeds, graph, ranking, repository, retrieval, text_safety
 from ledgerlens.registry import REGISTRY, table
 from ledgerlens.sources import files as S
 from ledgerlens.sources import lines as L
@@ -527,3 +529,77 @@ def runtime_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     built, traced = F.when(k != 2, F.col("o_orderpriority")), F.when(k == 4, "x").when(k != 3, F.col("o_orderpriority"))
     fields = {"present": F.lit(True), "coverage": F.when(k == 0, "unavailable").otherwise("full"), "well_formed": k != 1, "at": F.when(k == 6, "soon").otherwise("2024-01-01T00:00:00Z"), "built": built, "traced": traced}
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), cascades.runtime_freshness(fields).alias("f")).select("id", "f.*")
+
+
+@REGISTRY.query(
+    "string_leaves",
+    "SELECT c_custkey AS id, p AS path, v AS leaf FROM customer, LATERAL (VALUES ('$.a', c_name), ('$.b.0', c_mktsegment), ('$.b.2.c', 'x')) t(p, v)",
+)
+def string_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """texts at any depth, numbers and nulls left out."""
+    text = """concat('{"a":"', c_name, '","b":["', c_mktsegment, '",', c_nationkey, ',{"c":"x","d":null}]}')"""
+    view = f"leaf_documents_{uuid.uuid4().hex}"
+    _made(spark, sf_dir, "customer", "c_custkey", text).select(F.col("path").alias("id"), F.try_parse_json("text").alias("value")).createOrReplaceTempView(view)
+    return S.string_leaves(spark, view)
+
+
+@REGISTRY.query(
+    "nested_lock_trees",
+    "SELECT p_partkey AS id, p AS path, n AS name, v AS version FROM part, LATERAL (VALUES ('/a', 'a', '1.' || p_size), ('/a/b', 'b', NULL), ('/a/b/c', 'c', '3')) t(p, n, v)",
+)
+def nested_lock_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three levels; a version that isn't a text is null."""
+    text = """concat('{"dependencies":{"a":{"version":"1.', p_size, '","dependencies":{"b":{"dependencies":{"c":{"version":"3"}}}}}}}')"""
+    view = f"lock_trees_{uuid.uuid4().hex}"
+    _made(spark, sf_dir, "part", "p_partkey", text).select(F.col("path").alias("id"), F.col("text").alias("tree")).createOrReplaceTempView(view)
+    return graph.nested_dependencies(spark, view)
+
+
+@REGISTRY.query(
+    "pipeline_lines",
+    "SELECT s_suppkey AS id, j AS job, pos, line FROM supplier, LATERAL (VALUES ('build', 0, 'prepare'), ('build', 1, 'make ' || s_name), ('build', 2, 'test'), ('deploy', 0, 'ship ' || s_nationkey)) t(j, pos, line)",
+)
+def pipeline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scripts as a text or a list, those before first; other entries are no jobs."""
+    text = """concat('{"stages":["a"],"build":{"script":["make ', s_name, '","test"],"before_script":"prepare"},"deploy":{"script":"ship ', s_nationkey, '"}}')"""
+    return R.pipeline_scripts(_made(spark, sf_dir, "supplier", "s_suppkey", text).withColumnRenamed("path", "id"))
+
+
+@REGISTRY.query("shell_commands", "SELECT s_suppkey AS path, ['make ' || s_name, 'test it'] AS commands FROM supplier")
+def shell_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F20."""
+    text = r"""concat('steps { sh "make ', s_name, '"\n sh(\'test it\')\n echo "sh" }')"""
+    return _made(spark, sf_dir, "supplier", "s_suppkey", text).select("path", R.shell_steps(F.col("text")).alias("commands"))
+
+
+@REGISTRY.query(
+    "marked_once",
+    "SELECT c_custkey AS path, CASE WHEN c_custkey % 2 = 0 THEN '<REDACTED:fingerprint=0123abcd> ' || t ELSE '<REDACTED:fingerprint=' || sha256(t)[:8] || '>' END AS text FROM (SELECT *, sha256(c_name) || upper(sha256(c_name)) || 'ghijklmnopqrstuvwxyz' AS t FROM customer)",
+)
+def marked_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """what holds a marker already isn't replaced as a whole."""
+    text = F.expr("concat(CASE WHEN c_custkey % 2 = 0 THEN '<REDACTED:fingerprint=0123abcd> ' ELSE '' END, sha2(c_name, 256), upper(sha2(c_name, 256)), 'ghijklmnopqrstuvwxyz')")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"), text_safety.envelope_redacted(text).alias("text"))
+
+
+_RECORDS = "concat('{\"id\":\"CVE-2024-', lpad(p_partkey % 10000, 4, '0'), '\",\"published\":\"2024-01-01T00:00:00Z\",\"database_specific\":{\"severity\":\"', elt(p_partkey % 4 + 1, 'LOW', 'HIGH', 'CRITICAL', 'MEDIUM'), '\"},\"affected\":[{\"package\":{\"ecosystem\":\"npm\",\"name\":\"p', p_size, '\"},\"ranges\":[{\"events\":[{\"introduced\":\"', p_partkey % 3, '.0.0\"},{\"fixed\":\"9.0.0\"}]}]}]}')"
+
+
+@REGISTRY.query(
+    "feed_lookups",
+    """
+    WITH r AS (SELECT 'CVE-2024-' || lpad((p_partkey % 10000)::VARCHAR, 4, '0') AS cve_id, 'p' || p_size AS package, p_partkey % 3 || '.0.0' AS introduced, ['low', 'high', 'critical', 'medium'][p_partkey % 4 + 1] AS severity FROM part)
+    SELECT 'package' AS asked, cve_id, package, introduced, severity FROM r WHERE package = 'p7' UNION ALL SELECT 'cve', cve_id, package, introduced, severity FROM r WHERE cve_id = 'CVE-2024-0042'
+    UNION ALL SELECT * FROM (SELECT 'range', NULL, NULL, introduced, NULL FROM r WHERE cve_id = 'CVE-2024-0042' ORDER BY package, introduced LIMIT 1)
+    """,
+)
+def feed_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the records of all parts."""
+    raw = table(spark, sf_dir, "part").select(F.lit("osv").alias("source"), F.expr(_RECORDS).alias("payload"))
+    records = feeds.normalised(raw).where("reject_reason is null")
+    columns = ["cve_id", "package", "introduced", "severity"]
+    by_package = feeds.lookup(records, "p7", "npm").select(F.lit("package").alias("asked"), *columns)
+    by_cve = feeds.find_by_cve(records, "CVE-2024-0042").select(F.lit("cve").alias("asked"), *columns)
+    text = F.lit(None).cast("string")
+    first = feeds.affecting_range(records, "CVE-2024-0042").select(F.lit("range").alias("asked"), text.alias("cve_id"), text.alias("package"), "introduced", text.alias("severity"))
+    return by_package.unionByName(by_cve).unionByName(first)
