@@ -87,7 +87,7 @@ def band(score: Column, high: float = 0.85, medium: float = 0.65) -> Column:
     return F.when(score >= high, "high").when(score >= medium, "medium").otherwise("low")
 
 
-def vector_ok(v: Column, dim: int) -> Column:
+def vector_ok(v: Column, dim: int | Column) -> Column:
     """Whether a vector has the dimension and no null or NaN."""
     return (F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
 

@@ -196,15 +196,10 @@ def _part_feed(parts: DataFrame) -> DataFrame:
                       WHEN name IS NULL THEN 'missing_package' WHEN severity = 'none' THEN 'bad_severity' WHEN right(p.at, 1) <> 'Z' THEN 'missing_tz' END AS reject_reason FROM p),
     n AS (SELECT *, row_number() OVER (PARTITION BY cve_id, ecosystem, name, introduced, reject_reason IS NULL ORDER BY seq) AS nth FROM r)
     SELECT source, seq, cve_id, severity, introduced, reject_reason, CASE WHEN reject_reason IS NOT NULL THEN 'error' WHEN nth = 1 THEN 'inserted' ELSE 'skipped' END AS state FROM n
-    UNION ALL SELECT * FROM (VALUES ('osv', 1, 'CVE-2024-0001', 'medium', '1.0.0', NULL, 'inserted'), ('osv', 2, 'CVE-2024-0002', 'high', '0.0.0', 'missing_tz', 'error'),
-      ('nvd', 3, 'CVE-2024-0003', 'high', '1.0', NULL, 'inserted'), ('ghsa', 4, 'GHSA-aaaa-bbbb-cccc', 'low', '2', NULL, 'inserted'),
-      ('ghsa', 5, 'bad', 'low', '0.0.0', 'bad_cve_id', 'error'), ('nvd', 6, 'CVE-2024-0003', 'low', '1.0', NULL, 'skipped'),
-      ('osv', 7, NULL, NULL, '0.0.0', 'malformed_json', 'error'), ('ghsa', 8, 'CVE-2024-0008', 'low', '0.0.0', 'unsupported_ecosystem', 'error'))
-      t(source, seq, cve_id, severity, introduced, reject_reason, state)
     """,
 )
 def feed_union_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame(_FEED, "source string, seq bigint, payload string").unionByName(_part_feed(table(spark, sf_dir, "part")))
+    raw = _part_feed(table(spark, sf_dir, "part"))
     return ingested(normalised(raw), None, "seq").select("source", "seq", "cve_id", "severity", "introduced", "reject_reason", "state")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import band, cosine, normalised, vector_ok
@@ -65,7 +65,7 @@ def cache_aside(requests: DataFrame, cache: DataFrame, key: str) -> tuple[DataFr
     return hits, misses
 
 
-def rebuilt(records: DataFrame, order: str, dim: int, encode=None) -> DataFrame:
+def rebuilt(records: DataFrame, order: str, dim: int | Column, encode=None) -> DataFrame:
     """The store's rows from the canonical records (V5): of each id the last by `order`, with a usable vector, normalised.
 
     `encode` maps a DataFrame to one with its embeddings made anew. The result replaces the derived table as a whole.

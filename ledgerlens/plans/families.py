@@ -94,7 +94,7 @@ def rebuilt_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V5: two records of each id, the later one counts."""
     records = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 2").alias("id"), F.col("vec_id").alias("seq"), "embedding")
     size = F.size("embedding")
-    dim = records.agg(F.max(size)).first()[0] or 0
+    dim = F.coalesce(records.agg(F.max(size)).scalar(), F.lit(0))
     return retrieval.rebuilt(records, "seq", dim).select("id", F.round(F.get("embedding", F.lit(0)), 6).alias("first"))
 
 
