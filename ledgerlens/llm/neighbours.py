@@ -174,17 +174,24 @@ class Graph:
         return self._walk(queries, beam)[0]
 
 
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of products, added from the first component to the last, so a value doesn't depend on what is computed beside it."""
+    a, b = np.broadcast_arrays(a, b)
+    total = np.zeros(a.shape[:-1])
+    for k in range(a.shape[-1]):
+        total += a[..., k] * b[..., k]
+    return total
+
+
 def cosines(queries: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Cosines in double precision; the value of a pair doesn't depend on what is computed beside it."""
-    dot = (queries * others).sum(-1)
-    norm = np.sqrt((queries * queries).sum(-1)) * np.sqrt((others * others).sum(-1))
+    """Cosines in double precision."""
     with np.errstate(all="ignore"):
-        plain = dot / norm
+        norm = np.sqrt(_dot(queries, queries)) * np.sqrt(_dot(others, others))
+        plain = _dot(queries, others) / norm
         odd = ~(np.isfinite(norm) & (norm > 1e-290))
         if odd.any():  # squares beyond the range of a double
             q, o = (x / np.abs(x).max(-1, keepdims=True) for x in np.broadcast_arrays(queries, others))
-            scaled = (q * o).sum(-1) / (np.sqrt((q * q).sum(-1)) * np.sqrt((o * o).sum(-1)))
-            plain = np.where(odd, scaled, plain)
+            plain = np.where(odd, _dot(q, o) / (np.sqrt(_dot(q, q)) * np.sqrt(_dot(o, o))), plain)
     return plain
 
 
