@@ -207,7 +207,7 @@ def _answers(rows: DataFrame, k: int, degree: int, beam: int, search_beam: int,
         wide = min(len(nodes), search_beam)
         for i in range(0, len(asked), _BATCH):
             part = asked[i : i + _BATCH]
-            met = graph.search(_unit(part), wide)[:, : 4 * k]
+            met = graph.search(_unit(part), wide)  # the whole beam: equal scores of different vectors go by their ids
             score = cosines(part[:, None, :], nodes[np.maximum(met, 0)])
             owner, s, v = [], [], []
             for j, (row, found) in enumerate(zip(met.tolist(), score.tolist())):
