@@ -12,10 +12,12 @@ from ledgerlens.functions import scalars as S2
 from ledgerlens.operators import aggregates, cascades, feeds, graph, ranking, repository, retrieval, text_safety
 from ledgerlens.registry import REGISTRY, table
 from ledgerlens.sources import files as S
+from ledgerlens.sources import landed
 from ledgerlens.sources import lines as L
 from ledgerlens.sources import manifests as M
 from ledgerlens.sources import reports as R
 from ledgerlens.sources import sinks
+from ledgerlens.tables import scratch
 
 
 def _made(spark: SparkSession, sf_dir: str, of: str, key: str, text: str) -> DataFrame:
@@ -603,3 +605,45 @@ def feed_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.lit(None).cast("string")
     first = feeds.affecting_range(records, "CVE-2024-0042").select(F.lit("range").alias("asked"), text.alias("cve_id"), text.alias("package"), "introduced", text.alias("severity"))
     return by_package.unionByName(by_cve).unionByName(first)
+
+
+@REGISTRY.query(
+    "capped_file_reads",
+    """
+    SELECT p_size AS folder, CASE WHEN sum(strlen(p_name) + 1) <= 700 THEN 'read' ELSE 'size_cap_exceeded' END AS verdict, CASE WHEN sum(strlen(p_name) + 1) <= 700 THEN sum(strlen(p_name) + 1) END::INT AS n_bytes
+    FROM part WHERE p_size % 10 <> 3 GROUP BY 1
+    """,
+)
+def capped_file_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each size of part, written first; a folder is left out, and large files aren't read."""
+    path = scratch(spark)
+    names = table(spark, sf_dir, "part").select("p_name", F.col("p_size").alias("size"), F.when(F.col("p_size") % 10 == 3, "vendor").otherwise("src").alias("kind"))
+    names.repartition("kind", "size").write.partitionBy("kind", "size").text(path)
+    good, large = S.capped_files(spark, path, 700, "part-*", ("kind=vendor",))
+    folder = F.regexp_extract("path", r"size=(\d+)", 1).cast("int").alias("folder")
+    return good.select(folder, F.lit("read").alias("verdict"), F.octet_length("text").alias("n_bytes")).unionByName(large.select(folder, F.col("reason").alias("verdict"), F.lit(None).cast("int").alias("n_bytes")))
+
+
+@REGISTRY.query(
+    "landed_feed_files",
+    """
+    SELECT p_partkey % 7 AS day, 'CVE-2024-' || lpad((p_partkey % 10000)::VARCHAR, 4, '0') AS cve_id, 'p' || p_size AS package, ['low', 'high', 'critical', 'medium'][p_partkey % 4 + 1] AS severity, NULL::VARCHAR AS reason FROM part WHERE p_partkey % 13 <> 0
+    UNION ALL SELECT p_partkey % 7, NULL, NULL, NULL, 'malformed_json' FROM part WHERE p_partkey % 13 = 0
+    """,
+)
+def landed_feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven days' files of a feed, written first; every 13th record was cut off."""
+    path = scratch(spark)
+    cut = F.when(F.col("p_partkey") % 13 == 0, F.left(F.expr(_RECORDS), F.lit(60))).otherwise(F.expr(_RECORDS))
+    table(spark, sf_dir, "part").select(cut.alias("payload"), (F.col("p_partkey") % 7).alias("day")).write.partitionBy("day").text(path)
+    good, bad = landed.records(landed.landed(spark, path, "osv"))
+    day, none = F.regexp_extract("file", r"day=(\d+)", 1).cast("bigint").alias("day"), F.lit(None).cast("string")
+    rows = good.select(day, "cve_id", "package", "severity", none.alias("reason"))
+    return rows.unionByName(bad.select(day, none.alias("cve_id"), none.alias("package"), none.alias("severity"), "reason"))
+
+
+@REGISTRY.query("os_packages", "SELECT count(*) FILTER (p_partkey % 6 < 3) AS runtime_required, 0::BIGINT AS build_only, 0::BIGINT AS convenience, 0::BIGINT AS unknown FROM part")
+def os_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: three of six types are an operating system's."""
+    kinds = table(spark, sf_dir, "part").select(F.expr("elt(p_partkey % 6 + 1, 'apk', 'deb', 'rpm', 'npm', 'python', 'go')").alias("type"))
+    return aggregates.os_package_rollup(kinds)

@@ -29,13 +29,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 def kept(df: DataFrame) -> DataFrame:
     """`df` as a table in the shared folder, removed when the driver exits or by `dropped`."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/ledgerlens-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed when the driver exits."""
+    path = f"{shared_folder(spark)}/ledgerlens-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def dropped(df: DataFrame) -> None:
     """Removes a table that `kept` made and that no later plan reads."""
     for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
