@@ -87,6 +87,10 @@ def probes(length: int, edits: int = EDITS, similarity: float = SIMILARITY) -> l
     return found
 
 
+#: Rows of the line that are held as masks at once.
+_ROWS = 1024
+
+
 def within(a: str, b: str, edits: int) -> int:
     """Edit distance of a and b if it is at most `edits`, else edits + 1; a band of 2 edits + 1 bits moves along."""
     if len(a) > len(b):
@@ -108,15 +112,20 @@ def within(a: str, b: str, edits: int) -> int:
     width = 2 * t + 1
     full, top = (1 << width) - 1, 1 << (width - 1)
     places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
+    base = -_ROWS  # the masks hold so many rows from here on, so that a step costs the same in lines of any length
     # Bit k of column j stands for row j - t + k: whether the value grows (vp) or shrinks (vn) from the row above.
     vp, vn, score = full & ~((1 << (t + 1)) - 1), 0, t
     most = t + (n + t - m)
     for j in range(1, n + 1):
         # The band moves down one row a column, so the column before is seen one row lower.
-        x = places.get(b[j - 1], 0)
         shift = j - t - 1
+        if shift >= base + _ROWS:
+            base = max(shift, 0)
+            places = {}
+            for i, c in enumerate(a[base : base + _ROWS + width]):
+                places[c] = places.get(c, 0) | 1 << i
+        x = places.get(b[j - 1], 0)
+        shift -= base
         x = (x >> shift if shift >= 0 else x << -shift) & full
         vp, vn = (vp >> 1) | top, vn >> 1
         d0 = ((((x & vp) + vp) ^ vp) | x | vn) & full
