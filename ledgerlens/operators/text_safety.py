@@ -294,7 +294,8 @@ _PLANTED = (
     (13, "' npm_' || lpad({id}, 36, 'a') || ' eyJh.eyJz.' || {id}"), (17, "' sk-ant-' || lpad({id}, 60, '_-')"), (19, "' -----BEGIN RSA PRIVATE KEY-----' || {id} || '-----END RSA PRIVATE KEY-----'"),
 )
 _PLANT = "text" + "".join(f" || CASE WHEN doc_id % {n} = 0 THEN {said.format(id='CAST(doc_id AS {0})')} ELSE '' END" for n, said in _PLANTED)
-_ALL = f"(SELECT doc_id AS id, {_PLANT.format('VARCHAR')} AS text FROM documents UNION ALL SELECT -id, text FROM (VALUES {_SECRETS}) v(id, text))"
+_ALL = f"(SELECT doc_id AS id, text FROM documents UNION ALL SELECT -id, text FROM (VALUES {_SECRETS}) v(id, text))"
+_ALL_PLANTED = f"(SELECT doc_id AS id, {_PLANT.format('VARCHAR')} AS text FROM documents)"
 _MARK = "'<REDACTED:fingerprint=' || sha256({0})[:8] || '>'"
 _STAGES = ["text"]
 for _n, _p in SECRET_PATTERNS:
@@ -303,37 +304,55 @@ _REDACT = _STAGES[-1]
 
 
 def _with_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, text) of all documents, with the planted secrets, and of the literal rows, whose ids are negative."""
+    """(id, text) of all documents and of the literal rows, whose ids are negative."""
     literal = spark.sql(f"SELECT CAST(-id AS BIGINT) AS id, text FROM VALUES {_SECRETS} AS t(id, text)")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), F.expr(_PLANT.format("STRING")).alias("text")).unionByName(literal)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), "text").unionByName(literal)
 
 
-@REGISTRY.query(
-    "redact_secrets",
-    f"""
-    WITH a AS (SELECT row_number() OVER () AS r, id, text FROM {_ALL}),
+def _with_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text) of all documents with the planted secrets."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), F.expr(_PLANT.format("STRING")).alias("text"))
+
+
+def _redacted_sql(source: str) -> str:
+    """Patterns in order, then entropy where none matched."""
+    return f"""
+    WITH a AS (SELECT row_number() OVER () AS r, id, text FROM {source}),
     c AS (SELECT r, ch, count(*) AS n FROM (SELECT r, unnest(string_split(text, '')) AS ch FROM a) GROUP BY 1, 2),
     e AS (SELECT r, -sum(n / t * log2(n / t)) AS bits FROM (SELECT r, n, sum(n) OVER (PARTITION BY r) AS t FROM c) GROUP BY 1),
     x AS (SELECT r, id, text AS raw, {_REDACT} AS text FROM a WHERE text IS NOT NULL)
     SELECT id, CASE WHEN text = raw AND strlen(raw) >= {ENTROPY_MIN_BYTES} AND bits >= {ENTROPY_BITS} THEN {_MARK.format("raw")} ELSE text END AS text FROM x LEFT JOIN e USING (r)
     UNION ALL SELECT id, NULL FROM a WHERE text IS NULL
-    """,
-)
+    """
+
+
+def _findings_sql(source: str) -> str:
+    """Each pattern over what the ones before it left."""
+    each = (f"SELECT id, '{n}' AS c, unnest(regexp_extract_all({left}, '{p}')) AS m FROM {source}" for (n, p), left in zip(SECRET_PATTERNS, _STAGES))
+    return f"SELECT id, c AS pattern_class, sha256(m)[:8] AS fingerprint, strlen(m)::INT AS cleartext_len FROM ({' UNION ALL '.join(each)})"
+
+
+@REGISTRY.query("redact_secrets", _redacted_sql(_ALL))
 def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All patterns and the entropy rule, over whole documents and the literal rows."""
     return redacted(_with_literals(spark, sf_dir), "text")
 
 
-@REGISTRY.query(
-    "secret_findings",
-    "SELECT id, c AS pattern_class, sha256(m)[:8] AS fingerprint, strlen(m)::INT AS cleartext_len FROM ("
-    + " UNION ALL ".join(f"SELECT id, '{n}' AS c, unnest(regexp_extract_all({left}, '{p}')) AS m FROM {_ALL}" for (n, p), left in zip(SECRET_PATTERNS, _STAGES))
-    + ")",
-)
+@REGISTRY.query("secret_findings", _findings_sql(_ALL))
 def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(_with_literals(spark, sf_dir), "id", "text")
 
 
+@REGISTRY.query("planted_secrets_redacted", _redacted_sql(_ALL_PLANTED))
+def planted_secrets_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redacted(_with_planted(spark, sf_dir), "text")
+
+
+@REGISTRY.query("planted_secret_findings", _findings_sql(_ALL_PLANTED))
+def planted_secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(_with_planted(spark, sf_dir), "id", "text")
+
+
 _CANARY = "CASE " + " ".join(
     "WHEN contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '" + p.lower().replace("'", "''") + f"') THEN '{n}'" for n, p in INJECTION_PATTERNS
 ) + " END"
