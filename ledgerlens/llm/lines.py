@@ -112,7 +112,7 @@ def within(a: str, b: str, edits: int) -> int:
     width = 2 * t + 1
     full, top = (1 << width) - 1, 1 << (width - 1)
     places: dict[str, int] = {}
-    base = -_ROWS  # the masks hold so many rows from here on, so that a step costs the same in lines of any length
+    base = -_ROWS - t  # the masks hold so many rows from here on, so that a step costs the same in lines of any length
     # Bit k of column j stands for row j - t + k: whether the value grows (vp) or shrinks (vn) from the row above.
     vp, vn, score = full & ~((1 << (t + 1)) - 1), 0, t
     most = t + (n + t - m)
