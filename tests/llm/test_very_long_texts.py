@@ -61,3 +61,25 @@ def test_runs_and_spellings_at_the_end(spark, long_text):
     assert {(300_000, 60, 3), (300_061 + 1, 30, 1)} <= {(r.start, r.length, r.period) for r in runs}
     found = {r.word: r.form for r in spelling.variants(spelling.word_counts(df, twice=1)).where(F.col("word").startswith("missp")).collect()}
     assert found == {"misspelling": None, "misspeling": "misspelling"}
+
+
+@pytest.mark.parametrize("rows", [1, 4, 1024])
+def test_masks_in_pieces_give_the_edit_distance(monkeypatch, rows):
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    monkeypatch.setattr(lines, "_ROWS", rows)
+    rng = random.Random(rows)
+    for _ in range(1500):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(25)))
+        b = list(a)
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(2)] = rng.choice(["", "a", "b", "c"])
+        for edits in (1, 2, 3):
+            assert lines.within(a, "".join(b), edits) == min(plain(a, b), edits + 1)
