@@ -1,7 +1,7 @@
 """Tables with a manifest: files are staged first, then one small file names all that belongs to the table.
 
     path/data/<id>/            Parquet files of one commit, never changed
-    path/_manifests/<version>  JSON: folders of the table, its schema, rows, and the last batch of each writer
+    path/_manifests/<version>  JSON: folders of the table, its schema, rows, the last batch of each writer, whether it is partitioned
 
 A manifest is written beside and renamed to its version without overwriting, so a version has one winner: a writer that
 loses reads the winner's version and tries again. Readers follow the latest manifest, so they never see what a
@@ -33,6 +33,7 @@ class Manifest:
     rows: int = 0
     schema: str | None = None
     batches: dict[str, int] = field(default_factory=dict)
+    partitioned: bool = False  # whether a commit's files may be in folders of their own by a column
 
 
 class _Files:
@@ -91,7 +92,7 @@ def manifest(spark: SparkSession, path: str, version: int | None = None) -> Mani
     if not versions:
         return Manifest(-1)
     found = json.loads(files.read(f"_manifests/{max(versions) if version is None else version:020d}"))
-    return Manifest(found["version"], tuple(found["folders"]), found["rows"], found["schema"], found["batches"])
+    return Manifest(found["version"], tuple(found["folders"]), found["rows"], found["schema"], found["batches"], found["partitioned"])
 
 
 def read(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
@@ -105,15 +106,17 @@ def _read(spark: SparkSession, path: str, found: Manifest) -> DataFrame | None:
     schema = StructType.fromJson(json.loads(found.schema))
     if not found.folders:
         return spark.createDataFrame([], schema)
-    parts = [spark.read.schema(schema).parquet(f"{path}/data/{f}") for f in found.folders]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.union(p)
+    paths = [f"{path}/data/{f}" for f in found.folders]
+    if not found.partitioned:
+        return spark.read.schema(schema).parquet(*paths)
+    whole = spark.read.schema(schema).parquet(paths[0])  # each has its own root of partitions
+    for p in paths[1:]:
+        whole = whole.union(spark.read.schema(schema).parquet(p))
     return whole
 
 
 def _committed(files: _Files, found: Manifest) -> bool:
-    said = {"version": found.version, "folders": list(found.folders), "rows": found.rows, "schema": found.schema, "batches": found.batches}
+    said = {"version": found.version, "folders": list(found.folders), "rows": found.rows, "schema": found.schema, "batches": found.batches, "partitioned": found.partitioned}
     return files.create(f"_manifests/{found.version:020d}", json.dumps(said))
 
 
@@ -134,7 +137,8 @@ def _changed(
             files.remove(f"data/{folder}")
         kept = () if replaces else now.folders
         batches = now.batches | ({writer: batch} if writer is not None else {})
-        if _committed(files, Manifest(now.version + 1, (*kept, folder) if n else kept, n if replaces else now.rows + n, rows.schema.json(), batches)):
+        partitioned = bool(partition_by) or now.partitioned and not replaces
+        if _committed(files, Manifest(now.version + 1, (*kept, folder) if n else kept, n if replaces else now.rows + n, rows.schema.json(), batches, partitioned)):
             return n
         files.remove(f"data/{folder}")
         time.sleep(min(2.0, 0.05 * 2**attempt))
