@@ -234,7 +234,7 @@ def planted(docs: DataFrame) -> DataFrame:
     g = F.floor(h / 10)
     words = F.filter(F.split("text", GAP), lambda w: w != "")
     cut = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("words")).withColumn("n", F.size("words"))
-    at = cut.withColumn("a", F.expr("int(pmod(g, n))")).withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
+    at = cut.withColumn("a", F.expr("int(pmod(g, greatest(n, 1)))")).withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
     again = F.expr("array_join(slice(concat(slice(words, 1, a), flatten(array_repeat(slice(words, a + 1, p), int(ceil((n - a) / p))))), 1, n), ' ')")
     return at.select("doc_id", F.when(F.col("words").isNotNull() & (F.col("n") > 0), again).otherwise(F.col("text")).alias("text"))
 

@@ -80,7 +80,9 @@ def test_runs_of_very_long_texts():
 
 def test_periodic_query_equals_brute_force(spark):
     rng = random.Random(11)
-    rows = [(i, "  ".join(periodic_text(rng))) for i in range(300)] + [(None, "a b " * 30), (7, None), (8, ""), (9, " \n"), (3, "é ü " * 40 + "ß"), (3, "é ü " * 40 + "ß")]
+    planted = [i for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 10 == 0][:8]
+    rows = list(zip(planted, ["", " ", None, "one", "one two", "a b c", "x " * 30, " é " * 9]))  # nothing, or little, to plant in
+    rows += [(i, "  ".join(periodic_text(rng))) for i in range(300)] + [(None, "a b " * 30), (7, None), (8, ""), (9, " \n"), (3, "é ü " * 40 + "ß"), (3, "é ü " * 40 + "ß")]
     got = periodic.digests(periodic.periodic(periodic.planted(frame(spark, rows)))).collect()
     want = []
     for i, text in rows:
