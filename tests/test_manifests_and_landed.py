@@ -46,22 +46,23 @@ def test_the_three_bands(spark):
     assert bad.count() == 0 and manifests.context_queries(yaml_files(spark).limit(0))[0].count() == 0
 
 
-@pytest.mark.parametrize(
-    ("text", "reason"),
-    [
-        ("must_read: [", "parse:malformed"), (None, "parse:empty"), ("must_read: " + "[" * 80 + "]" * 80, "parse:too_deep"), ("x" * 70_000, "parse:size_cap_exceeded"), ("[]", "schema"), ("just text", "schema"),
-        ("should_read: []", "schema"), ("must_read: []\nother: 1", "schema"), ("must_read: {}", "schema"), ("must_read: []\nmay_read: 3", "schema"), ("must_read: [1]", "schema"),
-        (f"must_read: [{QUERY}]\n---\nmust_read: []", "schema"), ("must_read: [{primitive: scip.refs}]", "schema"), ("must_read: [{primitive: scip.refs, args: {}, x: 1}]", "schema"),
-        ("must_read: [{primitive: 3, args: {}}]", "schema"), ("must_read: [{primitive: scip.unknown, args: {}}]", "unknown_primitive"), ("must_read: [{primitive: scip.refs, args: {}, max_files: 0}]", "negative_max_files"),
-        ("must_read: [{primitive: scip.refs, args: {}, max_files: many}]", "schema"), ("must_read: [{primitive: scip.refs, args: {a: {b: c}}}]", "schema"), ("must_read: [{primitive: scip.refs, args: {a: [1]}}]", "schema"),
-        ("must_read: [{primitive: scip.refs, args: {}, fallback: x}]", "schema"), ("must_read: [{primitive: scip.refs, args: {}, fallback: {primitive: no.such, args: {}}}]", "unknown_primitive"),
-        ("must_read: [" + "{primitive: scip.refs, args: {}, fallback: " * 9 + QUERY + "}" * 9 + "]", "too_many_fallbacks"), ("must_read: []\nprovides: {Bad: {}}", "schema"), ("must_read: []\nprovides: {a: {b: 'no path'}}", "schema"),
-        ("must_read: []\nprovides: {a: {B: 'm:C'}}", "schema"), ("must_read: []\nrequires: {a: [Bad]}", "schema"), ("must_read: []\nrequires: {a: b}", "schema"), ("must_read: &a [*a]", "parse:holds_itself"),
-    ],
-)
-def test_reasons_of_rejects(spark, text, reason):
-    rows, bad = manifests.context_queries(yaml_files(spark, text))
-    assert [r.reason for r in bad.collect()] == [reason] and rows.count() == 0
+BAD = [
+    ("must_read: [", "parse:malformed"), (None, "parse:empty"), ("must_read: " + "[" * 80 + "]" * 80, "parse:too_deep"), ("x" * 70_000, "parse:size_cap_exceeded"), ("[]", "schema"), ("just text", "schema"),
+    ("should_read: []", "schema"), ("must_read: []\nother: 1", "schema"), ("must_read: {}", "schema"), ("must_read: []\nmay_read: 3", "schema"), ("must_read: [1]", "schema"),
+    (f"must_read: [{QUERY}]\n---\nmust_read: []", "schema"), ("must_read: [{primitive: scip.refs}]", "schema"), ("must_read: [{primitive: scip.refs, args: {}, x: 1}]", "schema"),
+    ("must_read: [{primitive: 3, args: {}}]", "schema"), ("must_read: [{primitive: scip.unknown, args: {}}]", "unknown_primitive"), ("must_read: [{primitive: scip.refs, args: {}, max_files: 0}]", "negative_max_files"),
+    ("must_read: [{primitive: scip.refs, args: {}, max_files: many}]", "schema"), ("must_read: [{primitive: scip.refs, args: {a: {b: c}}}]", "schema"), ("must_read: [{primitive: scip.refs, args: {a: [1]}}]", "schema"),
+    ("must_read: [{primitive: scip.refs, args: {}, fallback: x}]", "schema"), ("must_read: [{primitive: scip.refs, args: {}, fallback: {primitive: no.such, args: {}}}]", "unknown_primitive"),
+    ("must_read: [" + "{primitive: scip.refs, args: {}, fallback: " * 9 + QUERY + "}" * 9 + "]", "too_many_fallbacks"), ("must_read: []\nprovides: {Bad: {}}", "schema"), ("must_read: []\nprovides: {a: {b: 'no path'}}", "schema"),
+    ("must_read: []\nprovides: {a: {B: 'm:C'}}", "schema"), ("must_read: []\nrequires: {a: [Bad]}", "schema"), ("must_read: []\nrequires: {a: b}", "schema"), ("must_read: &a [*a]", "parse:holds_itself"),
+]
+
+
+def test_reasons_of_rejects(spark):
+    made = spark.createDataFrame([(f"p{i}", f"f{i}", text) for i, (text, _) in enumerate(BAD)], "plugin string, path string, text string")
+    rows, bad = manifests.context_queries(made)
+    assert {r.path: r.reason for r in bad.collect()} == {f"f{i}": reason for i, (_, reason) in enumerate(BAD)}
+    assert bad.count() == len(BAD) and rows.count() == 0
 
 
 def test_an_id_in_several_files(spark):
