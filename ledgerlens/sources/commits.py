@@ -1,6 +1,6 @@
 """Tables with a manifest: files are staged first, then one small file names all that belongs to the table.
 
-    path/data/<id>/            Parquet files of one commit, never changed
+    path/commit=<id>/          Parquet files of one commit, never changed
     path/_manifests/<version>  JSON: folders of the table, its schema, rows, the last batch of each writer, whether it is partitioned
 
 A manifest is written beside and renamed to its version without overwriting, so a version has one winner: a writer that
@@ -9,6 +9,8 @@ writer staged and didn't commit, nor half of a commit. A batch that runs again a
 manifest and does nothing; one that died before it stages anew, and what it left is removed by `vacuumed`. Nothing is
 cached, and no plan reads the folder that it writes.
 
+A plain Parquet reader of the path works too, with a column of its own for the commit, but sees what isn't committed.
+
 The exclusive rename is the file system's: HDFS has it, and object stores by conditional writes.
 """
 
@@ -47,7 +49,7 @@ class _Files:
         self.root = self.fs.makeQualified(self.hadoop.Path(root)).toString().rstrip("/")
 
     def path(self, name: str) -> Any:
-        return self.hadoop.Path(f"{self.root}/{name}")
+        return self.hadoop.Path(f"{self.root}/{name}" if name else self.root)
 
     def listed(self, name: str) -> list[tuple[str, int]]:
         """(name, time of change in milliseconds) of what a folder holds."""
@@ -106,7 +108,7 @@ def _read(spark: SparkSession, path: str, found: Manifest) -> DataFrame | None:
     schema = StructType.fromJson(json.loads(found.schema))
     if not found.folders:
         return spark.createDataFrame([], schema)
-    paths = [f"{path}/data/{f}" for f in found.folders]
+    paths = [f"{path}/{f}" for f in found.folders]
     if not found.partitioned:
         return spark.read.schema(schema).parquet(*paths)
     whole = spark.read.schema(schema).parquet(paths[0])  # each has its own root of partitions
@@ -130,17 +132,17 @@ def _changed(
         now = manifest(spark, path)
         if writer is not None and now.batches.get(writer, -1) >= batch:
             return 0
-        rows, folder = new_rows(_read(spark, path, now)), uuid.uuid4().hex
-        rows.write.partitionBy(*partition_by).parquet(f"{path}/data/{folder}")
-        n = spark.read.schema(rows.schema).parquet(f"{path}/data/{folder}").count()
+        rows, folder = new_rows(_read(spark, path, now)), f"commit={uuid.uuid4().hex}"
+        rows.write.partitionBy(*partition_by).parquet(f"{path}/{folder}")
+        n = spark.read.schema(rows.schema).parquet(f"{path}/{folder}").count()
         if not n:
-            files.remove(f"data/{folder}")
+            files.remove(folder)
         kept = () if replaces else now.folders
         batches = now.batches | ({writer: batch} if writer is not None else {})
         partitioned = bool(partition_by) or now.partitioned and not replaces
         if _committed(files, Manifest(now.version + 1, (*kept, folder) if n else kept, n if replaces else now.rows + n, rows.schema.json(), batches, partitioned)):
             return n
-        files.remove(f"data/{folder}")
+        files.remove(folder)
         time.sleep(min(2.0, 0.05 * 2**attempt))
     raise RuntimeError(f"{path}: other writers were first {attempts} times")
 
@@ -182,7 +184,7 @@ def vacuumed(spark: SparkSession, path: str, older_than_s: float = 7 * 86400) ->
     The time must be longer than any writer takes from its first file to its commit, and any reader on an older version.
     """
     files, named = _Files(spark, path), set(manifest(spark, path).folders)
-    gone = [name for name, at in files.listed("data") if name not in named and at < (time.time() - older_than_s) * 1000]
+    gone = [name for name, at in files.listed("") if name.startswith("commit=") and name not in named and at < (time.time() - older_than_s) * 1000]
     for name in gone:
-        files.remove(f"data/{name}")
+        files.remove(name)
     return len(gone)
