@@ -1,18 +1,20 @@
 """Graph walks over edge tables: one hop, bounded many hops, extends chains.
 
 Many hops are rounds of one join each, with the frontier reduced to nodes not seen before; the number of rounds is
-bounded. Nested trees within one row are recursive queries.
+bounded. Nested trees within one row are walked a level a round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.imports import import_edges  # noqa: F401  G5
 from ledgerlens.operators.intervals import points_in
 from ledgerlens.registry import REGISTRY, table
-from ledgerlens.tables import dropped, kept
+from ledgerlens.tables import descended, dropped, kept
 
 
 def consumers(edges: DataFrame, name: str) -> DataFrame:
@@ -120,16 +122,21 @@ def fallback_chain(attempts: DataFrame, most: int = 4) -> DataFrame:
 
 def nested_dependencies(spark: SparkSession, locks: str) -> DataFrame:
     """(id, path, name, version) of every entry of a nested dependency tree in JSON (G9); `locks` has (id, tree)."""
-    return spark.sql(
-        f"""
-        WITH RECURSIVE w(id, path, name, node) AS (
-          SELECT id, CAST('' AS STRING), CAST(NULL AS STRING), try_parse_json(tree) FROM {locks}
-          UNION ALL
-          SELECT w.id, concat(w.path, '/', d.key), d.key, d.value
-          FROM w, LATERAL variant_explode(try_variant_get(w.node, '$.dependencies', 'variant')) d)
-        SELECT id, path, name, try_variant_get(node, '$.version', 'string') AS version FROM w WHERE name IS NOT NULL
-        """
-    )
+    parsed = spark.sql(f"SELECT id, CAST('' AS STRING) AS path, try_parse_json(tree) AS node FROM {locks}")
+    return dependency_levels(parsed, lambda path, name: F.concat(path, F.lit("/"), name)).select("id", "path", "name", "version")
+
+
+def dependency_levels(roots: DataFrame, path_of: Callable[[Column, Column], Column]) -> DataFrame:
+    """The columns of `roots` with name and version in place of the variant `node`, for each entry below it; `path_of` makes an entry's path of its parent's and its name."""
+    kept_columns = [c for c in roots.columns if c not in ("path", "node")]
+
+    def entries(parents: DataFrame) -> DataFrame:
+        inside = F.try_variant_get("node", F.lit("$.dependencies"), "variant").alias("inside")
+        below = parents.select(*kept_columns, F.col("path").alias("above"), inside).where("inside is not null")
+        rows = below.lateralJoin(below.sparkSession.tvf.variant_explode(F.col("inside").outer()))
+        return rows.select(*kept_columns, path_of(F.col("above"), F.col("key")).alias("path"), F.col("key").alias("name"), F.try_variant_get("value", F.lit("$.version"), "string").alias("version"), F.col("value").alias("node"))
+
+    return descended(entries(roots), entries).drop("node")
 
 
 def _page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,19 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def descended(start: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of `start` and of what `step` makes of them, level by level, until a level is empty.
+
+    Each level is a table in the shared folder, so no level computes the ones before it again, and neither the rows nor
+    the levels are bounded.
+    """
+    found = level = kept(start)
+    while not level.isEmpty():
+        level = kept(step(level))
+        found = found.unionByName(level)
+    return found
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder, removed when the driver exits."""
     path = f"{shared_folder(spark)}/ledgerlens-{uuid.uuid4().hex}"
