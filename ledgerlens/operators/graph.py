@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.imports import import_edges  # noqa: F401  G5
@@ -16,6 +16,9 @@ from ledgerlens.operators.intervals import points_in
 from ledgerlens.registry import REGISTRY, table
 from ledgerlens.tables import descended, dropped, kept
 
+#: Blocks that the symbols of one range are dealt to.
+SYMBOL_BLOCKS = 4
+
 
 def consumers(edges: DataFrame, name: str) -> DataFrame:
     """Who depends on a package: src of edges to it (G1)."""
@@ -37,9 +40,24 @@ def references(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def tests_exercising(coverage: DataFrame, definitions: DataFrame) -> DataFrame:
-    """(symbol, test) where a test covers a line of the symbol's definition."""
-    met = points_in(coverage.select("file", "line", "test"), definitions.select("file", "symbol", "first_line", "last_line"), ["file"], "line", "first_line", "last_line")
-    return met.select("symbol", "test").distinct()
+    """(symbol, test) where a test covers a line of the symbol's definition.
+
+    Of a test's lines in a range, only the first counts: the one whose predecessor in the file lies before the range. So a range
+    meets a test once, and its symbols, which come as blocks, need no `distinct`; only symbols of several ranges do.
+    """
+    before = F.lag("line").over(Window.partitionBy("file", "test").orderBy("line"))
+    lines = coverage.select("file", "line", "test", before.alias("before")).where("before is null or before < line")
+    place = ["file", "first_line", "last_line"]
+    own = definitions.groupBy("symbol").agg(F.collect_set(F.struct(*place)).alias("places"))
+    symbols = kept(own.select("symbol", (F.size("places") > 1).alias("several"), F.explode("places").alias("place")).select("symbol", "several", "place.*"))
+
+    def met(of: DataFrame) -> DataFrame:
+        ranges = of.groupBy(*place, F.pmod(F.xxhash64("symbol"), F.lit(SYMBOL_BLOCKS)).alias("block")).agg(F.collect_list(F.struct("symbol")).alias("symbols"))
+        pairs = points_in(lines, ranges, ["file"], "line", "first_line", "last_line").where("before is null or before < first_line")
+        return pairs.select(F.explode("symbols").alias("s"), "test").select("s.symbol", "test")
+
+    single, several = symbols.where("not several"), symbols.where("several")
+    return met(single) if several.isEmpty() else met(single).unionByName(met(several).distinct())
 
 
 def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 5, max_nodes: int | None = None) -> DataFrame:
@@ -55,8 +73,6 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 5, max_nodes: int
         frontier = kept(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
     if max_nodes is not None:
-        from pyspark.sql import Window
-
         order = Window.partitionBy("root").orderBy("depth", "node")
         seen = seen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_nodes).drop("n")
     return seen

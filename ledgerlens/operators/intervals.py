@@ -28,7 +28,9 @@ def points_in(points: DataFrame, ranges: DataFrame, key: list[str], at: str, fir
         level = F.when(whole <= span * fan ** (k + 1), F.lit(k)).otherwise(level)
     bins = F.sequence(F.floor(F.col(first) / _width(F.col("level_"), span, fan)), F.floor(F.col(last) / _width(F.col("level_"), span, fan)))
     dealt = ranges.where(F.col(first) <= F.col(last)).withColumn("level_", level).withColumn("bin_", F.explode(bins))
-    every = points.withColumn("level_", F.explode(F.array(*map(F.lit, range(levels))))).withColumn("bin_", F.floor(F.col(at) / _width(F.col("level_"), span, fan)))
+    # Points go to the levels that some range has.
+    used = sorted(r["level_"] for r in dealt.select("level_").distinct().collect())
+    every = points.withColumn("level_", F.explode(F.array(*map(F.lit, used)) if used else F.array().cast("array<int>"))).withColumn("bin_", F.floor(F.col(at) / _width(F.col("level_"), span, fan)))
     return every.join(dealt, [*key, "level_", "bin_"]).where(F.col(at).between(F.col(first), F.col(last))).drop("level_", "bin_")
 
 
