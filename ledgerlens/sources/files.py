@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.tables import descended
+from ledgerlens.tables import descended, spread
 
 
 def capped_files(spark: SparkSession, path: str, max_bytes: int, glob: str = "*", excluded: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -58,6 +58,12 @@ def yaml_documents(files: DataFrame, max_bytes: int = 1 << 20, max_depth: int =
     """(path, pos, json) of every YAML document of (path, text), rejects by reason (S4, S13). Aliases are counted for what
     they expand to before anything is expanded: a document deeper than `max_depth`, one of more than `2 * max_bytes`
     characters, and one that holds itself are rejects."""
+    out = yaml_rows(files, max_bytes, max_depth)
+    return out.where("reason is null").drop("reason"), out.where("reason is not null").select("path", "reason")
+
+
+def yaml_rows(files: DataFrame, max_bytes: int = 1 << 20, max_depth: int = 64) -> DataFrame:
+    """(path, pos, json, reason): documents and rejects of `yaml_documents` together. Small tables may hold many files, so they are dealt over all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
@@ -81,8 +87,7 @@ def yaml_documents(files: DataFrame, max_bytes: int = 1 << 20, max_depth: int =
             kinds = [pa.string(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["path", "pos", "json", "reason"])
 
-    out = files.select("path", "text").mapInArrow(run, "path string, pos int, json string, reason string")
-    return out.where("reason is null").drop("reason"), out.where("reason is not null").select("path", "reason")
+    return spread(files.select("path", "text"), "path").mapInArrow(run, "path string, pos int, json string, reason string")
 
 
 def _fault(value: object, max_depth: int, max_size: int) -> str | None:

@@ -18,7 +18,7 @@ from pyspark.sql.types import BooleanType
 
 from ledgerlens.functions.fixed import CONFIDENCE_LEVELS, CONTEXT_BANDS, CONTEXT_PRIMITIVES, IMPORT_PATH, NAMESPACE, RULE_FIELDS, TASK_QUERIES
 from ledgerlens.registry import REGISTRY, table
-from ledgerlens.sources.files import capped_files, yaml_documents
+from ledgerlens.sources.files import capped_files, yaml_rows
 
 MAX_BYTES = 64 * 1024
 #: A query may fall back so many times.
@@ -61,18 +61,25 @@ def _first(*cases: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(reason)) for bad, reason in cases])
 
 
-def _parsed(files: DataFrame, ident: list[str]) -> tuple[DataFrame, DataFrame]:
-    """One row a file with its document as variant `v`, and rejects (ident, reason) of what YAML refuses."""
+def _parsed(files: DataFrame, ident: list[str]) -> DataFrame:
+    """A row for each document with it as variant `v`, and one with `refused` for what YAML refuses: one frame, so that no
+    file is read once for its rows and once more for its rejects."""
     keyed = files.withColumn("file", F.to_json(F.struct(*ident)))
-    docs, refused = yaml_documents(keyed.select(F.col("file").alias("path"), "text"), MAX_BYTES)
+    read = yaml_rows(keyed.select(F.col("file").alias("path"), "text"), MAX_BYTES)
     from_key = F.from_json("path", ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in ident)).alias("k")
-    bad = refused.select(from_key, F.concat(F.lit("parse:"), "reason").alias("reason")).select("k.*", "reason")
-    one = docs.select(from_key, "pos", F.try_parse_json("json").alias("v")).select("k.*", "pos", "v")
-    return one, bad
+    return read.select(from_key, "pos", F.try_parse_json("json").alias("v"), F.concat(F.lit("parse:"), "reason").alias("refused")).select("k.*", "pos", "v", "refused")
 
 
-def _split(checked: DataFrame, ident: list[str], bad: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return checked.where("reason is null").drop("reason"), bad.unionByName(checked.where("reason is not null").select(*ident, "reason"))
+def _checked(docs: DataFrame, keys: list[str], reason: Column) -> DataFrame:
+    """Rows of `_parsed` with their reason, if any. A file of several documents is one bad file: its later documents are the reason."""
+    n = F.count("*").over(Window.partitionBy(*keys, F.col("refused").isNull()))
+    # The reasons are computed first: a window below the filter on `pos` carries one text a row and not the expression.
+    rows = docs.withColumn("reason", reason).withColumn("n", n).where("refused is not null or pos = 0")
+    return rows.withColumn("reason", F.coalesce("refused", F.when(F.col("n") > 1, "schema"), "reason")).drop("n", "refused")
+
+
+def _split(checked: DataFrame, ident: list[str]) -> tuple[DataFrame, DataFrame]:
+    return checked.where("reason is null").drop("reason"), checked.where("reason is not null").select(*ident, "reason")
 
 
 def _query_issue(q: Column) -> Column:
@@ -111,7 +118,7 @@ def context_queries(files: DataFrame, ident: str = "plugin") -> tuple[DataFrame,
     first path of an ident whose file is good. must_read has to be there; other bands may be missing.
     """
     keys = [ident, "path"]
-    docs, bad = _parsed(files, keys)
+    docs = _parsed(files, keys)
     v = F.col("v")
     placed = lambda band: F.transform(_list(v, f"$.{band}"), lambda q, i: F.struct(F.lit(band).alias("band"), i.alias("pos"), q.alias("q")))
     bands = [placed(b) for b in CONTEXT_BANDS]
@@ -128,11 +135,10 @@ def context_queries(files: DataFrame, ident: str = "plugin") -> tuple[DataFrame,
         ),
         _names_issue(v), issue, _first((F.exists("steps", lambda s: s["step"] == MAX_FALLBACKS), "too_many_fallbacks")),
     )
-    # A file of several documents is one bad file: its later documents are the reason.
-    checked = walked.withColumn("reason", reason).withColumn("n", F.count("*").over(Window.partitionBy(*keys))).withColumn("reason", F.when(F.col("n") > 1, "schema").otherwise(F.col("reason"))).where("pos = 0").drop("n")
+    checked = _checked(walked, keys, reason)
     nth = F.row_number().over(Window.partitionBy(ident, F.col("reason").isNull()).orderBy("path"))
     unique = checked.withColumn("reason", F.when(F.col("reason").isNull() & (nth > 1), "duplicate_id").otherwise(F.col("reason")))
-    good, rejects = _split(unique.select(*keys, "steps", "reason"), keys, bad)
+    good, rejects = _split(unique.select(*keys, "steps", "reason"), keys)
     rows = good.select(*keys, F.explode("steps").alias("s"))
     return rows.select(
         *keys, "s.band", "s.pos", "s.step", _at(F.col("s.q"), "$.primitive", "string").alias("primitive"), F.to_json(_at(F.col("s.q"), "$.args")).alias("args"), _at(F.col("s.q"), "$.max_files", "bigint").alias("max_files"),
@@ -144,7 +150,7 @@ def task_queries(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Finer reason: `unknown_query_primitive`. Lists may be empty and may repeat an item.
     """
-    docs, bad = _parsed(files, ["path"])
+    docs = _parsed(files, ["path"])
     v = F.col("v")
     queries = _list(v, "$.derived_queries")
     arg_of = lambda q: F.coalesce(*[F.when(_at(q, "$.compute", "string") == c, _at(q, f"$.{a}")) for c, a in TASK_QUERIES.items()])
@@ -162,8 +168,8 @@ def task_queries(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         (~_is(floor, "OBJECT") | ~_only(floor, "kind", "reason") | level.isNull() | ~level.isin(*CONFIDENCE_LEVELS), "schema"),
         ((level != "trusted") & ~_is(_at(v, "$.confidence_floor.reason"), "STRING") | (level == "trusted") & _at(v, "$.confidence_floor.reason").isNotNull(), "schema"),
     )
-    checked = docs.withColumn("reason", reason).withColumn("n", F.count("*").over(Window.partitionBy("path"))).withColumn("reason", F.when(F.col("n") > 1, "schema").otherwise(F.col("reason")))
-    good, rejects = _split(checked.where("pos = 0").select("path", "v", "reason"), ["path"], bad)
+    checked = _checked(docs, ["path"], reason)
+    good, rejects = _split(checked.select("path", "v", "reason"), ["path"])
     rows = good.select("path", _at(v, "$.task_class", "string").alias("task_class"), F.posexplode(queries).alias("pos", "q"))
     return rows.select("path", "task_class", "pos", _at(F.col("q"), "$.compute", "string").alias("compute"), F.variant_get(arg_of(F.col("q")), "$", "string").alias("arg")), rejects
 
@@ -186,7 +192,7 @@ def convention_rules(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     A file is `rules: [..]`, each rule of a known kind with exactly its fields. Finer reasons: `unknown_pattern_type`, and
     `bad_regex` for a pattern that doesn't compile. Rules of all good files together make the catalogue; an id may come twice.
     """
-    docs, bad = _parsed(files, ["path"])
+    docs = _parsed(files, ["path"])
     v = F.col("v")
     rules = _list(v, "$.rules")
     common = ("kind", "id", "description")
@@ -200,8 +206,8 @@ def convention_rules(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     reason = _first(
         (F.col("pos") > 0, "schema"), (~_is(v, "OBJECT"), "schema"), (F.exists(rules, unknown), "unknown_pattern_type"), (~_only(v, "rules") | ~_is(_at(v, "$.rules"), "ARRAY"), "schema"), (F.exists(rules, wrong), "schema"),
     )
-    checked = docs.withColumn("reason", reason).withColumn("n", F.count("*").over(Window.partitionBy("path"))).withColumn("reason", F.when(F.col("n") > 1, "schema").otherwise(F.col("reason")))
-    good, rejects = _split(checked.where("pos = 0").select("path", "v", "reason"), ["path"], bad)
+    checked = _checked(docs, ["path"], reason)
+    good, rejects = _split(checked.select("path", "v", "reason"), ["path"])
     fields = [_at(F.col("r"), f"$.{f}", "string").alias(f) for f in ("id", "kind", "description", "pattern", "file_glob")]
     rows = good.select("path", F.posexplode(rules).alias("pos", "r")).select("path", "pos", *fields).withColumn("ok", _compiles("pattern"))
     broken = rows.where("not ok").select("path").distinct()
